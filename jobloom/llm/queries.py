@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("topk", "chat", "sharding", "warc", "token_counts")
+MODULES = ("topk", "toxicity", "chat", "sharding", "warc", "token_counts")
 
 
 def queries() -> dict:
