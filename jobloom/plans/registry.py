@@ -1,4 +1,8 @@
 """All registered queries with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from jobloom.plans import relational  # noqa: F401
+from jobloom.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
