@@ -62,13 +62,15 @@ def write_warc(pages: DataFrame, folder: str, n_ranges: int | None = None, roll_
     """
     spark = pages.sparkSession
     p = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("_sha", F.unhex(F.sha1("html")))
+    narrow = p.where(F.octet_length("html") >= min_bytes).select("page_id", F.unhex(F.sha1("html")).alias("sha"))
     # equal payloads meet as partial maxima; only payloads that occur twice go on
-    groups = p.where(F.octet_length("html") >= min_bytes).groupBy("_sha").agg(F.max("page_id").alias("_top"), F.count("*").alias("_n")).where("_n > 1 and _top is not null").drop("_n")
-    p = p.join(groups, "_sha", "left").withColumn("_revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("_top")) & F.col("_top").isNotNull(), F.lit(False))).drop("_sha")
+    groups = narrow.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null").drop("n")
+    # notes (page, digest, page to refer to) are sorted in before their page, so that payloads move once, for the sort
+    notes = narrow.join(groups, "sha").where(~F.col("page_id").eqNullSafe(F.col("top"))).distinct().withColumn("kind", F.lit(0))
+    both = p.withColumn("kind", F.lit(1)).unionByName(notes, allowMissingColumns=True)
     if n_ranges is None:
         n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = p.repartitionByRange(n_ranges, "page_id", "url").sortWithinPartitions("page_id", "url", "html")
+    sorted_ = both.repartitionByRange(n_ranges, "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -89,10 +91,19 @@ def write_warc(pages: DataFrame, folder: str, n_ranges: int | None = None, roll_
             made.append((name, count, len(data), hashlib.sha256(data).hexdigest(), first, last))
             buffer, count = io.BytesIO(), 0
 
+        noted: dict[bytes, int] = {}
+        page: object = object()
         for b in batches:
-            for page_id, url, html, top, revisit in zip(b["page_id"], b["url"], b["html"], b["_top"], b["_revisit"], strict=True):
+            for page_id, url, html, kind, sha, top in zip(b["page_id"], b["url"], b["html"], b["kind"], b["sha"], b["top"], strict=True):
                 key = None if pd.isna(page_id) else int(page_id)
-                data = record(key, url, html.encode("utf-8", "surrogatepass"), int(top) if revisit else None, date, bool(revisit))
+                if key != page:
+                    page, noted = key, {}
+                if kind == 0:
+                    noted[bytes(sha)] = int(top)
+                    continue
+                payload = html.encode("utf-8", "surrogatepass")
+                target = noted.get(hashlib.sha1(payload).digest()) if noted else None
+                data = record(key, url, payload, target, date, target is not None)
                 first = key if not count else first
                 last = key
                 buffer.write(gzip.compress(data, 6, mtime=0))
@@ -112,10 +123,14 @@ def parse_warc(data: bytes) -> Iterator[tuple]:
     """Records of one archive: gzip members one after another, so that one record is open at a time."""
     at = 0
     while at < len(data):
-        d = zlib.decompressobj(31)
-        raw = d.decompress(data[at:] if at == 0 and len(data) < 1 << 16 else memoryview(data)[at:])
-        raw += d.flush()
-        at = len(data) - len(d.unused_data)
+        d, pieces = zlib.decompressobj(31), []
+        while not d.eof:  # in small steps: what is left over is copied
+            if at >= len(data):
+                raise ValueError("the archive ends inside a record")
+            step = data[at : at + 32_768]
+            pieces.append(d.decompress(step))
+            at += len(step) - len(d.unused_data)
+        raw = b"".join(pieces)
         head, _, rest = raw.partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
         block = rest[: int(fields["Content-Length"])]
