@@ -23,11 +23,13 @@ WORDS = 5
 #: 56 bands of 6 registers: a pair of Jaccard similarity 0.75 shares no band with probability 2e-5.
 BANDS, ROWS = 56, 6
 REGISTERS = BANDS * ROWS
+#: From so many shingles on, bands with one register in use are left out.
+MANY = 96
 MANTISSA = 10
 #: Similarity of a link in hundredths, and the estimate under which a candidate is let go: 4 standard errors below.
 PERCENT, LEAST_ESTIMATE = 75, 0.65
 #: Partners that a document tries in each other component in the middle round, and members in a block.
-PARTNERS, SMALL_BLOCK, LARGE_BLOCK = 3, 256, 1024
+PARTNERS, SMALL_BLOCK, LARGE_BLOCK, ONE_BLOCK, SHIFTS = 3, 256, 1024, 512, 24
 
 _P, _CHUNK = 0x9E3779B97F4A7C15 | 1, 1 << 18
 _MASK = (1 << 64) - 1
@@ -130,10 +132,16 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
-    """Hashes of the bands that hold anything."""
+    """Hashes of all bands."""
     r = registers.reshape(BANDS, ROWS).astype(np.uint64)
     keys = fmix((r * _MIX[:ROWS]).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(_P))
-    return keys[r.any(1)].view(np.int64)
+    return keys.view(np.int64)
+
+
+def first_shared_band(a: np.ndarray, b: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The first band that rows of registers agree in and have a key of (`many`: one of the sets has MANY shingles or more)."""
+    a, b = a.reshape(len(a), BANDS, ROWS), b.reshape(len(b), BANDS, ROWS)
+    return ((a == b).all(2) & ((a != 0).sum(2) >= np.where(many, 2, 1)[:, None])).argmax(1)
 
 
 def _batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
@@ -160,16 +168,26 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def band_rows(reps: DataFrame) -> DataFrame:
-    """(doc_id, sig) -> (key, doc), one row a band in use."""
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
+    """(doc_id, n, sig) -> (key, band, doc), one row a band in use.
+
+    A set of MANY shingles or more leaves out bands with a single register in use, which any set with one common shingle may
+    hold: the bands with two or more are enough for it (two sets of 72 and 96 shingles and similarity 0.75 miss each other in
+    them with probability 2e-6).
+    """
+    schema = pa.schema([("key", pa.int64()), ("band", pa.int8()), ("doc", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [band_keys(np.frombuffer(s.as_buffer(), np.uint16)) for s in b.column(1)]
-            docs = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
-            yield _batch(schema, [np.concatenate(keys) if keys else [], docs])
+            keys, bands = [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
+            for n, s in zip(b.column(1).to_numpy(), b.column(2), strict=True):
+                registers = np.frombuffer(s.as_buffer(), np.uint16)
+                used = np.flatnonzero((registers.reshape(BANDS, ROWS) != 0).sum(1) >= (2 if n >= MANY else 1))
+                keys.append(band_keys(registers)[used])
+                bands.append(used.astype(np.int8))
+            docs = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys[1:]])
+            yield _batch(schema, [np.concatenate(keys), np.concatenate(bands), docs])
 
-    return reps.select("doc_id", "sig").mapInArrow(run, "key long, doc long")
+    return reps.select("doc_id", "n", "sig").mapInArrow(run, "key long, band byte, doc long")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -207,76 +225,121 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("s")).where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * PERCENT).select("a", "b")
 
 
+class Block:
+    """Members of one or more tasks as arrays, with their registers."""
+
+    def __init__(self, b: pa.RecordBatch):
+        self.key, self.task, self.band, self.doc, self.comp = (b.column(c).to_numpy() for c in ("key", "task", "band", "doc", "comp"))
+        self.side, self.n = b.column("side").to_numpy(), b.column("n").to_numpy()
+        self.sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+    def likely(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of index pairs, those in different components that estimate high and meet here first; with the estimates."""
+        keep = self.comp[i] != self.comp[j]
+        i, j = i[keep], j[keep]
+        out = []
+        for at in range(0, len(i), 8192):
+            x, y = i[at : at + 8192], j[at : at + 8192]
+            e = estimate(self.sig[x], self.sig[y])
+            keep = e >= LEAST_ESTIMATE
+            x, y, e = x[keep], y[keep], e[keep]
+            keep = first_shared_band(self.sig[x], self.sig[y], np.maximum(self.n[x], self.n[y]) >= MANY) == self.band[x] if len(x) else keep[:0]
+            out.append((x[keep], y[keep], e[keep]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (i, j, np.zeros(0))
+
+
 def meetings(live: DataFrame, comps: DataFrame, reps: DataFrame, partners: int | None) -> DataFrame:
-    """Likely pairs (a, b) of documents that share a bucket and are in different components.
+    """Likely pairs (a, b) of documents that share a bucket and are in different components; `cut` names buckets with more.
 
-    In a bucket, the largest component's members (side L) meet only the others (side R), and those meet each other. Both are dealt in
-    blocks by a hash; a block of R meets a block of L or R in one task. With `partners`, a document of R gives only that
-    many best estimates in each other component and block; without, all.
+    A bucket of up to ONE_BLOCK members is one task. In a larger one the largest component's members (side 1) meet only the others
+    (side 0), and those meet each other; both are dealt in blocks by a hash. A pair is told only in the first bucket that it
+    shares. With `partners`, a document in a group of more than SHIFTS members tells that many best estimates in each
+    other component, and the bucket's key is told as cut if there were more; without, all.
     """
-    x = live.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+    x = live.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("comp"))
     per = x.groupBy("key", "comp").agg(F.count("*").alias("n"))
     per = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m"), F.count("*").alias("c")).where("c > 1")
     blocks = lambda n, size: F.ceil(n / size).cast("int")
-    per = per.select("key", F.col("top.comp").alias("major"), blocks(F.col("top.n"), LARGE_BLOCK).alias("cl"), blocks(F.col("m") - F.col("top.n"), SMALL_BLOCK).alias("cr"))
+    per = per.select("key", "m", F.col("top.comp").alias("major"), blocks(F.col("top.n"), LARGE_BLOCK).alias("cl"), blocks(F.col("m") - F.col("top.n"), SMALL_BLOCK).alias("cr"))
     x = x.join(per, "key").withColumn("is_l", F.col("comp") == F.col("major"))
-    mine = F.pmod(F.xxhash64("doc"), F.when(F.col("is_l"), F.col("cl")).otherwise(F.col("cr"))).cast("int")
-    x = x.withColumn("at", mine)
+    x = x.withColumn("at", F.pmod(F.xxhash64("doc"), F.when(F.col("is_l"), F.col("cl")).otherwise(F.col("cr"))).cast("int"))
     width = F.col("cl") + F.col("cr")
     rows_ = F.sequence(F.lit(0), F.col("cr") - 1)
-    # task i * width + j: block i of R against block j of L (j < cl) or block j - cl >= i of R
-    as_l = F.transform(rows_, lambda i: F.struct((i * width + F.col("at")).alias("task"), F.lit(True).alias("other")))
+    put = lambda task, side: F.struct(task.cast("int").alias("task"), F.lit(side).cast("byte").alias("side"))
+    # task i * width + j: block i of side 0 against block j of side 1 (j < cl) or block j - cl >= i of side 0
+    as_l = F.transform(rows_, lambda i: put(i * width + F.col("at"), 1))
     as_r = F.concat(
-        F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.when((j < F.col("cl")) | (j - F.col("cl") >= F.col("at")), F.struct((F.col("at") * width + j).alias("task"), F.lit(False).alias("other")))),
-        F.transform(rows_, lambda i: F.when(i < F.col("at"), F.struct((i * width + F.col("cl") + F.col("at")).alias("task"), F.lit(True).alias("other")))),
+        F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.when((j < F.col("cl")) | (j - F.col("cl") >= F.col("at")), put(F.col("at") * width + j, 0))),
+        F.transform(rows_, lambda i: F.when(i < F.col("at"), put(i * width + F.col("cl") + F.col("at"), 1))),
     )
-    x = x.select("key", "doc", "comp", F.explode(F.when(F.col("is_l"), as_l).otherwise(F.array_compact(as_r))).alias("t")).select("key", "doc", "comp", "t.task", "t.other")
-    x = x.join(reps.select(F.col("doc_id").alias("doc"), "sig"), "doc").select("key", "task", "other", "doc", "comp", "sig")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def meet(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        doc, comp, other = (group.column(c).to_numpy() for c in ("doc", "comp", "other"))
-        if len(doc) < 2:
-            return
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        left, right = np.flatnonzero(~other), np.flatnonzero(other)
+    tasks = F.when(F.col("m") <= ONE_BLOCK, F.array(put(F.lit(0), 0))).when(F.col("is_l"), as_l).otherwise(F.array_compact(as_r))
+    x = x.select("key", "band", "doc", "comp", F.explode(tasks).alias("t")).select("key", "band", "doc", "comp", "t.task", "t.side")
+    x = x.join(reps.select(F.col("doc_id").alias("doc"), "n", "sig"), "doc").select("key", "task", "side", "band", "doc", "comp", "n", "sig")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cut", pa.int64())])
+
+    def told(block: Block, i: np.ndarray, j: np.ndarray, cut: int | None = None) -> pa.RecordBatch:
+        x, y = block.doc[i], block.doc[j]
+        cuts = pa.nulls(len(x), pa.int64()) if cut is None else pa.array([cut] * len(x), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), cuts], schema=schema)
+
+    def large(block: Block, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        left, right = lo + np.flatnonzero(block.side[lo:hi] == 0), lo + np.flatnonzero(block.side[lo:hi] == 1)
         alone = not len(right)
-        if alone:
-            right = left
-        a, b = [], []
-        for i in left:
-            y = right[comp[right] != comp[i]]
-            if alone:
-                y = y[doc[y] > doc[i]]
-            if not len(y):
-                continue
-            e = estimate(sig[i][None, :], sig[y])
-            keep = e >= LEAST_ESTIMATE
-            y, e = y[keep], e[keep]
+        for n, i in enumerate(left):
+            y = left[n + 1 :] if alone else right
+            _, y, e = block.likely(np.full(len(y), i), y)
+            cut = None
             if partners and len(y) > partners:
-                order = np.lexsort((-e, comp[y]))
-                y = y[order]
-                new = np.concatenate([[True], comp[y][1:] != comp[y][:-1]])
-                rank = np.arange(len(y)) - np.maximum.accumulate(np.where(new, np.arange(len(y)), 0))
+                y = y[np.lexsort((-e, block.comp[y]))]
+                c = block.comp[y]
+                place = np.arange(len(y))
+                rank = place - np.maximum.accumulate(np.where(np.concatenate([[True], c[1:] != c[:-1]]), place, 0))
+                cut = int(block.key[i]) if (rank >= partners).any() else None
                 y = y[rank < partners]
-            a.append(np.minimum(doc[i], doc[y]))
-            b.append(np.maximum(doc[i], doc[y]))
-        if a:
-            yield _batch(schema, [np.concatenate(a), np.concatenate(b)])
+            if len(y):
+                yield told(block, np.full(len(y), i), y, cut)
+
+    def small(block: Block, group: np.ndarray, in_small: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """All groups of up to SHIFTS members at once: members d places apart, for each d."""
+        for d in range(1, SHIFTS):
+            i = np.flatnonzero((group[d:] == group[:-d]) & in_small[d:])
+            if not len(i):
+                break
+            i, j, _ = block.likely(i, i + d)
+            i, j = (x[(block.side[i] == 0) | (block.side[j] == 0)] for x in (i, j))
+            if len(i):
+                yield told(block, i, j)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            key, task = t.column("key").to_numpy(), t.column("task").to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (task[1:] != task[:-1])) + 1
-            for lo, hi in zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=False) if len(cuts) else ():
-                yield from meet(t.slice(lo, hi - lo))
-            rest = t.slice(cuts[-1] if len(cuts) else 0)
-        if rest is not None:
-            yield from meet(rest)
+        rest: list[pa.RecordBatch] = []
+
+        def work(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = Block(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+            new = np.concatenate([[True], (block.key[1:] != block.key[:-1]) | (block.task[1:] != block.task[:-1])])
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(new)))
+            group = np.cumsum(new)
+            yield from small(block, group, np.repeat(size <= SHIFTS, size))
+            for lo, n in zip(first[size > SHIFTS], size[size > SHIFTS], strict=True):
+                yield from large(block, lo, lo + n)
 
-    return x.repartition("key", "task").sortWithinPartitions("key", "task").mapInArrow(run, "a long, b long").distinct()
+        for whole in batches:
+            for at in range(0, len(whole), 8192):
+                b = whole.slice(at, 8192)
+                key, task = b.column("key").to_numpy(), b.column("task").to_numpy()
+                last = np.flatnonzero((key != key[-1]) | (task != task[-1]))
+                cut = int(last[-1]) + 1 if len(last) else 0
+                if cut:
+                    yield from work([*rest, b.slice(0, cut)])
+                    rest = []
+                elif rest and (rest[-1].column("key")[-1].as_py(), rest[-1].column("task")[-1].as_py()) != (int(key[-1]), int(task[-1])):
+                    yield from work(rest)
+                    rest = []
+                rest.append(b.slice(cut))
+        if rest:
+            yield from work(rest)
+
+    return x.repartition("key", "task").sortWithinPartitions("key", "task").mapInArrow(run, "a long, b long, cut long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -306,22 +369,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = shared.groupBy("doc").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("a")).select("a", F.col("doc").alias("b"))
     links = scratch.save(confirmed(likely(best, reps), sets), "links")
     comps = scratch.save(components(links, scratch), "components")
-    tried = None
+    todo, tried = live, None
     for partners in (PARTNERS, None):
-        pairs = meetings(live, comps, reps, partners)
+        told = scratch.save(meetings(todo, comps, reps, partners), "pairs")
+        pairs = told.select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        tried = pairs
         more = scratch.save(confirmed(pairs, sets), "links")
-        if more.isEmpty():
-            continue
-        # what is linked already is one component: its spanning links stand for all
-        known = comps.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        links = known.unionByName(more)
-        comps = scratch.save(components(links, scratch), "components")
+        if not more.isEmpty():
+            # what is linked already is one component: its spanning links stand for all
+            known = comps.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+            comps = scratch.save(components(known.unionByName(more), scratch), "components")
+        # only buckets in which a document had more partners than it told go on, with those that were tried left out
+        todo, tried = todo.join(told.where("cut is not null").select(F.col("cut").alias("key")).distinct(), "key", "left_semi"), told.select("a", "b").distinct()
 
     named = base.where("doc_id is not null").select("doc_id", "n", "fp").join(classes, "fp", "left").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
