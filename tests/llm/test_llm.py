@@ -214,6 +214,24 @@ def test_lines(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_lines_hash_routes_agree(spark, monkeypatch):
+    """Lane sums over exploded words, the one-expression route of long lines, and a majority in Python give the same SimHash."""
+    from jobloom.llm import lines
+
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choices("river apple stone cloud tree bird lamp glass".split(), k=n)) for n in (4, 5, 30, 301)]
+    df = spark.createDataFrame([(1, "\n".join([*texts, " - ", "A1--b  2,c"]))], "id long, text string")
+    by_lanes = {r.pos: (r.len, r.sim) for r in lines.occurrences(df).collect()}
+    monkeypatch.setattr(lines, "LANE", 3)
+    assert {r.pos: (r.len, r.sim) for r in lines.occurrences(df).collect()} == by_lanes
+    assert by_lanes[5] == (8, None) and 4 not in by_lanes
+    hashes = {r.w: r.h & (1 << 64) - 1 for r in spark.createDataFrame([(w,) for t in texts for w in set(t.split())], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    for k, t in enumerate(texts):
+        ws = t.split()
+        want = sum(1 << b for b in range(64) if 2 * sum(hashes[w] >> b & 1 for w in ws) > len(ws))
+        assert by_lanes[k][1] & (1 << 64) - 1 == want
+
+
 def test_lines_fuzzy(spark):
     from jobloom.llm.lines import dedup_lines
 
