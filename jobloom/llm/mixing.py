@@ -2,12 +2,15 @@
 
 Time is in slots, one block of rows each. Block j (from 1) of a source of weight w is released at floor((j - 1) / w) and due at
 ceil(j / w); earliest deadline first picks a released block for every slot. With weights p / P in whole parts of a cycle of P
-slots the schedule repeats after P slots, so one cycle is worked out and every block of any corpus looks up its slot in it.
+slots the schedule repeats after P slots, so one cycle is worked out and every block of any corpus looks up its slot in it. The
+cycle grows with the smallest share; sources too rare for the longest one are not rounded up: their blocks go between the slots,
+each at a place of its own window that is computed from the exact weight.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,10 @@ from .common import table, top_bits
 #: Slots of a cycle: weights are rounded to parts of it. It is raised to four slots a source where there are many sources.
 CYCLE = 1_000
 MAX_SOURCES = 20_000
+#: Parts that the smallest share of a cycle has at least (rounding moves a share by less than one part), and the longest cycle.
+LEAST_PARTS, MAX_CYCLE = 64, 100_000
+#: Steps of this size spread the rare sources' places in their windows evenly.
+GOLDEN = 0.6180339887498949
 BLOCK_ROWS = 8
 
 
@@ -64,6 +71,16 @@ def schedule(p: dict, cycle: int) -> list[tuple]:
     return out
 
 
+def split_rare(weights: dict, cycle: int = CYCLE) -> tuple[dict, dict, int]:
+    """Weights for a cycle, the blocks a slot of sources too rare for one, and the cycle's least length."""
+    total = sum(w for w in weights.values() if w and w > 0)
+    share = {k: w / total for k, w in weights.items() if w and w > 0}
+    common = {k: w for k, w in share.items() if w * MAX_CYCLE >= LEAST_PARTS}
+    slots = sum(common.values()) or 1.0
+    cycle = max(cycle, math.ceil(LEAST_PARTS * slots / min(common.values()))) if common else cycle
+    return common, {k: w / slots for k, w in share.items() if k not in common}, cycle
+
+
 def tempered(sizes: dict, alpha: float = 0.7, share: float = 0.9) -> dict:
     """Target weights n**alpha, but no source over its rows when `share` of all rows is drawn: water-filling of the rest."""
     goal, full, free = share * sum(sizes.values()), {}, dict(sizes)
@@ -82,10 +99,11 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
 
     `weights`: target weight by source (null is a source); default `tempered` row counts. A source's rows are ordered by a
     hash of the id (then id) and cut in blocks of `block_rows`; block j takes the j-th place of its source in the schedule, and
-    position orders the mix: slot * block_rows + place in the block. in_mix says that the row lies before the horizon, the first
-    slot for which its source has no whole block left (a source with less than one block counts what it has as one): up to there
-    every source has its weight to less than one block. Rows past the horizon keep their slots and are not in the mix, as are
-    rows of sources without a positive weight, whose slot is null. Columns of the added names are replaced. An empty table
+    position orders the mix: by slot, in a slot the cycle's block before those of rare sources, then by place in the block. in_mix
+    says that the row lies before the horizon, the first slot for which its source has no row left: up to there every source has
+    its weight to less than two blocks, as its last block may not be full. Default weights are rows to draw, so the horizon is
+    not before all slots of that draw, and a source that runs dry by rounding leaves its later slots empty. Rows past the horizon
+    keep their slots and are not in the mix, as are rows of sources without a positive weight, whose slot is null. Columns of the added names are replaced. An empty table
     gives an empty result. Repeated ids are rows of their own.
     """
     spark = docs.sparkSession
@@ -94,14 +112,22 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: give a coarser source column")
     sizes = {r.s: r.n for r in counts}
-    weights = tempered(sizes) if weights is None else {k: w for k, w in weights.items() if k in sizes}
-    p, cycle = parts(weights, cycle)
+    drawn = 0.0
+    if weights is None:
+        weights = tempered(sizes)
+        drawn = sum(weights.values())
+    common, rare, cycle = split_rare({k: w for k, w in weights.items() if k in sizes}, cycle)
+    p, cycle = parts(common, cycle)
     plan = schedule(p, cycle) if p else []
-    # the first slot that finds no block: the next one of each source after its last whole block
+    # the first slot that finds no row: the next one of each source after its last block
     starts: dict = {}
     for k, j, _, _, slot in plan:
         starts.setdefault(k, {})[j] = slot
-    horizon = min(((b := max(1, sizes[k] // block_rows)) // p[k] * cycle + starts[k][b % p[k]] for k in p), default=0)
+    last = {k: -(-sizes[k] // block_rows) for k in [*p, *rare]}
+    phase = {k: (i + 0.5) * GOLDEN % 1 for i, k in enumerate(sorted(rare, key=lambda k: (k is None, str(k))))}
+    ends = [last[k] // p[k] * cycle + starts[k][last[k] % p[k]] for k in p] + [math.floor((last[k] + phase[k]) / rare[k]) for k in rare]
+    all_slots = math.ceil(drawn / block_rows * (sum(common.values()) or 1.0))
+    horizon = max(min(ends, default=0), all_slots)
 
     # Rank in the source: buckets of a hash of the id, so that no task holds a whole source.
     key = F.xxhash64(id_col)
@@ -116,18 +142,22 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     x = x.select("_doc", F.col("x._s").alias("_s"), row.alias("_row")).withColumn("block", F.floor(F.col("_row") / block_rows))
     rows = [(k, p[k], j, release, due, slot) for k, j, release, due, slot in plan]
     table_ = spark.createDataFrame(rows, f"_k {docs.schema[source_col].dataType.simpleString()}, _p int, _j int, _release int, _due int, _slot int")
-    sizes_ = spark.createDataFrame([(k, n) for k, n in p.items()], f"_k {docs.schema[source_col].dataType.simpleString()}, _parts int")
-    x = x.alias("x").join(F.broadcast(sizes_).alias("p"), F.col("x._s").eqNullSafe(F.col("p._k")), "left").select("_doc", "_s", "_row", "block", "_parts")
+    lanes = {k: i for i, k in enumerate(phase, 1)}
+    known = [(k, n, None, None, 0) for k, n in p.items()] + [(k, 1, w, phase[k], lanes[k]) for k, w in rare.items()]
+    sizes_ = spark.createDataFrame(known, f"_k {docs.schema[source_col].dataType.simpleString()}, _parts int, _rate double, _phase double, _lane int")
+    x = x.alias("x").join(F.broadcast(sizes_).alias("p"), F.col("x._s").eqNullSafe(F.col("p._k")), "left").select("_doc", "_s", "_row", "block", "_parts", "_rate", "_phase", "_lane")
     x = x.alias("x").join(F.broadcast(table_).alias("c"), F.col("x._s").eqNullSafe(F.col("c._k")) & (F.pmod("x.block", "x._parts") == F.col("c._j")), "left")
     turn = F.floor(F.col("block") / F.col("_parts")) * cycle
-    slot = turn + F.col("_slot")
+    # a rare source has less than one block a slot, so its own blocks never share a slot
+    placed = lambda rare_, in_cycle: F.when(F.col("_rate").isNotNull(), rare_.cast("long")).otherwise(turn + F.col(in_cycle))
+    slot = placed(F.floor((F.col("block") + F.col("_phase")) / F.col("_rate")), "_slot")
     return x.select(
         *[F.col(f"_doc.`{c}`") for c in docs.columns],
         "block",
-        (turn + F.col("_release")).alias("release"),
-        (turn + F.col("_due")).alias("deadline"),
+        placed(F.floor(F.col("block") / F.col("_rate")), "_release").alias("release"),
+        placed(F.ceil((F.col("block") + 1) / F.col("_rate")), "_due").alias("deadline"),
         slot.alias("slot"),
-        (slot * block_rows + F.pmod("_row", F.lit(block_rows))).alias("position"),
+        ((slot * (1 + len(rare)) + F.col("_lane")) * block_rows + F.pmod("_row", F.lit(block_rows))).alias("position"),
         F.coalesce(slot < horizon, F.lit(False)).alias("in_mix"),
     )
 

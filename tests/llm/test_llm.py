@@ -275,6 +275,28 @@ def test_mix(spark):
     assert mix(empty(spark)).count() == 0 and mix(docs_of(spark)).count() == len(EDGE)
 
 
+def test_mix_keeps_its_share_with_rare_sources(spark):
+    """One row of another or a null source, or a few, must not end the default mix."""
+    from jobloom.llm.mixing import mix
+
+    big = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("source"))
+    for more in ([("one", 1)], [(None, 1), ("few", 15)], [("some", 80), ("more", 413), (None, 9)]):
+        rows = [(10**6 + 1000 * i + j, k) for i, (k, n) in enumerate(more) for j in range(n)]
+        out = mix(big.unionByName(spark.createDataFrame(rows, "doc_id long, source string"))).persist()
+        got = {r.source: (r.n, r.kept) for r in out.groupBy("source").agg(F.count("*").alias("n"), F.count_if("in_mix").alias("kept")).collect()}
+        n = sum(v[0] for v in got.values())
+        assert 0.89 * n < sum(v[1] for v in got.values()) < 0.92 * n
+        assert all(got[k][1] >= min(v, 0.96 * v - 8) for k, v in more)
+        assert out.select(F.count_distinct("position"), F.count_if(F.expr("release > slot or slot >= deadline"))).first()[:] == (n, 0)
+        # rare rows lie all over the mix and not at its beginning
+        places = [r.slot for r in out.where("source not in ('x', 'y')").orderBy("slot").collect()]
+        assert len(rows) < 100 or places[len(places) // 2] > 0.3 * 0.9 * n / 8
+        out.unpersist()
+    # one document more of another source costs some rows at most, with explicit weights as well
+    weights = {"x": 1 / 3, "y": 2 / 3, "one": 1 / 200_001}
+    assert mix(big.unionByName(spark.createDataFrame([(-1, "one")], big.schema)), weights).where("in_mix").count() > 0.99 * 200_000
+
+
 # -- WARC -------------------------------------------------------------------------------------------------------------------------
 
 
