@@ -1,8 +1,9 @@
-"""Benchmark decontamination by spaced-seed hashing, in DataFrame functions alone.
+"""Benchmark decontamination by token runs and diagonals, in DataFrame functions alone.
 
-A mask looks at some positions of a window of tokens and ignores the others, so a window with substituted tokens in ignored
-places keeps its hash. Masked hashes of the texts are joined with those of the benchmark; a hit names an item and a diagonal
-(text position minus item position), and the tokens along the diagonal are compared for the overlap around the hit.
+Hashes of all runs of SEED tokens of the texts are joined with those of the benchmark; a hit names an item and a diagonal (text
+position minus item position), and the tokens along the diagonal are compared for the overlap around the hit. An overlap with
+s substitutions that scores MIN_SCORE has MIN_SCORE + s equal tokens in at most s + 1 runs, so one run has 3 tokens or more
+while s is at most 7: all those overlaps are hit, at any length of item.
 """
 
 from __future__ import annotations
@@ -12,12 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, table
 
-#: Positions that each mask looks at in a window of SPAN tokens.
-SPAN = 12
-MASKS = ((0, 1, 2, 4, 7, 8, 10, 11), (0, 1, 3, 4, 5, 8, 9, 11))
+#: Tokens of a run that is a seed.
+SEED = 3
 #: An overlap counts from this score: +1 for an equal token, -1 for a substituted one, best run along the diagonal.
 MIN_SCORE = 10
-#: Items of fewer tokens than this are no evidence; from this to SPAN - 1 tokens the whole item has to occur.
+#: Items of fewer tokens than this are no evidence; items of up to MIN_SCORE tokens have to occur whole.
 MIN_TOKENS = 5
 
 
@@ -27,23 +27,11 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(h: Column, masks=MASKS, span: int = SPAN) -> Column:
-    """Masked hashes of all windows, mask after mask: element m * (n - span + 1) + i is mask m at position i."""
-    last = F.size(h) - span
+def seeds(h: Column) -> Column:
+    """Hashes of all runs of SEED tokens, by position."""
+    last = F.size(h) - SEED
     at = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
-
-    def masked(k: int, mask: tuple[int, ...]) -> Column:
-        return F.transform(at, lambda i: F.xxhash64(F.lit(k), *[F.get(h, i + j) for j in mask]))
-
-    each = [masked(k, mask) for k, mask in enumerate(masks)]
-    return F.when(last >= 0, F.concat(*each)).otherwise(F.array().cast("array<bigint>"))
-
-
-def short_seeds(h: Column, n: int) -> Column:
-    """Hashes of all runs of n tokens, for items of fewer than SPAN."""
-    last = F.size(h) - n
-    at = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
-    return F.when(last >= 0, F.transform(at, lambda i: F.xxhash64(F.lit(-n), F.slice(h, i + 1, n)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(last >= 0, F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(SEED)]))).otherwise(F.array().cast("array<bigint>"))
 
 
 def benchmark_index(benchmark: DataFrame) -> DataFrame:
@@ -58,39 +46,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     score is the best run along the diagonal (+1 equal, -1 substituted); doc_from is the token of the text at which the item
     would begin. Rows of one doc_id are read as texts of one document. Null ids, null or empty texts have no overlaps.
     """
-    items = benchmark_index(benchmark).persist()
-    try:
-        shape = items.agg(F.sum(F.greatest(F.col("n") - SPAN + 1, F.lit(1)) * len(MASKS)).alias("rows"), F.array_sort(F.collect_set(F.when(F.col("n") < SPAN, F.col("n")))).alias("short")).first()
-    finally:
-        items.unpersist()
-    items, rows, short = benchmark_index(benchmark), shape.rows or 0, list(shape.short or [])
-    per_mask = lambda n: F.greatest(n - SPAN + 1, F.lit(1))
-    long_ = items.where(F.col("n") >= SPAN).select("item_id", "n", F.posexplode(seeds(F.col("h"))).alias("k", "seed")).withColumn("p", F.pmod("k", per_mask(F.col("n"))))
-    whole = items.where(F.col("n") < SPAN).select("item_id", F.xxhash64(-F.col("n"), "h").alias("seed"), F.lit(0).alias("p"))
-    # a seed that an item holds at several places is tried at its first: repeated tokens do not multiply hits
-    index = long_.select("item_id", "seed", "p").unionByName(whole).groupBy("seed", "item_id").agg(F.min("p").alias("p"))
+    items = benchmark_index(benchmark)
+    rows = items.agg(F.sum(F.col("n") - SEED + 1).alias("rows")).first().rows or 0
+    # every place of a seed in an item counts: each is a diagonal of its own
+    index = items.select("item_id", "n", F.posexplode(seeds(F.col("h"))).alias("p", "seed")).distinct()
     index = F.broadcast(index) if rows <= BROADCAST_ROWS else index
 
     d = docs.where("doc_id is not null").select("doc_id", token_hashes(F.col("text")).alias("h"))
-    n = F.size("h")
-    # runs of each short length follow the masks; position k of the exploded array leads back to the place in the text
-    runs = [short_seeds(F.col("h"), int(k)) for k in short]
-    hits = d.select("doc_id", n.alias("dn"), F.posexplode(F.concat(seeds(F.col("h")), *runs)).alias("k", "seed")).join(index, "seed")
-    masked = len(MASKS) * F.greatest(F.col("dn") - SPAN + 1, F.lit(0))
-    place, start = F.when(F.col("k") < masked, F.pmod("k", F.greatest(F.col("dn") - SPAN + 1, F.lit(1)))), masked
-    for k in short:
-        length = F.greatest(F.col("dn") - int(k) + 1, F.lit(0))
-        place = F.coalesce(place, F.when(F.col("k") < start + length, F.col("k") - start))
-        start = start + length
-    diagonals = hits.select("doc_id", "item_id", (place - F.col("p")).cast("int").alias("diagonal")).distinct()
-
-    # the texts come back for documents with hits; each diagonal's tokens are cut out before they meet the items
-    back = docs.where("doc_id is not null").select("doc_id", "text").join(diagonals, "doc_id")
-    back = back.withColumn("h", token_hashes(F.col("text"))).drop("text")
+    hits = d.select("doc_id", F.posexplode(seeds(F.col("h"))).alias("k", "seed")).join(index, "seed")
+    diagonals = hits.select("doc_id", "item_id", "n", (F.col("k") - F.col("p")).cast("int").alias("diagonal")).distinct()
+
+    # the texts come back once for each document with hits; each diagonal's tokens are cut out before they meet the items
+    per_doc = diagonals.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n", "diagonal")).alias("ds"))
+    back = docs.where("doc_id is not null").select("doc_id", "text").join(per_doc, "doc_id")
+    cut = lambda h, x: F.struct(x["item_id"].alias("item_id"), x["n"].alias("n"), x["diagonal"].alias("diagonal"), F.slice(h, F.greatest(x["diagonal"], F.lit(0)) + 1, x["n"] + F.least(x["diagonal"], F.lit(0))).alias("h"))
+    # the outer array binds the hashes to a name; else they would be made again for each diagonal
+    took = F.transform(F.array(token_hashes(F.col("text"))), lambda h: F.when(F.size(h) >= SEED, F.transform(F.filter("ds", lambda x: x["diagonal"] < F.size(h)), lambda x: cut(h, x))))
+    back = back.select("doc_id", F.explode(took[0]).alias("x")).select("doc_id", "x.*")
     tokens = items.withColumnRenamed("h", "item_h")
-    both = back.join(F.broadcast(tokens) if rows <= BROADCAST_ROWS else tokens, "item_id")
-    at = lambda i: F.get("h", F.greatest(F.col("diagonal") + i, F.lit(0)))
-    steps = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.when((F.col("diagonal") + i >= 0) & F.coalesce(at(i) == F.get("item_h", i), F.lit(False)), 1).otherwise(-1))
+    both = back.join(F.broadcast(tokens) if rows <= BROADCAST_ROWS else tokens, ["item_id", "n"])
+    place = lambda i: i + F.least(F.col("diagonal"), F.lit(0))
+    steps = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.when((place(i) >= 0) & F.coalesce(F.get("h", F.greatest(place(i), F.lit(0))) == F.get("item_h", i), F.lit(False)), 1).otherwise(-1))
     run = F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), lambda acc, s: F.struct(F.greatest(acc["now"] + s, F.lit(0)).alias("now"), F.greatest(acc["best"], acc["now"] + s).alias("best")), lambda acc: acc["best"])
     scored = both.select("doc_id", "item_id", "n", "diagonal", run.alias("score")).where(F.col("score") >= F.least(F.lit(MIN_SCORE), F.col("n")))
     return scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("diagonal"))).alias("b"), F.max("n").alias("n_tokens")).select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("doc_from"), "n_tokens")

@@ -175,6 +175,37 @@ def test_neardup_parts():
     assert abs(estimate(sketch(a)[None], sketch(b)[None])[0] - true) < 0.12
 
 
+def test_decontaminate_brute_force(spark):
+    """All overlaps of items of all lengths with random substitutions, against every diagonal."""
+    from jobloom.llm.decontaminate import MIN_SCORE, MIN_TOKENS, overlaps
+
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=5))
+    items = {i: [word() for _ in range(n)] for i, n in enumerate([*range(3, 26), 40])}
+    items[90] = ["la", "li", "lo"] * 5 + [word() for _ in range(4)]  # repeats its seeds
+    texts = {}
+    for i, item in items.items():
+        for subs in range(8):
+            for _ in range(4):
+                at = set(rnd.sample(range(len(item)), min(subs, len(item))))
+                cut = rnd.choice((0, 0, 1, 3))
+                texts[len(texts)] = [word() for _ in range(rnd.choice((0, 6)))] + [word() if k in at else w for k, w in enumerate(item)][cut:] + [word() for _ in range(rnd.choice((0, 6)))]
+    want = {}
+    for doc, text in texts.items():
+        for i, item in items.items():
+            best = 0
+            for diagonal in range(-len(item) + 1, len(text)):
+                now = 0
+                for k, w in enumerate(item):
+                    now = max(0, now + (1 if 0 <= diagonal + k < len(text) and text[diagonal + k] == w else -1))
+                    best = max(best, now)
+            if len(item) >= MIN_TOKENS and best >= min(MIN_SCORE, len(item)):
+                want[doc, i] = best
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in overlaps(docs, bench).collect()} == want and len(want) > 300
+
+
 # -- sharding ---------------------------------------------------------------------------------------------------------------------
 
 
