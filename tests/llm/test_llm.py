@@ -274,6 +274,42 @@ def test_lines_fuzzy(spark):
     assert out[1] == 0 and out[3] == 0 and out[2] in (0, 1)
 
 
+def test_lines_recall(spark):
+    """Every pair of lines with one word or letter changed, added or lost, or up to three words of a longer line, that edit similarity links."""
+    from jobloom.llm.lines import dedup_lines
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rnd = random.Random(23)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrst", k=rnd.randint(3, 7)))
+    letter = lambda w: (lambda k: w[:k] + rnd.choice("uvwxyz") + w[k + 1 :])(rnd.randrange(len(w)))
+    pairs = []
+    for n in (1, 2, 6, 10, 11, 12, 13, 15, 20, 30):
+        for kind in ("word", "letter", "add", "lose", "three"):
+            for _ in range(4):
+                a = [word() * (6 if n < 4 else 1) for _ in range(n)]
+                b, k = list(a), rnd.randrange(n)
+                for k in rnd.sample(range(n), 3 if kind == "three" and n >= 12 else 1):
+                    b[k] = word() if kind == "word" and n >= 4 else letter(b[k])
+                if kind == "add" and n >= 4:
+                    b = a[:k] + [word()] + a[k:]
+                if kind == "lose" and n >= 4:
+                    b = a[:k] + a[k + 1 :]
+                a, b = " ".join(a), " ".join(b)
+                if min(len(a), len(b)) >= 20 and 0 < distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9):
+                    pairs.append((a, b))
+    rows = [(i, "\n".join(p)) for i, p in enumerate(pairs)]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got.values())
+    assert len(pairs) > 120 and all(got[i] == 1 for i in range(len(pairs))), f"found {found} of {len(pairs)}"
+
+
 # -- mixing -----------------------------------------------------------------------------------------------------------------------
 
 
