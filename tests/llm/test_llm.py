@@ -415,6 +415,20 @@ def test_token_counts(spark):
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
 
 
+def test_token_counts_specials_in_other_case(spark):
+    """Only the exact special strings are special; in other case they are text."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from jobloom.llm.token_counts import count_tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["<|ENDOFTEXT|>", "<|endofText|>", "a <|STARTOFTEXT|> b", "<|startoftext|>x<|EndOfText|>", "<|endoftext|>", "<|END", "!<|ENDOFTEXT|><|endoftext|>"]
+    t = Tokenizer.from_file(path)
+    out = count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert {texts[r.doc_id]: r.n_tokens for r in out} == {x: len(t.encode(x, add_special_tokens=False)) for x in texts}
+
+
 # -- queries and pipeline -----------------------------------------------------------------------------------------------------------
 
 
