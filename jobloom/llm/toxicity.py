@@ -1,9 +1,10 @@
 """Toxicity: a weighted finite-state grammar over clauses, with a lexicon and arc weights learned from labelled rows.
 
-Texts are cut in clauses; each token becomes a symbol by lookup. Five small weighted transducers (insult, threat, target,
-negation, reported speech) are composed in one machine that reads a clause's symbols from left to right and emits weighted
-matches; a document's score is a calibrated function of its matched clauses. Tokens outside all lexicons are read as
-gaps, so a match needs its parts in one clause, and a lone listed word counts as the clause that it forms.
+Each token of a text is read as a symbol: insult, threat, target, negation, report, quotation mark or other. Five weighted
+transducers are tables of arcs: one marks an insult or a threat (insult and threat share a start), the others read its tape and
+tell whether the mark is negated, reported, or aimed at a target. Their composition is worked out once, as the product of their states; a clause's
+evidence is the sum over all accepted paths of the products of their weights. A clause of a single word is no clause and a
+threat without a target is none, so isolated words score nothing. A document's score is a calibrated function of its clauses.
 """
 
 from __future__ import annotations
@@ -22,25 +23,127 @@ from pyspark.sql import functions as F
 
 from .common import small, table
 
-#: Labelled documents that a model is fitted on at most (a hash of doc_id chooses them), and terms of its lexicon at most.
-SAMPLE_DOCS, MAX_TERMS = 12_000, 4_000
+#: Labelled documents that a model is fitted on, about (a hash of doc_id chooses them).
+SAMPLE_DOCS = 12_000
 STEMS = (4, 5, 6, 7, 8)
 #: A term is listed when toxic texts hold it e**MIN_ODDS times as often as others; a listed insult that no label contradicts has SEED_ODDS.
 MIN_ODDS, SEED_ODDS = 3.5, 5.0
 
 # Fixed closed-class words of the grammar in the four languages of the corpus.
 NEGATION = "not no never nor cannot isn't don't nicht kein keine nie pas ne jamais aucun nunca ni".split()
-REPORT = "said says quoted called wrote claims sagte sagt nannte schrieb dit disait appelle dijo dice llama".split()
+REPORT_WORDS = "said says quoted called wrote claims sagte sagt nannte schrieb dit disait appelle dijo dice llama".split()
 TARGET = "you your yours u du dich dein ihr euch tu toi vous ton tes usted ustedes tus eres".split()
 INSULT = "idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting dumb jerk bastard filth dummkopf abschaum trottel arschloch drecksau crétin imbécile connard ordure salaud estúpido imbécil basura escoria cabrón".split()
 THREAT = "kill hurt destroy beat shoot burn attack töten schlagen verbrennen tuer frapper brûler matar golpear quemar".split()
 
-TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]+")
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»]|[.!?;\n]+")
+MARKS, QUOTES = frozenset(".!?;\n"), frozenset('"“”„«»')
+
+# -- the grammar: machines as tables of arcs ---------------------------------------------------------------------------------
+
+#: Symbols of the first tape. I and H of the later tapes are i and h where they are the marked insult or threat of a path.
+SYMBOLS = "INTRQHO"
+END = "$"
+
+
+@dataclass(frozen=True)
+class Machine:
+    """(state, input) -> [(next state, output, label)]; any other input but the end is copied and leaves the state.
+
+    A label names the weight of an arc. `end` says what a state makes of the end of a clause, as arcs do; a state that does not
+    know an end accepts nothing. `keeps` are the states that the next clause starts in.
+    """
+
+    start: str
+    arcs: dict
+    end: dict
+    keeps: frozenset = frozenset()
+
+    def step(self, state: str, symbol: str) -> list[tuple]:
+        if symbol.startswith(END):
+            return self.end.get((state, symbol), [])
+        return self.arcs.get((state, symbol), [(state, symbol, None)])
+
+
+_SAME = {"$i": [("", "$i", None)], "$h": [("", "$h", None)]}
+
+
+def _ends(states: str) -> dict:
+    """Both kinds of clause end pass in these states."""
+    return {(s, e): arcs for s in states.split() for e, arcs in _SAME.items()}
+
+
+#: Insult and threat: a path marks one of them, or goes on without it.
+MARK = Machine(
+    "open",
+    {("open", "I"): [("open", "I", None), ("insult", "i", "insult")], ("open", "H"): [("open", "H", None), ("threat", "h", "threat")]},
+    {("insult", END): [("", "$i", None)], ("threat", END): [("", "$h", None)]},
+)
+#: A negation reaches two tokens far.
+NEGATE = Machine(
+    "free",
+    {(s, "N"): [("two", "N", None)] for s in ("free", "two", "one")}
+    | {(s, x): [(t, x, "negation" if x in "ih" else None)] for s, t in (("two", "one"), ("one", "free")) for x in "ITRQHOih"},
+    _ends("free two one"),
+)
+#: What follows a word of report is reported up to the end of the clause, and in quotation marks up to the closing one.
+REPORT = Machine(
+    "plain",
+    {("plain", "R"): [("reported", "R", None)], ("reported", "Q"): [("quoted", "Q", None)], ("quoted", "Q"): [("plain", "Q", None)]}
+    | {(s, x): [(s, x, "report")] for s in ("reported", "quoted") for x in "ih"},
+    _ends("plain reported quoted"),
+    frozenset({"quoted"}),
+)
+#: A target anywhere in the clause; a threat needs one.
+TARGET_SEEN = Machine(
+    "none",
+    {("none", "T"): [("seen", "T", None)]},
+    {("none", "$i"): [("", "$i", None)], ("seen", "$i"): [("", "$i", "target")], ("seen", "$h"): [("", "$h", "target")]},
+)
+#: A clause has two words at least.
+WORDS = Machine(
+    "no",
+    {("no", x): [("one", x, None)] for x in "INTRHOih"} | {("one", x): [("more", x, None)] for x in "INTRHOih"},
+    _ends("more"),
+)
+GRAMMAR = (MARK, NEGATE, REPORT, TARGET_SEEN, WORDS)
+LABELS = ("threat", "negation", "report", "target")
+
+
+def compose(machines: tuple[Machine, ...]) -> tuple[dict, dict, dict]:
+    """The product machine of all reachable states: arcs, ends, and the start of the clause that follows.
+
+    arcs: (state, symbol) -> [(next state, labels)]; ends: state -> [labels] of accepted paths; a state is a tuple of states.
+    """
+
+    def through(states: tuple, symbol: str) -> list[tuple]:
+        found = [((), symbol, ())]
+        for m, s in zip(machines, states, strict=True):
+            found = [((*at, t), y, (*labels, label) if label else labels) for at, x, labels in found for t, y, label in m.step(s, x)]
+        return [(at, frozenset(labels)) for at, _, labels in found]
+
+    begin = tuple(m.start for m in machines)
+    arcs, ends, after, waiting = {}, {}, {}, [begin]
+    while waiting:
+        at = waiting.pop()
+        if at in after:
+            continue
+        after[at] = tuple(s if s in m.keeps else m.start for m, s in zip(machines, at, strict=True))
+        ends[at] = [labels for _, labels in through(at, END)]
+        waiting.append(after[at])
+        for x in SYMBOLS:
+            arcs[at, x] = through(at, x)
+            waiting += [t for t, _ in arcs[at, x]]
+    return arcs, ends, after
+
+
+ARCS, ENDS, AFTER = compose(GRAMMAR)
+BEGIN = tuple(m.start for m in GRAMMAR)
 
 
 @dataclass
 class Model:
-    """Lexicon weights (whole words and stems), arc factors, and the calibration score -> probability."""
+    """Lexicon weights (whole words and stems), arc weights, and the calibration score -> probability."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
@@ -55,51 +158,52 @@ class Model:
         return max((self.stems.get(word[:k], 0.0) for k in STEMS if len(word) >= k), default=0.0) if self.stems else 0.0
 
 
+def symbol(token: str, model: Model) -> tuple[str, float]:
+    """A token's symbol and the weight of its arc."""
+    if token in QUOTES:
+        return "Q", 1.0
+    w = model.insult(token)
+    return ("I", w) if w else (_KINDS.get(token, "O"), 1.0)
+
+
 def clause_matches(tokens: list[str], model: Model) -> list[tuple[float, frozenset[str]]]:
-    """The composed machine over one text: (weight, arcs taken) of each clause with a match.
+    """The composed machine over one text: (weight, labels of arcs) of each clause's accepted paths, equal labels summed.
 
-    Per clause the states are negated (a negation at most 2 tokens back), reported (a report word before), targeted (a target word
-    seen) and the weight so far; an insult adds its weight, under negation scaled by that arc; a threat beside a target matches
-    alone. What follows a clause mark starts anew.
+    Forward sums: for each state and set of labels the weight of all paths that lead there.
     """
     out = []
-    weight, arcs, gap, reported, target, threat = 0.0, set(), 9, False, False, False
-
-    def close() -> None:
-        nonlocal weight, arcs
-        if threat and target:
-            weight += 1.0
-            arcs.add("threat")
-        if weight:
-            if target:
-                arcs.add("target")
-            if reported:
-                arcs.add("report")
-            out.append((weight, frozenset(arcs)))
+    here: dict = {(BEGIN, frozenset()): 1.0}
+
+    def close() -> dict:
+        found: dict = {}
+        for (at, labels), w in here.items():
+            for more in ENDS[at]:
+                found[labels | more] = found.get(labels | more, 0.0) + w
+        out.extend((w, labels - {"insult"}) for labels, w in found.items())
+        # the unmarked path alone goes on: it has read every token
+        return {(AFTER[next(at for (at, labels) in here if not labels)], frozenset()): 1.0}
 
     for t in tokens:
-        if t[0] in ".!?;:\n":
-            close()
-            weight, arcs, gap, reported, target, threat = 0.0, set(), 9, False, False, False
+        if t[0] in MARKS:
+            here = close()
             continue
-        w = model.insult(t)
-        if w:
-            if gap <= 2:
-                arcs.add("negation")
-            weight += w
-        gap = 0 if t in _NEGATION else gap + 1
-        reported = reported or (t in _REPORT and not weight)
-        target = target or t in _TARGET
-        threat = threat or t in _THREAT
+        x, weight = symbol(t, model)
+        nxt: dict = {}
+        for (at, labels), w in here.items():
+            for to, more in ARCS[at, x]:
+                key = to, labels | more
+                nxt[key] = nxt.get(key, 0.0) + w * (weight if more & _MARKED else 1.0)
+        here = nxt
     close()
     return out
 
 
-_NEGATION, _REPORT, _TARGET, _THREAT = map(frozenset, (NEGATION, REPORT, TARGET, THREAT))
+_MARKED = frozenset({"insult", "threat"})
+_KINDS = {w: k for k, ws in (("R", REPORT_WORDS), ("T", TARGET), ("N", NEGATION), ("H", THREAT)) for w in ws}
 
 
 def evidence(matches: list[tuple[float, frozenset[str]]], factors: dict[str, float]) -> float:
-    """Sum of clause weights, each scaled by the factors of its arcs."""
+    """Sum of the weights of all paths: lexicon weights times the weights of their labelled arcs."""
     return sum(w * math.prod(factors[a] for a in arcs) for w, arcs in matches)
 
 
@@ -124,7 +228,7 @@ def fit(labelled: DataFrame) -> Model:
         pos, neg, n = Counter(), Counter(), [0, 0]
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = {t for t in tokens_of(text) if t[0] not in ".!?;:\n"}
+                words = {t for t in tokens_of(text) if t[0] not in MARKS and t not in QUOTES}
                 terms = {"w" + t for t in words} | {f"s{t[:k]}" for t in words for k in STEMS if len(t) >= k}
                 (pos if toxic else neg).update(terms)
                 n[1 - toxic] += 1
@@ -146,7 +250,7 @@ def fit(labelled: DataFrame) -> Model:
         n = F.col("pos") + F.col("neg")
         gain = F.col("pos") * F.log(F.col("pos") / (n * p)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (n * (1 - p)))).otherwise(0.0)
         odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-        top = counts.where("term <> ''").withColumns({"gain": gain, "odds": odds}).where((F.col("gain") > math.log(tried + 1) + 1) & (F.col("odds") > MIN_ODDS) & (F.col("pos") > 0)).orderBy(F.desc("gain"), "term").limit(MAX_TERMS).collect()
+        top = counts.where("term <> ''").withColumns({"gain": gain, "odds": odds}).where((F.col("gain") > math.log(tried + 1) + 1) & (F.col("odds") > MIN_ODDS) & (F.col("pos") > 0)).collect()  # terms of the sample
         seen = {r.term[1:]: r for r in counts.where(F.col("term").isin(["w" + w for w in INSULT])).collect()}
     finally:
         counts.unpersist()
@@ -169,7 +273,8 @@ def fit(labelled: DataFrame) -> Model:
 
 
 def _grid() -> list[dict[str, float]]:
-    return [{"negation": a, "report": b, "target": c, "threat": 2.0} for a in (0.5, 1.0) for b in (0.5, 1.0) for c in (1.0, 1.5)]
+    """Weights to choose from; each arc keeps a weight of its own in all of them."""
+    return [{"negation": a, "report": b, "target": c, "threat": d} for a in (0.3, 0.7) for b in (0.3, 0.7) for c in (1.25, 2.0) for d in (1.0, 3.0)]
 
 
 def _match_rows(model: Model):
@@ -201,10 +306,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """The probability that a text is toxic, 0 to 1, for the rows of `docs`; a null text is scored as an empty one."""
+
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         listed = set(model.words)
         stems = set(model.stems)
-        rest = _THREAT
+        rest = frozenset(THREAT)
         for texts in batches:
             out = []
             for text in texts:
@@ -234,11 +340,20 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def train(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> Model:
+    """A model of the labelled rows of `docs` (default: documents) that are not held out; see `fit` for tables without such rows.
+
+    Rows with a null id or text teach nothing, repeated rows count as often as they occur, and columns but doc_id and text are
+    not looked at.
+    """
     docs = table(spark, sf_dir, "documents") if docs is None else docs
     return fit(sample_labelled(docs, table(spark, sf_dir, "labels"), is_held_out(F.col("doc_id"))))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its score: null and empty texts have that of no match, repeated rows the same score each.
+
+    Texts of any length are read whole. An empty table gives an empty result.
+    """
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     s = score(d, train(spark, sf_dir, d))
     return d.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), s.alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
