@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,32 @@ def top_bits(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 64 - bits).cast("long")
 
 
+_P = 0x9E3779B97F4A7C15 | 1
+
+
+def fmix(h: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit finaliser."""
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as the longest piece has asked for."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(n, 2 * len(cls.up))
+            cls.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, _P, np.uint64))])
+            cls.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, pow(_P, -1, 1 << 64), np.uint64))])
+        return cls.up, cls.down
+
+
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 40) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, component), component the smallest node.
 

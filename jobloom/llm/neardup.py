@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, table
+from .common import _P, Powers, Scratch, components, fmix, table
 
 WORDS = 5
 #: 56 bands of 6 registers: a pair of Jaccard similarity 0.75 shares no band with probability 2e-5.
@@ -31,34 +31,14 @@ PERCENT, LEAST_ESTIMATE = 75, 0.65
 #: Partners that a document tries in each other component in the middle round, and members in a block.
 PARTNERS, SMALL_BLOCK, LARGE_BLOCK, ONE_BLOCK, SHIFTS = 3, 256, 1024, 512, 24
 
-_P, _CHUNK = 0x9E3779B97F4A7C15 | 1, 1 << 18
+#: Classes of equal sets that are broadcast at most: those with more than this part of all rows each.
+CLASSES = 10_000
+
+_CHUNK = 1 << 18
 _MASK = (1 << 64) - 1
 _MIX = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=np.uint64)
 
 
-def fmix(h: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finaliser."""
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as many as the longest piece has asked for."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 2 * len(cls.up))
-            cls.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, _P, np.uint64))])
-            cls.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, pow(_P, -1, 1 << 64), np.uint64))])
-        return cls.up, cls.down
-
-
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of each word [^\\x20\\x09-\\x0D]+ of a UTF-8 text, A-Z lowered; long texts go piece by piece."""
     if len(data) > 2 * _CHUNK:
@@ -149,26 +129,26 @@ def _batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n, fp, sig): set size, digest of the set, registers; fp and sig are null without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("sig", pa.binary())])
+    """(doc_id, text) -> (doc_id, th, n, fp, sig): hash of the text, set size, digest of the set, registers; fp and sig are null without words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 b = whole.slice(at, 1000)
                 n, fp, sig = [], [], []
-                for text in b.column(1):
+                for text in b.column(2):
                     s = shingle_set(text.as_py())
                     n.append(len(s))
                     fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     sig.append(sketch(s).tobytes() if len(s) else None)
-                yield _batch(schema, [b.column(0), n, fp, sig])
+                yield _batch(schema, [b.column(0), b.column(1), n, fp, sig])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fp binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n long, fp binary, sig binary")
 
 
 def band_rows(reps: DataFrame) -> DataFrame:
-    """(doc_id, n, sig) -> (key, band, doc), one row a band in use.
+    """(doc, n, sig) -> (key, band, doc), one row a band in use.
 
     A set of MANY shingles or more leaves out bands with a single register in use, which any set with one common shingle may
     hold: the bands with two or more are enough for it (two sets of 72 and 96 shingles and similarity 0.75 miss each other in
@@ -187,11 +167,11 @@ def band_rows(reps: DataFrame) -> DataFrame:
             docs = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys[1:]])
             yield _batch(schema, [np.concatenate(keys), np.concatenate(bands), docs])
 
-    return reps.select("doc_id", "n", "sig").mapInArrow(run, "key long, band byte, doc long")
+    return reps.select("doc", "n", "sig").mapInArrow(run, "key long, band byte, doc long")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc, set array<long>)."""
+    """(doc, text) -> (doc, set array<long>)."""
     schema = pa.schema([("doc", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +180,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 b = whole.slice(at, 500)
                 yield _batch(schema, [b.column(0), [shingle_set(t.as_py()).view(np.int64) for t in b.column(1)]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc long, set array<bigint>")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, set array<bigint>")
 
 
 def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -213,8 +193,7 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             keep = np.flatnonzero(estimate(x, y) >= LEAST_ESTIMATE)
             yield _batch(schema, [b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep))])
 
-    s = reps.select("doc_id", "sig")
-    both = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
+    both = pairs.join(reps.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("doc").alias("b"), F.col("sig").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -274,7 +253,7 @@ def meetings(live: DataFrame, comps: DataFrame, reps: DataFrame, partners: int |
     )
     tasks = F.when(F.col("m") <= ONE_BLOCK, F.array(put(F.lit(0), 0))).when(F.col("is_l"), as_l).otherwise(F.array_compact(as_r))
     x = x.select("key", "band", "doc", "comp", F.explode(tasks).alias("t")).select("key", "band", "doc", "comp", "t.task", "t.side")
-    x = x.join(reps.select(F.col("doc_id").alias("doc"), "n", "sig"), "doc").select("key", "task", "side", "band", "doc", "comp", "n", "sig")
+    x = x.join(reps.select("doc", "n", "sig"), "doc").select("key", "task", "side", "band", "doc", "comp", "n", "sig")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cut", pa.int64())])
 
     def told(block: Block, i: np.ndarray, j: np.ndarray, cut: int | None = None) -> pa.RecordBatch:
@@ -342,29 +321,31 @@ def meetings(live: DataFrame, comps: DataFrame, reps: DataFrame, partners: int |
     return x.repartition("key", "task").sortWithinPartitions("key", "task").mapInArrow(run, "a long, b long, cut long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of (doc_id, text); runs its rounds when called.
+def linked(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id, stays), one row for each row of (doc_id, text); th is a hash of the text.
 
-    Words are [^\\x20\\x09-\\x0D]+ of the text with A-Z lowered. Texts are linked with 100 * intersection >= 75 * union of
-    their distinct 5-word shingles (the whole sequence where there are fewer words); component_id is the smallest id reached
-    over links, kept is doc_id = component_id. Null and empty texts and texts of spaces have no shingles and no links. A row
-    with a null doc_id is linked with nothing, has a null component and is kept. Rows that repeat an id follow each its own
-    text. An empty table gives an empty result; extra columns are not looked at.
+    `stays` is true for one document of each component (the head's rows: least id, one text of it) and for rows that are
+    linked with nothing. Runs its rounds when called.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     base = scratch.save(sketches(docs), "sketches")
     named = base.where("doc_id is not null and n > 0")
-    classes = named.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    reps = scratch.save(named.join(classes.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi").select("doc_id", "n", "sig").dropDuplicates(["doc_id"]), "reps")
+    classes = named.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count("*").alias("rows"))
+    # a class of equal sets is a node with a number of its own, as rows may repeat an id with other texts
+    first = named.join(classes.select("rep.*", "fp"), ["doc_id", "th", "fp"], "left_semi").select("doc_id", "th", "n", "fp", "sig")
+    reps = scratch.save(first.dropDuplicates(["fp"]).withColumn("doc", F.monotonically_increasing_id()), "reps")
 
     rows = band_rows(reps)
     buckets = rows.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("m")).where("m > 1").drop("m")
     live = scratch.save(rows.join(buckets, "key"), "live")
-    wanted = live.select(F.col("doc").alias("doc_id")).distinct()
-    sets = scratch.save(shingle_sets(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")), "sets")
+    wanted = live.select("doc").distinct().join(reps.select("doc", "doc_id", "th"), "doc")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").join(wanted, ["doc_id", "th"])
+    if first.count() > reps.count():  # rows that agree in id and text
+        texts = texts.dropDuplicates(["doc"])
+    sets = scratch.save(shingle_sets(texts), "sets")
 
-    # one partner each: the pivot (least id) of most shared buckets
+    # one partner each: the pivot (least number) of most shared buckets
     shared = live.where("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("c"))
     best = shared.groupBy("doc").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("a")).select("a", F.col("doc").alias("b"))
     links = scratch.save(confirmed(likely(best, reps), sets), "links")
@@ -383,19 +364,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # only buckets in which a document had more partners than it told go on, with those that were tried left out
         todo, tried = todo.join(told.where("cut is not null").select(F.col("cut").alias("key")).distinct(), "key", "left_semi"), told.select("a", "b").distinct()
 
-    named = base.where("doc_id is not null").select("doc_id", "n", "fp").join(classes, "fp", "left").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    out = out.unionByName(base.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    of = comps.join(reps.select(F.col("doc").alias("node"), "doc_id", "th"), "node")
+    heads = of.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("head"))
+    known = comps.join(heads, "component").select(F.col("node").alias("doc"), "head")
+    info = reps.select("doc", "fp").join(known, "doc", "left").join(classes, "fp").select("fp", F.coalesce("head", "rep").alias("head"), F.col("rep").alias("mine"), "rows")
+    info = scratch.save(info, "classes")
+    # copies of one text may be a third of all rows: such classes, CLASSES at most, are broadcast and their rows stay where they are
+    many = F.col("rows") > max(1, base.count() // CLASSES)
+    common, rest = F.broadcast(info.where(many)), info.where(~many)
+    told = named.join(common, "fp").unionByName(named.join(common, "fp", "left_anti").join(rest, "fp"))
+    mine = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("th") == F.col("head.th"))
+    out = told.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("head.doc_id").alias("component_id"), mine.alias("stays"))
+    alone = base.where("doc_id is null or n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return out.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of (doc_id, text); runs its rounds when called.
+
+    Words are [^\\x20\\x09-\\x0D]+ of the text with A-Z lowered. Texts are linked with 100 * intersection >= 75 * union of
+    their distinct 5-word shingles (the whole sequence where there are fewer words); component_id is the smallest id reached
+    over links, kept is doc_id = component_id. Null and empty texts and texts of spaces have no shingles and no links. A row
+    with a null doc_id is linked with nothing, has a null component and is kept. Rows that repeat an id follow each its own
+    text. An empty table gives an empty result; extra columns are not looked at.
+    """
+    return linked(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that `near_duplicates` keeps, all columns: one document of each component."""
-    gone = near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs`, all columns, of one document of each component: least id, and of its texts the head's.
+
+    Documents are told apart by id and text: rows that agree in both are one document, and rows of one id with other texts go
+    or stay by their own text. Rows without an id or without words stay. Columns of any other name are kept as they are.
+    """
+    gone = linked(docs.select("doc_id", "text")).where(~F.col("stays")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"))
+    return rows.join(gone, ["_id", "_th"], "left_anti").select(*[F.col(f"_doc.`{c}`") for c in docs.columns])
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`near_duplicates` of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
