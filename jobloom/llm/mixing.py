@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, top_bits
+from .common import small, table
 
 #: Slots of a cycle: weights are rounded to parts of it. It is raised to four slots a source where there are many sources.
 CYCLE = 1_000
@@ -27,6 +27,8 @@ LEAST_PARTS, MAX_CYCLE = 64, 100_000
 #: Steps of this size spread the rare sources' places in their windows evenly.
 GOLDEN = 0.6180339887498949
 BLOCK_ROWS = 8
+#: Rows of a source in one bucket, about, and the bits of a hash that buckets are told by at most.
+BUCKET_ROWS, MAX_BITS = 4_096, 20
 
 
 def parts(weights: dict, cycle: int = CYCLE) -> tuple[dict, int]:
@@ -129,22 +131,25 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     all_slots = math.ceil(drawn / block_rows * (sum(common.values()) or 1.0))
     horizon = max(min(ends, default=0), all_slots)
 
-    # Rank in the source: buckets of a hash of the id, so that no task holds a whole source.
-    key = F.xxhash64(id_col)
-    x = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(source_col).alias("_s"), key.alias("_h"), F.col(id_col).alias("_id"), top_bits(key, 8).alias("_b"))
-    tally = x.groupBy("_s", "_b").agg(F.count("*").alias("_n"))  # at most 256 rows a source
+    # Rank in the source: buckets of a hash of the id, more for a larger source, so that no task holds a whole source.
+    kind = docs.schema[source_col].dataType.simpleString()
+    bits = {k: min(MAX_BITS, max(1, (n // BUCKET_ROWS).bit_length())) for k, n in sizes.items()}
+    cuts = F.broadcast(spark.createDataFrame(list(bits.items()), f"_k {kind}, _bits int"))  # at most MAX_SOURCES rows
+    x = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(source_col).alias("_s"), F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_id"))
+    x = x.join(cuts, F.col("_s").eqNullSafe(F.col("_k"))).withColumn("_b", F.expr("shiftrightunsigned(_h ^ shiftleft(1L, 63), 64 - _bits)")).drop("_k", "_bits")
+    tally = x.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
     before = tally.select("_s", "_b", (F.sum("_n").over(W.partitionBy("_s").orderBy("_b")) - F.col("_n")).alias("_before"))
     rn = F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h", "_id"))
     x = x.withColumn("_rn", rn - 1).alias("x")
-    bounded = F.broadcast(before) if len(sizes) <= 500 else before
+    bounded = small(before, sum(1 << b for b in bits.values()))
     x = x.join(bounded.alias("t"), F.col("x._s").eqNullSafe(F.col("t._s")) & (F.col("x._b") == F.col("t._b")))
     row = F.col("_rn") + F.col("_before")
     x = x.select("_doc", F.col("x._s").alias("_s"), row.alias("_row")).withColumn("block", F.floor(F.col("_row") / block_rows))
     rows = [(k, p[k], j, release, due, slot) for k, j, release, due, slot in plan]
-    table_ = spark.createDataFrame(rows, f"_k {docs.schema[source_col].dataType.simpleString()}, _p int, _j int, _release int, _due int, _slot int")
+    table_ = spark.createDataFrame(rows, f"_k {kind}, _p int, _j int, _release int, _due int, _slot int")
     lanes = {k: i for i, k in enumerate(phase, 1)}
     known = [(k, n, None, None, 0) for k, n in p.items()] + [(k, 1, w, phase[k], lanes[k]) for k, w in rare.items()]
-    sizes_ = spark.createDataFrame(known, f"_k {docs.schema[source_col].dataType.simpleString()}, _parts int, _rate double, _phase double, _lane int")
+    sizes_ = spark.createDataFrame(known, f"_k {kind}, _parts int, _rate double, _phase double, _lane int")
     x = x.alias("x").join(F.broadcast(sizes_).alias("p"), F.col("x._s").eqNullSafe(F.col("p._k")), "left").select("_doc", "_s", "_row", "block", "_parts", "_rate", "_phase", "_lane")
     x = x.alias("x").join(F.broadcast(table_).alias("c"), F.col("x._s").eqNullSafe(F.col("c._k")) & (F.pmod("x.block", "x._parts") == F.col("c._j")), "left")
     turn = F.floor(F.col("block") / F.col("_parts")) * cycle
@@ -163,6 +168,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their places in the default mix of their sources."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
