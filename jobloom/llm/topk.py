@@ -16,49 +16,98 @@ from pyspark.sql import functions as F
 from .common import table
 
 CANDIDATES, QUERIES_A_BLOCK = 2048, 1024
+#: Scores under this size are added up in 64 bits; all others in whole numbers of any size.
+SAFE = float(1 << 62)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
-def _postings(vectors: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
+def _postings(vectors: list, kind: type) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each term the rows that have it and their weights."""
-    size = np.array([len(v) for v in vectors])
+    size = np.array([len(v) for v in vectors], np.int64)
     if not size.sum():
         return []
-    values = np.concatenate([np.asarray(v, dtype=np.int64) for v in vectors])
+    values = np.concatenate(vectors)
     row = np.repeat(np.arange(len(size)), size)
     term = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
     keep = values != 0
-    values, row, term = values[keep], row[keep], term[keep]
+    values, row, term = _whole(values[keep], kind), row[keep], term[keep]
     order = np.argsort(term, kind="stable")
     cuts = np.searchsorted(term[order], np.arange(int(size.max()) + 1))
     return [(row[order[a:b]], values[order[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _whole(values: np.ndarray, kind: type) -> np.ndarray:
+    """Whole doubles as 64-bit integers, or as Python's for numbers of any size."""
+    return values.astype(np.int64) if kind is np.int64 else np.array([int(x) for x in values], object)
+
+
+def _scores(query: np.ndarray, postings: list, rows: int, kind: type) -> np.ndarray:
+    """Term by term: the query's weight times the postings, scattered into a dense row of scores."""
+    scores = np.zeros(rows, kind)
+    for weight, (at, values) in zip(_whole(query, kind), postings, strict=False):
+        if not weight or not len(at):
+            continue
+        if len(at) == rows:
+            scores += weight * values  # every row has the term, in row order
+        else:
+            scores[at] += weight * values  # a row has a term once
+    return scores
+
+
+def _ordered(score: int) -> tuple[int, int, str]:
+    """A score as long, and how far it lies beyond: (saturated, side, digits that sort as the number does)."""
+    if LEAST <= score <= MOST:
+        return score, 0, ""
+    digits = str(abs(score))
+    text = f"{len(digits):06d}{digits}"
+    if score < 0:
+        text = text.translate(str.maketrans("0123456789", "9876543210"))
+    return (MOST, 1, text) if score > 0 else (LEAST, -1, text)
+
+
 def search_block(queries: pd.DataFrame, cands: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best candidates of this block for each query: score down, then id up; a candidate with the query's id is its own row."""
     cands = cands.sort_values("id", kind="stable")
-    ids = cands["id"].to_numpy(np.int64)
-    postings = _postings(cands["v"])
+    ids, vectors = cands["id"].to_numpy(np.int64), [np.asarray(v, np.float64) for v in cands["v"]]
+    size = np.array([np.abs(v).sum() if len(v) else 0.0 for v in vectors])
+    asks = [np.asarray(q, np.float64) for q in queries["v"]]
+    most = [float(np.abs(q).max(initial=0.0)) for q in asks]
+    # usual vectors are scored in 64 bits; a candidate or a query that could leave them is taken in whole numbers
+    usual = size * min(most, default=0.0) < SAFE
+    usual &= size < SAFE
+    near = _postings([v for v, u in zip(vectors, usual, strict=True) if u], np.int64)
+    bound = float(size[usual].max(initial=0.0))
+    exact_all = None
+    far = None if usual.all() else _postings([v for v, u in zip(vectors, usual, strict=True) if not u], object)
     out = []
-    for qid, q in zip(queries["id"], queries["v"], strict=True):
-        scores = np.zeros(len(ids), np.int64)
-        for weight, (rows, values) in zip(np.asarray(q, np.int64), postings, strict=False):
-            if not weight or not len(rows):
-                continue
-            if len(rows) == len(scores):
-                scores += weight * values  # every row has the term, in row order
-            else:
-                scores[rows] += weight * values  # a row has a term once
+    for qid, q, top in zip(queries["id"], asks, most, strict=True):
+        if top * bound < SAFE and top < SAFE:
+            scores = _scores(q, near, int(usual.sum()), np.int64)
+            if far is not None:
+                both = np.empty(len(ids), object)
+                both[usual], both[~usual] = scores, _scores(q, far, int((~usual).sum()), object)
+                scores = both
+        else:
+            exact_all = exact_all if exact_all is not None else _postings(vectors, object)
+            scores = _scores(q, exact_all, len(ids), object)
         at = np.flatnonzero(ids != qid)
         if len(at) > k:
             least = np.partition(scores[at], len(at) - k)[len(at) - k]
             above = at[scores[at] > least]
             at = np.concatenate([above, at[scores[at] == least][: k - len(above)]])  # ids rise, so ties go to the smaller
-        out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at], "score": scores[at]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        if scores.dtype == object:
+            told = [_ordered(int(x)) for x in scores[at]]
+            score, side, digits = ([t[i] for t in told] for i in range(3))
+        else:
+            score, side, digits = scores[at], 0, ""
+        out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at], "score": np.asarray(score, np.int64), "side": side, "digits": digits}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "side": [], "digits": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "int64", "side": "int64", "digits": "object"})
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
-    """(id long, v array<long>) on both sides -> query_id, rank, vec_id, score: each query's k highest inner products.
+    """(id long, v array<double> of whole numbers) on both sides -> query_id, rank, vec_id, score: each query's k highest inner products.
+
+    Inner products are exact and ranked as such; one beyond 64 bits is told as the nearest long.
 
     A term missing from a shorter vector counts 0. Rows with a null id or vector take no part. A candidate with the query's id
     is the query's own row and takes no part. Repeated rows of one id among the queries count once (the least vector); among the
@@ -73,23 +122,21 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     # a candidate goes to each block of queries and a query to each block of candidates: the stated query set, in blocks
     left = asks.select(of(q_blocks).alias("qb"), "id", "v").select("qb", every(c_blocks).alias("cb"), "id", "v")
     right = cands.select(of(c_blocks).alias("cb"), "id", "v").select(every(q_blocks).alias("qb"), "cb", "id", "v")
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(lambda q, c: search_block(q, c, k), "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(lambda q, c: search_block(q, c, k), "query_id long, vec_id long, score long, side long, digits string")
+    best = W.partitionBy("query_id").orderBy(F.desc("side"), F.desc("digits"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def quantised(embedding: Column) -> Column:
-    """floor(256 x) of each component, x as double, as longs; null for a vector that is null or holds a null, NaN or infinity.
-
-    Components beyond 2**40 in size saturate there, so that products of usual vectors stay in 64 bits.
-    """
-    edge = float(1 << 40)
+    """floor(256 x) of each component, x as double, as whole doubles; null for a vector that is null or holds a null, NaN or infinity."""
     odd = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    ints = F.transform(embedding, lambda x: F.floor(F.least(F.greatest(x.cast("double") * 256, F.lit(-edge)), F.lit(edge))))
-    return F.when(~odd, ints)
+    # a double of 2**53 or more is whole, and floor() of it would not fit in a long
+    whole = lambda x: F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
+    return F.when(~odd, F.transform(embedding, lambda x: whole(x.cast("double") * 256)))
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all vectors for every vector whose id is divisible by 50."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), quantised(F.col("embedding")).alias("v"))
     return top_k(e.where("id % 50 = 0"), e, 5)
 
@@ -101,12 +148,10 @@ WITH e AS (
   SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), t AS (
-  SELECT id, unnest(v) AS x, unnest(range(len(v))) AS term FROM e
 ), s AS (
-  SELECT q.id AS query_id, c.id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM t q JOIN t c ON q.term = c.term AND q.id <> c.id
-  WHERE q.id % 50 = 0 GROUP BY 1, 2
+  SELECT q.id AS query_id, c.id AS vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])), 0) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.id <> c.id
+  WHERE q.id % 50 = 0
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
