@@ -188,27 +188,43 @@ def latest(df: DataFrame, n: int, order: list[Column], where: Column | None = No
     return x.orderBy(*order).limit(n)
 
 
-def row_numbers(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
-    """_no from 0 in the order of an integer key, without one task for all rows: ranges, their counts, then places in a range.
+def row_numbers(df: DataFrame, key: str, ties: list[str] | None = None, parts: int = 256) -> DataFrame:
+    """_no from 0 in the order of a number or time, nulls first, without one task for all rows: ranges, their counts, then places in a range.
 
-    The ranges are equal steps between the least and the largest key, as many as `parts`.
+    Ranges are cut at quantiles. Rows of equal keys are in the order of `ties`, or in that of a hash of the row. A key that spans
+    whole quantiles is a range of its own and is cut again by quantiles of the first of `ties`, or by the hash.
     """
-    edge = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    x = df.crossJoin(F.broadcast(edge))  # one row
-    x = x.withColumn("_part", F.floor((F.col(key) - F.col("lo")).cast("double") * parts / (F.col("hi") - F.col("lo") + 1)).cast("int")).drop("lo", "hi")
-    counts = x.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rn = F.row_number().over(W.partitionBy("_part").orderBy(key))
-    return x.withColumn("_rn", rn).join(F.broadcast(before), "_part").withColumn("_no", F.col("_before") + F.col("_rn") - 1).drop("_part", "_rn", "_before")
-
-
-def slice_of(df: DataFrame, key: str, i: int, n: int) -> DataFrame:
-    """Every n-th row from the i-th in key order."""
-    return row_numbers(df, key).where(F.pmod("_no", F.lit(n)) == i).drop("_no")
-
-
-def with_page(df: DataFrame, key: str, page_size: int) -> DataFrame:
-    return row_numbers(df, key).withColumn("page", F.floor(F.col("_no") / page_size)).drop("_no")
+    x = df.withColumn("_h", F.xxhash64(*df.columns))
+    order = [F.asc_nulls_first(c) for c in ties or ["_h"]]
+    steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    first = ties[0] if ties and dict(df.dtypes)[ties[0]] in ("tinyint", "smallint", "int", "bigint", "double", "float") else None if ties else "_h"
+    cuts = x.agg(F.percentile_approx(key, steps, F.lit(100 * parts)).alias("_cuts"))  # one row
+    x = x.crossJoin(F.broadcast(cuts))
+    cuts_ = F.coalesce("_cuts", F.array().cast(df.select(F.array(key)).schema[0].dataType))
+    heavy = F.size(F.filter(cuts_, lambda c: c == F.col(key))) > 1
+    x = x.withColumns({"_range": F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter(cuts_, lambda c: c < F.col(key)))), "_heavy": F.coalesce(heavy, F.lit(False)) | F.col(key).isNull()}).drop("_cuts")
+    # a range ends with its upper cut, so a heavy key is its last
+    x = x.withColumn("_rest", F.col("_heavy").cast("int"))
+    if first:
+        again = x.where("_heavy").groupBy("_range").agg(F.percentile_approx(first, steps, F.lit(10 * parts)).alias("_again"))  # a row a heavy key: fewer than `parts`
+        x = x.join(F.broadcast(again), "_range", "left")
+        x = x.withColumn("_piece", F.when(F.col("_heavy"), F.when(F.col(first).isNull(), -1).otherwise(F.size(F.filter("_again", lambda c: c < F.col(first))))).otherwise(0)).drop("_again")
+    else:
+        x = x.withColumn("_piece", F.lit(0))
+    at = ["_range", "_rest", "_piece"]
+    counts = x.groupBy(*at).agg(F.count("*").alias("_n"))
+    before = counts.select(*at, F.coalesce(F.sum("_n").over(W.orderBy(*at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rn = F.row_number().over(W.partitionBy(*at).orderBy(F.asc_nulls_first(key), *order))
+    return x.withColumn("_rn", rn).join(F.broadcast(before), at).withColumn("_no", F.col("_before") + F.col("_rn") - 1).select(*df.columns, "_no")
+
+
+def slice_of(df: DataFrame, key: str, i: int, n: int, ties: list[str] | None = None) -> DataFrame:
+    """Every n-th row from the i-th in key order, nulls first."""
+    return row_numbers(df, key, ties).where(F.pmod("_no", F.lit(n)) == i).drop("_no")
+
+
+def with_page(df: DataFrame, key: str, page_size: int, ties: list[str] | None = None) -> DataFrame:
+    return row_numbers(df, key, ties).withColumn("page", F.floor(F.col("_no") / page_size)).drop("_no")
 
 
 def sort_grid(df: DataFrame, field: str, descending: bool = False) -> DataFrame:

@@ -218,9 +218,9 @@ def _(t):
 # -- windows, order, limits ---------------------------------------------------------------------------------------------
 
 
-@query("keep_first", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem) WHERE rn = 1")
+@query("keep_first", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem) WHERE rn = 1")
 def _(t):
-    return stats.keep_first(t.raw("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_orderkey"], ["l_linenumber", "l_partkey"])
+    return stats.keep_first(t.raw("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"])
 
 
 @query("duplicate_report", "SELECT l_orderkey, count(*) AS n, count(*) - 1 AS removed FROM lineitem GROUP BY 1 HAVING count(*) > 1")
@@ -252,6 +252,13 @@ def _(t):
     return stats.slice_of(t.company.select("id", "name"), "id", 1, 4)
 
 
+@query("slice_of_ties", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (ORDER BY k NULLS FIRST, o_orderkey) - 1 AS no FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 2 END AS k FROM orders)) WHERE no % 5 = 2")
+def _(t):
+    # null keys and two keys that hold a third of the rows each
+    k = t.raw("orders", "o_orderkey", "o_custkey").withColumn("k", F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey") % 2))
+    return stats.slice_of(k, "k", 2, 5, ["o_orderkey"]).drop("k")
+
+
 @query("page_assign", "SELECT id, company_id, CAST((row_number() OVER (ORDER BY id) - 1) // 1000 AS BIGINT) AS page FROM position")
 def _(t):
     return stats.with_page(t.position.select("id", "company_id"), "id", 1000)
