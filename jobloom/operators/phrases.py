@@ -9,40 +9,37 @@ from pyspark.sql import functions as F
 BROADCAST_PHRASES = 50_000
 
 
-def words(text: Column) -> Column:
-    """Lower-cased runs of a-z, 0-9 and _ in order: the words that an ASCII word border sees."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
+#: What borders a phrase: no such character may stand beside it. Words are runs of them.
+BORDER = "[a-z0-9]"
 
 
-def phrase_hits(texts: DataFrame, key: list[str], text_col: str, phrases: DataFrame) -> DataFrame:
-    """(keys, phrase_id, pos): each phrase that a text holds between word borders, with the place of its first hit (from 1).
+def words(text: Column, border: str = BORDER) -> Column:
+    """Lower-cased runs of border characters in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({border}+)"), F.lit(1))
 
-    `phrases` has phrase_id and phrase; a phrase may have symbols inside or at its edges. Phrases meet texts on their run of
-    words, as an equi-join on runs of up to the longest phrase's words; only then the phrase itself is looked for in the text,
-    so a text is searched for the few phrases whose words it has. Borders: no letter, digit or _ of ASCII beside the phrase.
-    Phrases that are listed twice hit twice. A null text has no hits; a phrase without any word is not looked for.
-    """
-    p = phrases.select("phrase_id", F.lower(F.trim("phrase")).alias("phrase")).withColumn("w", words(F.col("phrase"))).where(F.size("w") > 0)
-    shape = p.agg(F.max(F.size("w")).alias("longest"), F.count("*").alias("n")).first()
-    longest, n = shape.longest or 1, shape.n
-    p = p.select("phrase_id", "phrase", F.array_join("w", " ").alias("run"))
-    p = F.broadcast(p) if n <= BROADCAST_PHRASES else p
-    # a text's distinct runs; the texts themselves stay out of the explosion and come back by key for runs that hit
-    w = texts.select(*key, words(F.col(text_col)).alias("w"))
-    runs = [_runs(k) for k in range(1, longest + 1)]
-    x = w.where(F.size("w") > 0).select(*key, F.explode(F.array_distinct(F.concat(*runs))).alias("run")).join(p, "run").drop("run")
-    back = x.join(texts.select(*key, F.lower(text_col).alias("_text")), key)
-    pos = first_bounded(F.col("_text"), F.col("phrase"))
-    return back.select(*key, "phrase_id", pos.alias("pos")).where("pos > 0")
 
+def phrase_hits(texts: DataFrame, key: list[str], text_col: str, phrases: DataFrame, border: str = BORDER) -> DataFrame:
+    """(keys, phrase_id, pos): each phrase that a text holds between borders, with the place of its first hit (from 1).
 
-def _runs(k: int) -> Column:
-    """All runs of k words of column w."""
-    n = F.size("w") - (k - 1)
-    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice("w", i, k), " "))
+    `phrases` has phrase_id and phrase; a phrase may have symbols inside or at its edges. Phrases meet texts on their longest
+    word, as an equi-join with the distinct words of a text; what is left of a phrase's words is looked up among the text's
+    words where the pair meets, and only then the phrase itself is looked for in the text. Phrases that are listed twice hit
+    twice. A null text has no hits; a phrase without any word is not looked for.
+    """
+    p = phrases.select("phrase_id", F.lower(F.trim("phrase")).alias("phrase")).withColumn("w", words(F.col("phrase"), border)).where(F.size("w") > 0)
+    n = p.count()
+    longest = F.array_sort(F.col("w"), lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).otherwise(F.when(x < y, -1).when(x > y, 1).otherwise(0)))
+    p = p.select("phrase_id", "phrase", F.array_distinct("w").alias("pw"), longest[0].alias("word"))
+    p = F.broadcast(p) if n <= BROADCAST_PHRASES else p
+    # a text's distinct words; the texts themselves stay out of the explosion and come back by key for pairs that are left
+    w = texts.select(*key, F.array_distinct(words(F.col(text_col), border)).alias("tw")).where(F.size("tw") > 0)
+    met = w.select(*key, F.explode("tw").alias("word")).join(p, "word").groupBy(*key).agg(F.collect_list(F.struct("phrase_id", "phrase", "pw")).alias("ps"))
+    # one text comes back once, for all phrases that it may hold (at most the dictionary)
+    back = met.join(texts.select(*key, F.lower(text_col).alias("_text"), F.array_distinct(words(F.col(text_col), border)).alias("tw")), key)
+    back = back.select(*key, "_text", F.explode(F.filter("ps", lambda q: F.size(F.array_except(q["pw"], F.col("tw"))) == 0)).alias("q"))
+    return back.select(*key, "q.phrase_id", first_bounded(F.col("_text"), F.col("q.phrase"), border).alias("pos")).where("pos > 0")
 
 
-def first_bounded(text: Column, phrase: Column, border: str = "[a-z0-9_]") -> Column:
+def first_bounded(text: Column, phrase: Column, border: str = BORDER) -> Column:
     """Place (from 1) of the first occurrence of a literal phrase with no border character beside it; 0 if there is none."""
     return F.regexp_instr(text, F.concat(F.lit(f"(?<!{border})\\Q"), phrase, F.lit(f"\\E(?!{border})")))
