@@ -47,37 +47,77 @@ def stream_net_changes(log: DataFrame) -> DataFrame:
     return net_changes(log)
 
 
-def load_batches(src: DataFrame, transform: Callable[[DataFrame], DataFrame], store: str, key: str, checkpoint: str):
-    """Starts a stream that replaces each micro-batch's keys in a table of versions under `store`.
+#: Parts that a keyed table is kept in; a batch rewrites the parts of its keys alone.
+PARTS = 64
 
-    A batch writes version batch_id from version batch_id - 1, so a batch that runs again writes the same version again.
-    The newest version is the table. Returns the query.
+
+def _newest(spark: SparkSession, store: str, before: int | None = None) -> dict[int, str]:
+    """Each part's newest folder of a whole version (below `before`, if given)."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = jvm.Path(store)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return {}
+    number = lambda p: int(p.getName().split("=")[1])
+    versions = [v.getPath() for v in fs.listStatus(root) if v.getPath().getName().startswith("version=")]
+    whole = sorted((v for v in versions if fs.exists(jvm.Path(v, "_SUCCESS")) and (before is None or number(v) < before)), key=number)
+    return {number(p.getPath()): p.getPath().toString() for v in whole for p in fs.listStatus(v) if p.isDirectory()}
+
+
+def merge_batch(rows: DataFrame, store: str, key: str, batch_id: int) -> None:
+    """Replaces the batch's keys in a keyed table: the parts that hold them are written anew as version `batch_id`.
+
+    A batch that runs again starts from the versions before it and writes the same. What a part's last but one version held is
+    deleted, as no batch that runs again reads it. A batch of no rows writes nothing.
     """
+    spark = rows.sparkSession
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+    touched = [r.part for r in rows.select(part.alias("part")).distinct().collect()]  # PARTS at most
+    if not touched:
+        return
+    known = _newest(spark, store, batch_id)
+    old = [known[p] for p in touched if p in known]
+    table = replace_by_key(spark.read.schema(rows.schema).parquet(*old), rows, key) if old else rows
+    table.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{store}/version={batch_id}")
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(store).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    kept = set(old)
+    for v in fs.listStatus(jvm.Path(store)):
+        if int(v.getPath().getName().split("=")[1]) < batch_id:
+            for p in touched:
+                at = jvm.Path(v.getPath(), f"part={p}")
+                if at.toString() not in kept and fs.exists(at):
+                    fs.delete(at, True)
+
+
+def load_batches(src: DataFrame, transform: Callable[[DataFrame], DataFrame], store: str, key: str, checkpoint: str, mode: str = "append"):
+    """Starts a stream that replaces each micro-batch's keys in a keyed table under `store`; returns the query."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = transform(batch)
-        if batch_id > 0:
-            before = spark.read.parquet(f"{store}/version={batch_id - 1}")
-            rows = replace_by_key(before, rows, key)
-        rows.write.mode("overwrite").parquet(f"{store}/version={batch_id}")
+        merge_batch(transform(batch), store, key, batch_id)
 
-    return src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
 
 
 def latest_version(spark: SparkSession, store: str) -> DataFrame:
-    """The table of the newest version that was written whole."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [s.getPath() for s in fs.listStatus(p) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    newest = max(done, key=lambda x: int(x.getName().split("=")[1]))
-    return spark.read.parquet(newest.toString())
+    """A keyed table as it stands: each part's newest version."""
+    paths = list(_newest(spark, store).values())
+    if not paths:
+        raise FileNotFoundError(f"no batch was written to {store}")
+    return spark.read.parquet(*paths)
+
 
+def run_to_table(df: DataFrame, out: str, checkpoint: str, mode: str = "append", key: str | None = None) -> None:
+    """Runs a stream over all that is there now: into Parquet files (append), or the last state: complete, or update by `key`.
 
-def run_to_table(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over all that is there now into Parquet files (append), or into the last state (complete, update)."""
+    In update mode a batch tells changed keys alone, so they are merged; `latest_version` reads the table.
+    """
     if mode == "append":
         q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    elif mode == "update":
+        if key is None:
+            raise ValueError("update mode needs the key that rows are merged by")
+        q = load_batches(df, lambda batch: batch, out, key, checkpoint, "update")
     else:
 
         def keep(batch: DataFrame, _: int) -> None:
@@ -85,3 +125,34 @@ def run_to_table(df: DataFrame, out: str, checkpoint: str, mode: str = "append")
 
         q = df.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def load_postings(src: DataFrame, enrich: Callable[[DataFrame], DataFrame], store: str, key: str, day: str, checkpoint: str):
+    """Starts the postings stream: each micro-batch is normalised and classified by `enrich`, and replaces its companies' rows.
+
+    Under `store` are three keyed tables: positions; snapshots, one row a company and day with the first batch's counts; changes,
+    one row a company and batch with how many ids came and went. A batch that runs again writes the same. Returns the query.
+    """
+    import pyspark.sql.types as T
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        enrich(batch).write.mode("overwrite").parquet(f"{store}/batch")  # worked out once for all three tables
+        rows = spark.read.parquet(f"{store}/batch")
+        known = _newest(spark, f"{store}/positions", batch_id)
+        before = spark.read.schema(rows.schema).parquet(*known.values()) if known else spark.createDataFrame([], T.StructType(rows.schema.fields))
+        before = before.join(rows.select(key).distinct(), key, "left_semi")
+        both = rows.select(key, "id", F.lit(1).alias("now"), F.lit(0).alias("was")).unionByName(before.select(key, "id", F.lit(0).alias("now"), F.lit(1).alias("was")))
+        per = both.groupBy(key, "id").agg(F.max("now").alias("now"), F.max("was").alias("was"))
+        changes = per.groupBy(key).agg(F.sum(F.greatest(F.col("now") - F.col("was"), F.lit(0))).alias("came"), F.sum(F.greatest(F.col("was") - F.col("now"), F.lit(0))).alias("went"))
+        changes = changes.select(F.concat_ws("/", F.col(key), F.lit(batch_id)).alias("change"), key, "came", "went")
+        facts = rows.groupBy(key, F.col(day).alias("day")).agg(F.count("*").alias("total"), F.count_if(~F.col("requires_native_language")).alias("english"))
+        facts = facts.withColumn("snapshot", F.concat_ws("/", F.col(key), F.col("day")))
+        old = _newest(spark, f"{store}/snapshots", batch_id)
+        if old:
+            facts = facts.join(spark.read.parquet(*old.values()).select("snapshot"), "snapshot", "left_anti")
+        merge_batch(changes, f"{store}/changes", "change", batch_id)
+        merge_batch(facts.select("snapshot", key, "day", "total", "english"), f"{store}/snapshots", "snapshot", batch_id)
+        merge_batch(rows, f"{store}/positions", key, batch_id)
+
+    return src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
