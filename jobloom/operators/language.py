@@ -17,11 +17,29 @@ from pyspark.sql import functions as F
 
 from jobloom.functions.columns import looks_non_english
 
-#: Languages of a country, our own short dictionary.
-COUNTRY_LANGUAGES = {"FI": ["finnish", "swedish"], "SE": ["swedish"], "NO": ["norwegian"], "DK": ["danish"], "IS": ["icelandic"], "EE": ["estonian"], "LV": ["latvian"], "LT": ["lithuanian"], "DE": ["german"], "AT": ["german"], "CH": ["german", "french", "italian"], "FR": ["french"], "BE": ["dutch", "french"], "NL": ["dutch"], "ES": ["spanish"], "PT": ["portuguese"], "IT": ["italian"], "PL": ["polish"]}
-CODES = {"de": "german", "fr": "french", "es": "spanish"}
+# The languages of a country, what a language is called, letters that tell a country's language and how many it
+# takes, codes of identified languages, and languages whose paragraphs have to be longer.
+COUNTRY_LANGUAGES = {
+    "FI": ["finnish"], "SE": ["swedish"], "NO": ["norwegian"], "DK": ["danish"], "IS": ["icelandic"], "DE": ["german"], "AT": ["german"], "CH": ["german", "french", "italian"], "NL": ["dutch"], "BE": ["dutch", "french"],
+    "FR": ["french"], "LU": ["luxembourgish", "french", "german"], "IT": ["italian"], "ES": ["spanish"], "PT": ["portuguese"], "PL": ["polish"], "CZ": ["czech"], "SK": ["slovak"], "HU": ["hungarian"], "RO": ["romanian"], "BG": ["bulgarian"],
+    "HR": ["croatian"], "SI": ["slovenian"], "RS": ["serbian"], "EE": ["estonian"], "LV": ["latvian"], "LT": ["lithuanian"], "GR": ["greek"], "TR": ["turkish"], "UA": ["ukrainian"], "RU": ["russian"], "GE": ["georgian"], "IL": ["hebrew"],
+    "JP": ["japanese"], "CN": ["chinese"], "KR": ["korean"], "BA": ["bosnian", "croatian", "serbian"], "MK": ["macedonian"], "ME": ["montenegrin"], "AL": ["albanian"], "MD": ["romanian"], "BY": ["belarusian", "russian"],
+}
+LANGUAGE_WORDS = {
+    "finnish": "finnish suomi suomen", "swedish": "swedish svenska", "norwegian": "norwegian norsk bokmål nynorsk", "danish": "danish dansk", "icelandic": "icelandic íslenska", "german": "german deutsch", "luxembourgish": "luxembourgish luxembourgeois lëtzebuergesch",
+    "dutch": "dutch nederlands flemish", "french": "french français francais", "italian": "italian italiano", "spanish": "spanish español espanol castellano", "portuguese": "portuguese português portugues", "polish": "polish polski", "czech": "czech čeština cestina",
+    "slovak": "slovak slovenčina", "hungarian": "hungarian magyar", "romanian": "romanian română romana moldovan", "bulgarian": "bulgarian български", "croatian": "croatian hrvatski", "slovenian": "slovenian slovenščina", "serbian": "serbian srpski", "estonian": "estonian eesti",
+    "latvian": "latvian latviešu", "lithuanian": "lithuanian lietuvių", "greek": "greek ελληνικά", "turkish": "turkish türkçe", "ukrainian": "ukrainian українська", "russian": "russian русский", "georgian": "georgian ქართული", "hebrew": "hebrew עברית", "japanese": "japanese 日本語",
+    "chinese": "chinese mandarin 普通话", "korean": "korean 한국어", "bosnian": "bosnian", "macedonian": "macedonian", "montenegrin": "montenegrin", "albanian": "albanian shqip", "belarusian": "belarusian", "arabic": "arabic",
+}
+LETTERS = {
+    "FI": ("äöÄÖ", 15), "SE": ("äöåÄÖÅ", 15), "NO": ("æøåÆØÅ", 15), "DK": ("æøåÆØÅ", 10), "IS": ("þðÞÐ", 10), "DE": ("äöüßÄÖÜ", 10), "AT": ("äöüßÄÖÜ", 10), "EE": ("äöõÄÖÕ", 10),
+    "LV": ("āčēģīķļņšūžĀČĒĢĪĶĻŅŠŪŽ", 15), "LT": ("ąčęėįšųūžĄČĘĖĮŠŲŪŽ", 15), "PL": ("ąćęłńśźżĄĆĘŁŃŚŹŻ", 10), "FR": ("éèêëàâîïôùûçœÉÈÊËÀÂÎÏÔÙÛÇŒ", 25),
+}
+CODES = {"fi": "finnish", "sv": "swedish", "no": "norwegian", "nb": "norwegian", "nn": "norwegian", "da": "danish", "is": "icelandic", "nl": "dutch", "de": "german", "fr": "french", "it": "italian", "es": "spanish", "pt": "portuguese", "pl": "polish", "cs": "czech", "sk": "slovak", "hu": "hungarian", "ro": "romanian", "hr": "croatian", "sl": "slovenian", "sr": "serbian", "et": "estonian", "lv": "latvian", "lt": "lithuanian", "bg": "bulgarian", "el": "greek", "tr": "turkish", "uk": "ukrainian", "ru": "russian"}
+LONGER = {"fr", "es", "it", "pt", "ro", "el", "nl", "de", "cs", "sk", "pl", "hr", "sl", "hu", "no"}
+LEAST_LETTERS, LONGER_CHARS = 2, 400
 GROUPS = {"nordic": ["FI", "SE", "NO", "DK", "IS"], "baltic": ["LV", "LT", "EE"]}
-LETTERS = {"FI": ("äöåÄÖÅ", 25), "SE": ("äöåÄÖÅ", 25), "NO": ("æøåÆØÅ", 25), "DK": ("æøåÆØÅ", 25), "DE": ("äöüßÄÖÜ", 25), "AT": ("äöüßÄÖÜ", 25), "FR": ("éèêàçùâîôÉÈÀÇ", 25), "ES": ("áéíóúñÁÉÍÓÚÑ¿¡", 25), "EE": ("äöüõÄÖÜÕ", 25), "LV": ("āčēģīķļņšūžĀČĒĢĪĶĻŅŠŪŽ", 10), "LT": ("ąčęėįšųūžĄČĘĖĮŠŲŪŽ", 10), "PL": ("ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", 15)}
 TITLE_WORDS = ["entwickler", "mitarbeiter", "kehittäjä", "utvecklare", "asiantuntija", "rådgiver", "medarbejder", "développeur", "ingénieur", "desarrollador", "spécialiste"]
 
 # Phrase templates around a language {l}, written for this package.
@@ -31,29 +49,52 @@ ADVANTAGE = [MENTION + r"(?: (?:is|are|would be|will be|as|considered|counts as|
 REQUIRED = [r"(?:fluent|fluency|proficient|proficiency|native|business|excellent|very good|good|strong|professional|full)(?: (?:level|written|spoken|verbal|oral|working|and|command|skills|knowledge|proficiency|of|in|english|both))*,? (?:in |of |and |& )*{l}(?![a-z])", r"{l}(?: and english)?(?: language)?(?: skills?| proficiency| fluency)? (?:is|are) (?:required|mandatory|necessary|essential|a must|needed)", r"(?:must|need to|have to|able to) (?:speak|master|communicate in|be fluent in|know)(?: both)?(?: english and)? {l}", r"{l}[- ](?:speaking|speaker)(?! countr)", r"english and {l}(?! (?:is|are|would|as) )", r"{l} and english(?! (?:is|are|would|as) )", r"requires? (?:fluent |good )?{l}"]
 GENERIC = r"(?:local|native|national) language(?: skills)? (?:is|are)? ?(?:required|mandatory|a must|necessary)|(?:fluent|fluency|proficient|proficiency) in (?:the|your) local language"
 GENERIC_PLUS = r"local language(?: skills)?(?: is| are| would be| as)? " + PLUS
+GROUP_PLUS = r"additional (?:[a-z]+ )?languages(?: skills)?[^.]{0,60}? (?:is|are|would be) " + PLUS
+GENERIC_OWN = [r"your local language {l}(?![a-z])", r"in addition to (?:[a-zà-ÿ]+(?:, ?[a-zà-ÿ]+)* or )+{l}(?![a-z])", r"in addition to {l}(?![a-z])"]
+ENUMERATED = r"((?:[a-zà-ÿ]+,? )+and [a-zà-ÿ]+): [a-zà-ÿ ]*(?:proficiency|fluency) is required for all (?:two|three|four|five|the) languages"
 CONDITIONAL = r"depending on (?:the |your )?(?:location|country|market)"
 
 
+#: What stands after names of languages that a stroke parts.
+CONTEXT_WORDS = ("speaking", "speaker", "language", "languages", "skills", "knowledge", "proficiency", "fluency", "required", "native", "communication")
+
+
+def named_by(language: str) -> str:
+    """A pattern of the words for a language."""
+    return f"(?:{'|'.join(LANGUAGE_WORDS[language].split())})"
+
+
 def normalise_signal_text(title: Column, description: Column) -> Column:
     """Title and description as one lower-cased line: brackets away, & and + as and, line breaks as sentence ends, slash lists apart."""
     x = F.lower(F.concat_ws(" ", title, description))
     x = F.regexp_replace(F.regexp_replace(x, r"[()]", " "), "[–—]", " – ")
     x = F.regexp_replace(F.replace(x, F.lit("&"), F.lit("and")), r"\s\+\s", " and ")
     x = F.regexp_replace(x, r"\s*\band/or\b\s*", "/")
-    context = r"(\s+(?:speaking|speaker|languages?|skills|knowledge|proficiency|fluency|required|native|communication)\b)"
-    for _ in range(3):  # lists of up to four languages
-        x = F.regexp_replace(x, rf"([a-z]+)/([a-z]+){context}", "$1$3 $2$3")
+    context = rf"(\s+(?:{'|'.join(CONTEXT_WORDS)})\b)"
+    lists = F.regexp_extract_all(x, F.lit(rf"([a-z]+(?:/[a-z]+)+){context}"), F.lit(0))
+
+    def apart(text: Column, found: Column) -> Column:
+        """a/b/c speaking -> a speaking b speaking c speaking, for lists of any length."""
+        names, word = F.split(F.regexp_extract(found, r"^(\S+)", 1), "/"), F.regexp_extract(found, r"^\S+(\s+.*)$", 1)
+        return F.replace(text, found, F.array_join(F.transform(names, lambda n: F.concat(n, word)), " "))
+
+    x = F.when(F.size(lists) > 0, F.aggregate(lists, x, apart)).otherwise(x)
     return F.regexp_replace(F.regexp_replace(x, r"\n+", ". "), r"\s+", " ")
 
 
+def found(text: Column, pattern: str) -> Column:
+    """The first text that matches, else null."""
+    return F.nullif(F.regexp_extract(text, f"({pattern})", 1), F.lit(""))
+
+
 def _hit(text: Column, patterns: list[str], language: str) -> Column:
     """The first text that one of the templates matches for a language, else null."""
-    return reduce(lambda a, b: F.coalesce(a, b), [F.nullif(F.regexp_extract(text, "(" + p.replace("{l}", language) + ")", 1), F.lit("")) for p in patterns])
+    return reduce(lambda a, b: F.coalesce(a, b), [found(text, p.replace("{l}", named_by(language))) for p in patterns])
 
 
 def requirement(text: str, language: str) -> str | None:
     """The requirement phrase for a language that its clause does not take back, in one normalised text."""
-    for p in _PATTERNS.setdefault(language, [re.compile(x.replace("{l}", language)) for x in REQUIRED]):
+    for p in _PATTERNS.setdefault(language, [re.compile(x.replace("{l}", named_by(language))) for x in REQUIRED]):
         for m in p.finditer(text):
             before = re.split(r"[.;!?]", text[max(0, m.start() - 80) : m.start()])[-1]
             after = re.split(r"[.;!?]", text[m.end() : m.end() + 80])[0]
@@ -74,67 +115,122 @@ def phase_title(title: Column) -> Column:
     return looks_non_english(title, TITLE_WORDS)
 
 
-def detect_language_requirement(jobs: DataFrame, profile: DataFrame | None = None, key: str = "id") -> DataFrame:
-    """(key, country_code, value, advantage, required, preferred, phase, matched) for (key, country_code, title, description) rows.
+EVERY = sorted(LANGUAGE_WORDS)
 
-    With a language profile, paragraphs are identified too (1c and 1c-any); the reference uses a third-party model there, so
-    these phases need not agree with it. A country that is not in the dictionary is decided by 2c.
-    """
+
+def own_languages(country: Column) -> Column:
+    """Languages of a country; none for one that is not in the dictionary."""
     langs = F.create_map(*[x for c, ls in COUNTRY_LANGUAGES.items() for x in (F.lit(c), F.array(*map(F.lit, ls)))])
-    x = jobs.select(key, "country_code", "title", F.coalesce("description", F.lit("")).alias("description"))
-    x = x.withColumns({"langs": F.coalesce(F.try_element_at(langs, F.col("country_code")), F.array().cast("array<string>")), "text": normalise_signal_text(F.col("title"), F.col("description"))})
-    every = sorted({l for ls in COUNTRY_LANGUAGES.values() for l in ls})
+    return F.coalesce(F.try_element_at(langs, country), F.array().cast("array<string>"))
+
+
+def _of_own(text: Column, langs: Column, patterns: list[str]) -> Column:
+    """The first match of the patterns for a language of the country."""
+    named = lambda l: reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in LANGUAGE_WORDS[l].split()])  # noqa: E731, E741
+    return F.coalesce(*[F.when(F.array_contains(langs, l) & named(l), _hit(text, patterns, l)) for l in sorted({l for ls in COUNTRY_LANGUAGES.values() for l in ls})])
+
+
+def phase_advantage(text: Column, langs: Column) -> Column:
+    """1b: what says that a language of the country is welcome."""
+    return _of_own(text, langs, ADVANTAGE)
+
+
+def phase_group(text: Column, country: Column) -> tuple[Column, Column]:
+    """1b and 2a: what says that a language of the country's group (Nordic, Baltic) is welcome, and that it is required."""
+    plus = F.coalesce(*[F.when(country.isin(cs), found(text, rf"(?:any |another |other |a )?{g} languages?(?: skills?)?(?: is| are| would be| as)? {PLUS}")) for g, cs in GROUPS.items()])
+    required = F.coalesce(*[F.when(country.isin(cs), found(text, rf"(?:fluent|fluency|proficien(?:t|cy)) in (?:a |one |any )?{g} languages?|{g} languages? (?:is|are) (?:required|mandatory)")) for g, cs in GROUPS.items()])
+    return plus, required
+
+
+def phase_generic(text: Column, langs: Column) -> tuple[Column, Column, Column]:
+    """What says that the local or further languages are welcome (1b); that the local one is required (2a); and the languages of a list that are all required (2a)."""
+    words = F.create_map(*[x for l, ws in LANGUAGE_WORDS.items() for w in ws.split() for x in (F.lit(w), F.lit(l))])
+    listed = F.transform(F.split(F.regexp_extract(text, ENUMERATED, 1), r",? and |, ?| "), lambda w: F.try_element_at(words, F.trim(w)))
+    return F.coalesce(found(text, GENERIC_PLUS), found(text, GROUP_PLUS)), F.coalesce(found(text, GENERIC), _of_own(text, langs, GENERIC_OWN)), F.array_distinct(F.array_compact(listed))
+
+
+def phase_cross(requirements: Column, langs: Column) -> Column:
+    """2a: requirements of languages that are not the country's."""
+    return F.filter(requirements, lambda r: ~F.array_contains(langs, r["language"]))
+
+
+def phase_conditional(text: Column, langs: Column) -> Column:
+    """2b: a language of the country is named near "depending on the location"."""
+    near = F.regexp_extract(text, f"(.{{0,60}}{CONDITIONAL}.{{0,60}})", 1)
+    return F.when(F.exists(langs, lambda l: F.contains(near, l)), F.lit("depending on location"))
+
+
+def required_languages(text: Column) -> Column:
+    """Array of (language, matched): requirements that no clause takes back; only texts that name a language pass through Python."""
 
     @F.pandas_udf("array<struct<language:string,matched:string>>")
-    def requirements(texts: pd.Series, named: pd.Series) -> pd.Series:
-        return pd.Series([[{"language": l, "matched": m} for l in ls if (m := requirement(t, l))] for t, ls in zip(texts, named, strict=True)])
+    def read(texts: pd.Series, named: pd.Series) -> pd.Series:
+        return pd.Series([[{"language": l, "matched": m} for l in ls if (m := requirement(t, l))] if ls is not None and len(ls) else [] for t, ls in zip(texts, named, strict=True)])
+
+    named = F.array_compact(F.array(*[F.when(text.rlike(named_by(l)), F.lit(l)) for l in EVERY]))
+    # a text without a name is not moved to Python
+    return read(F.when(F.size(named) > 0, text), named)
+
+
+def paragraph_languages(jobs: DataFrame, profile: DataFrame, key: str = "id") -> DataFrame:
+    """(key, country_code, native, foreign): the first paragraph language that is the country's, and that is another known one.
 
-    named = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(l)), F.lit(l)) for l in every]))
-    x = x.withColumn("named", named)
-    # only texts that name a language pass through Python
-    gated = x.where(F.size("named") > 0).select(key, "country_code", requirements("text", "named").alias("found"))
-    x = x.join(gated, [key, "country_code"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<language:string,matched:string>>")))
+    A paragraph in the country's language has two of its letters where it has letters of its own; one in another language
+    has 400 characters for the languages that are taken for English easily, and a Greek letter if it is Greek.
+    """
+    from jobloom.operators.classify import chunk_language, paragraphs
+
+    texts = jobs.select(key, "description").where("description is not null").dropDuplicates([key])
+    names = F.create_map(*[y for c, l in CODES.items() for y in (F.lit(c), F.lit(l))])
+    seen = chunk_language(texts, key, "description", profile).withColumn("language", F.try_element_at(names, F.col("lang"))).where("language is not null")
+    x = seen.join(paragraphs(texts, key, "description"), [key, "para"]).join(jobs.select(key, "country_code").distinct(), key)
+    letters = F.create_map(*[y for c, (chars, _) in LETTERS.items() for y in (F.lit(c), F.lit(chars))])
+    x = x.withColumns({"langs": own_languages(F.col("country_code")), "letters": F.try_element_at(letters, F.col("country_code"))})
+    own = F.array_contains("langs", F.col("language")) & (F.col("letters").isNull() | (F.length("p") - F.length(F.expr("translate(p, letters, '')")) >= LEAST_LETTERS))
+    other = (~F.col("lang").isin(*LONGER) | (F.length("p") >= LONGER_CHARS)) & ((F.col("lang") != "el") | F.col("p").rlike("[\\u0370-\\u03ff\\u1f00-\\u1fff]"))
+    first = lambda c: F.min(F.when(c, F.struct("para", "language")))["language"]
+    return x.groupBy(key, "country_code").agg(first(own).alias("native"), first(other & ~F.array_contains("langs", F.col("language"))).alias("foreign"))
+
+
+def detect_language_requirement(jobs: DataFrame, profile: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """(key, country_code, value, advantage, required, preferred, phase, matched) for (key, country_code, title, description) rows.
 
+    With a language profile, paragraphs are identified too (1c and 1c-any); the original uses a third-party model there, so
+    these phases need not agree with it.
+    """
+    x = jobs.select(key, "country_code", "title", F.coalesce("description", F.lit("")).alias("description"))
+    x = x.withColumns({"langs": own_languages(F.col("country_code")), "text": normalise_signal_text(F.col("title"), F.col("description"))})
+    x = x.withColumn("found", F.coalesce(required_languages(F.col("text")), F.array().cast("array<struct<language:string,matched:string>>")))
+    text, langs = F.col("text"), F.col("langs")
     own = F.filter("found", lambda r: F.array_contains("langs", r["language"]))
-    cross = F.filter("found", lambda r: ~F.array_contains("langs", r["language"]) & (r["language"] != "english"))
-    advantage = reduce(lambda a, b: F.coalesce(a, b), [F.when(F.array_contains("langs", l) & F.contains("text", F.lit(l)), _hit(F.col("text"), ADVANTAGE, l)) for l in every])
-    group = F.coalesce(*[F.when(F.col("country_code").isin(cs), F.nullif(F.regexp_extract("text", rf"((?:any |another |other |a )?{g} languages?(?: skills?)?(?: is| are| would be| as)? {PLUS})", 1), F.lit(""))) for g, cs in GROUPS.items()])
-    group_req = F.coalesce(*[F.when(F.col("country_code").isin(cs), F.nullif(F.regexp_extract("text", rf"((?:fluent|fluency|proficien(?:t|cy)) in (?:a |one |any )?{g} languages?|{g} languages? (?:is|are) (?:required|mandatory))", 1), F.lit(""))) for g, cs in GROUPS.items()])
-    generic_plus = F.nullif(F.regexp_extract("text", f"({GENERIC_PLUS})", 1), F.lit(""))
-    generic = F.nullif(F.regexp_extract("text", f"({GENERIC})", 1), F.lit(""))
+    cross = phase_cross(F.col("found"), langs)
+    group, group_req = phase_group(text, F.col("country_code"))
+    generic_plus, generic, listed = phase_generic(text, langs)
     letters = F.coalesce(*[F.when((F.col("country_code") == c) & (F.length("description") - F.length(F.translate("description", chars, "")) >= n), F.lit("native letters")) for c, (chars, n) in LETTERS.items()])
-    depends = F.when(F.exists("langs", lambda l: F.contains(F.regexp_extract("text", f"(.{{0,60}}{CONDITIONAL}.{{0,60}})", 1), l)), F.lit("depending on location"))
     free = F.size(own) == 0
-
     none = F.array().cast("array<string>")
+    shown = lambda names: F.transform(names, lambda n: F.initcap(n))
 
     def phase(name: str, matched: Column, value: bool, adv: bool, required: Column = none, preferred: Column = none) -> Column:
-        return F.when(matched.isNotNull(), F.struct(F.lit(name).alias("phase"), matched.alias("matched"), F.lit(value).alias("value"), F.lit(adv).alias("advantage"), required.alias("required"), preferred.alias("preferred")))
+        return F.when(matched.isNotNull(), F.struct(F.lit(name).alias("phase"), matched.alias("matched"), F.lit(value).alias("value"), F.lit(adv).alias("advantage"), shown(required).alias("required"), shown(preferred).alias("preferred")))
 
-    paragraphs = []
+    by_paragraph = []
     if profile is not None:
-        from jobloom.operators.classify import chunk_language
-
-        seen = chunk_language(jobs.select(key, "description").where("description is not null").dropDuplicates([key]), key, "description", profile)
-        names = F.create_map(*[y for c, l in CODES.items() for y in (F.lit(c), F.lit(l))])
-        seen = seen.withColumn("language", F.try_element_at(names, F.col("lang"))).where("language is not null")
-        per = seen.groupBy(key).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("para", "language"))), lambda s: s["language"])).alias("seen"))
-        x = x.join(per, key, "left")
-        native = F.get(F.filter(F.coalesce("seen", none), lambda l: F.array_contains("langs", l)), F.lit(0))
-        foreign = F.get(F.coalesce("seen", none), F.lit(0))
-        paragraphs = [phase("1c", native, True, False, F.col("langs")), phase("1c-any", foreign, True, False, F.array(foreign))]
+        x = x.join(paragraph_languages(jobs, profile, key), [key, "country_code"], "left")
+        by_paragraph = [phase("1c", F.col("native"), True, False, langs), phase("1c-any", F.col("foreign"), True, False, F.array("foreign"))]
 
     decided = F.coalesce(
-        phase("1a", F.when(phase_title(F.col("title")) & (F.size("langs") > 0), F.col("title")), True, False, F.col("langs")),
-        phase("1b", F.when(free, advantage), False, True, preferred=F.col("langs")),
-        phase("1b-group", F.when(free, F.coalesce(group, generic_plus)), False, True, preferred=F.col("langs")),
-        phase("1b-chars", letters, True, False, F.col("langs")),
-        *paragraphs,
-        phase("2a-generic", generic, True, False, F.col("langs")),
-        phase("2a-group", group_req, True, False, F.col("langs")),
+        phase("1a", F.when(phase_title(F.col("title")) & (F.size("langs") > 0), F.col("title")), True, False, langs),
+        phase("1b", F.when(free, phase_advantage(text, langs)), False, True, preferred=langs),
+        phase("1b-group", F.when(free, F.coalesce(group, generic_plus)), False, True, preferred=langs),
+        phase("1b-chars", letters, True, False, langs),
+        *by_paragraph,
+        phase("2a-generic", generic, True, False, langs),
+        phase("2a-group", group_req, True, False, langs),
+        phase("2a-all", F.when(F.size(listed) > 0, found(text, ENUMERATED)), True, False, listed),
         phase("2a", F.get(own, F.lit(0))["matched"], True, False, F.transform(own, lambda r: r["language"])),
         phase("2a-cross", F.get(cross, F.lit(0))["matched"], True, False, F.transform(cross, lambda r: r["language"])),
-        phase("2b", depends, False, True, preferred=F.col("langs")),
+        phase("2b", phase_conditional(text, langs), False, True, preferred=langs),
         phase("2c", F.lit(""), False, False),
     )
     return x.select(key, "country_code", decided.alias("d")).select(key, "country_code", "d.*")
@@ -154,4 +250,4 @@ def classify_postings(jobs: DataFrame, keywords: DataFrame, skills: DataFrame, p
     return x.select("id", "country_code", "category", F.coalesce("skills", none).alias("skills"), education_floor(F.col("description")).alias("required_education"), F.coalesce("requires_native_language", "_value").alias("requires_native_language"), F.coalesce("advantage", F.lit(False)).alias("local_language_advantage"), F.coalesce("required", none).alias("required_languages"), F.coalesce("preferred", none).alias("preferred_languages"), "phase")
 
 
-__all__ = ["classify_postings", "detect_language_requirement", "normalise_signal_text", "phase_title", "requirement"]
+__all__ = ["classify_postings", "detect_language_requirement", "normalise_signal_text", "paragraph_languages", "phase_advantage", "phase_conditional", "phase_cross", "phase_generic", "phase_group", "phase_title", "required_languages", "requirement"]

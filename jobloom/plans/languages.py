@@ -14,6 +14,8 @@ CASES = [
     ("FI", "Engineer", "Fluent in Finnish and English.", "2a", True), ("DE", "Engineer", "German skills are not required.", "2c", False), ("FR", "Engineer", "You must speak French.", "2a", True),
     ("NL", "Engineer", "Local language is required.", "2a-generic", True), ("DK", "Engineer", "Fluency in a Nordic language.", "2a-group", True), ("ES", "Engineer", "You must speak Polish.", "2a-cross", True),
     ("CH", "Engineer", "Working language depends: depending on location French or German.", "2b", False), ("US", "Engineer", "Nothing about it.", "2c", False), ("LV", "Engineer", "Ideally fluent in Latvian", "2c", False),
+    ("US", "Engineer", "Dutch, French, and English: Professional working proficiency is required for all three languages.", "2a-all", True), ("SE", "Engineer", "English in addition to Norwegian or Swedish.", "2a-generic", True),
+    ("IT", "Engineer", "Knowledge of additional EU languages is a plus.", "1b-group", False), ("PT", "Engineer", "You speak your local language (Portuguese).", "2a-generic", True), ("GR", "Engineer", "You must speak Greek.", "2a", True),
 ]
 
 
@@ -38,6 +40,76 @@ def _(t):
     return postings(t, False).select("id", language.phase_title(F.col("title")).alias("hit"))
 
 
+# -- single phases: whole documents, each with a sentence made of a language, a country and a form by its id -------------------
+
+NAMES = ["finnish", "swedish", "norwegian", "danish", "icelandic", "german", "dutch", "french", "italian", "spanish", "portuguese", "polish", "czech", "estonian", "latvian", "lithuanian", "greek", "turkish"]
+LANDS = ["FI", "SE", "NO", "DK", "IS", "DE", "CH", "NL", "BE", "FR", "ES", "PL", "EE", "LV", "LT", "US", "IN"]
+OWN = [(c, l.lower()) for c in LANDS for l in language.COUNTRY_LANGUAGES.get(c, [])]  # noqa: E741
+
+
+def said(t, forms: list[tuple[str, int]]):
+    """(id, country_code, name, form, text): documents with a form's sentence before their text; {l} is the language's name."""
+    pick = lambda xs, by: F.get(F.array(*map(F.lit, xs)), F.expr(f"cast({by} as int)"))
+    name = pick(NAMES, f"doc_id % {len(NAMES)}")
+    d = t.raw("documents", "doc_id", "text").where("text is not null")
+    d = d.select(F.col("doc_id").alias("id"), pick(LANDS, f"(doc_id div {len(NAMES)}) % {len(LANDS)}").alias("country_code"), name.alias("name"), F.expr(f"cast(doc_id % {len(forms)} as int)").alias("form"), F.col("text").alias("body"))
+    sentence = F.replace(pick([f for f, _ in forms], f"id % {len(forms)}"), F.lit("{l}"), F.initcap("name"))
+    return d.select("id", "country_code", "name", "form", language.normalise_signal_text(sentence, F.concat(F.lit(". "), "body")).alias("text"))
+
+
+def said_sql(forms: list[tuple[str, int]], when: str, out: str = "hit") -> str:
+    """The same choices in SQL: `good` is the form's flag, `own` whether the name is a language of the country."""
+    arr = lambda xs: "[" + ", ".join(repr(x) if isinstance(x, str) else str(x) for x in xs) + "]"
+    own = " OR ".join(f"(country_code = '{c}' AND name = '{n}')" for c, n in OWN)
+    return f"""WITH s AS (SELECT doc_id AS id, ({arr(NAMES)})[CAST(doc_id % {len(NAMES)} + 1 AS INTEGER)] AS name, ({arr(LANDS)})[CAST((doc_id // {len(NAMES)}) % {len(LANDS)} + 1 AS INTEGER)] AS country_code, ({arr([g for _, g in forms])})[CAST(doc_id % {len(forms)} + 1 AS INTEGER)] AS good FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, ({own}) AS own FROM s)
+SELECT id, {when} AS {out} FROM w"""
+
+
+ADVANTAGE_FORMS = [("{l} is a plus", 1), ("Knowledge of {l} would be an asset", 1), ("Nice to have: {l}", 1), ("{l} food is served", 0), ("We were founded by {l} people", 0)]
+
+
+@query("phase_advantage", said_sql(ADVANTAGE_FORMS, "good = 1 AND own"))
+def _(t):
+    return said(t, ADVANTAGE_FORMS).select("id", language.phase_advantage(F.col("text"), language.own_languages(F.col("country_code"))).isNotNull().alias("hit"))
+
+
+GROUP_FORMS = [("Any Nordic language is an advantage", 1), ("Fluency in a Nordic language", 2), ("Another Baltic language would be a plus", 3), ("Baltic languages are required", 4), ("A Nordic team of {l} people", 0)]
+
+
+@query("phase_group", said_sql(GROUP_FORMS, "CASE WHEN good IN (1, 2) AND country_code IN ('FI', 'SE', 'NO', 'DK', 'IS') OR good IN (3, 4) AND country_code IN ('LV', 'LT', 'EE') THEN CASE WHEN good IN (1, 3) THEN 'plus' ELSE 'required' END END", "kind"))
+def _(t):
+    plus, required = language.phase_group(F.col("text"), F.col("country_code"))
+    return said(t, GROUP_FORMS).select("id", F.when(plus.isNotNull(), "plus").when(required.isNotNull(), "required").alias("kind"))
+
+
+GENERIC_FORMS = [("Local language skills are a plus", 1), ("Knowledge of additional EU languages is a plus", 1), ("The local language is required", 2), ("Your local language ({l}) at work", 3), ("English in addition to Klingon or {l}", 3), ("Klingon, {l}, and English: Full fluency is required for all three languages", 4), ("A local company for {l} people", 0)]
+
+
+@query("phase_generic", said_sql(GENERIC_FORMS, "CASE WHEN good = 1 THEN 'plus' WHEN good = 2 OR good = 3 AND own THEN 'required' WHEN good = 4 THEN name END", "kind"))
+def _(t):
+    plus, required, listed = language.phase_generic(F.col("text"), language.own_languages(F.col("country_code")))
+    return said(t, GENERIC_FORMS).select("id", F.when(plus.isNotNull(), "plus").when(required.isNotNull(), "required").when(F.size(listed) > 0, F.array_join(listed, "|")).alias("kind"))
+
+
+CROSS_FORMS = [("Fluent in {l}", 1), ("You must speak {l}", 1), ("{l} skills are not required", 0), ("Ideally fluent in {l}", 0), ("{l} is required", 1)]
+
+
+@query("phase_cross", said_sql(CROSS_FORMS, "CASE WHEN good = 1 THEN name END AS language, good = 1 AND NOT own", "hit"))
+def _(t):
+    x = said(t, CROSS_FORMS).withColumn("found", language.required_languages(F.col("text")))
+    cross = language.phase_cross(F.col("found"), language.own_languages(F.col("country_code")))
+    return x.select("id", F.get("found", F.lit(0))["language"].alias("language"), (F.size(cross) > 0).alias("hit"))
+
+
+CONDITIONAL_FORMS = [("Depending on the location you speak {l}", 1), ("{l} or English, depending on your country", 1), ("Depending on the weather you speak {l}", 0)]
+
+
+@query("phase_conditional", said_sql(CONDITIONAL_FORMS, "good = 1 AND own"))
+def _(t):
+    return said(t, CONDITIONAL_FORMS).select("id", language.phase_conditional(F.col("text"), language.own_languages(F.col("country_code"))).isNotNull().alias("hit"))
+
+
 @query("language_requirement")
 def _(t):
     profile = classify.build_lang_profile(t.raw("documents", "lang", "text"))
