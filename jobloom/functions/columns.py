@@ -46,7 +46,7 @@ def slug_keep(c: Column) -> Column:
 def title_case_slug(c: Column) -> Column:
     """Hyphens and underscores to spaces, first letters to upper case, the rest as it is."""
     words = F.split(F.translate(c, "-_", "  "), " ")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1_000_000))), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), " ")
 
 
 def clean_name(c: Column) -> Column:
@@ -79,17 +79,18 @@ def decode_entities(c: Column, names: dict[str, str] | None = None) -> Column:
     return out
 
 
-BLOCKS = "p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|blockquote"
+# Tags that end a line.
+BLOCKS = "p|div|br|li|h[1-6]|tr|section|article|blockquote"
 
 
 def html_to_text(html: Column) -> Column:
     """Text of a page: no scripts, styles, navigation and footers, a line for each block, entities decoded."""
     x = decode_entities(html)
-    x = F.regexp_replace(x, r"(?is)<(script|style|nav|footer)\b[^>]*>.*?</\1\s*>", " ")
+    x = F.regexp_replace(x, r"(?is)<(script|style|nav|footer)\b[^>]*>.*?</\1\s*>", "")
     x = F.regexp_replace(x, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
     x = F.regexp_replace(x, "<[^>]*>", " ")
-    x = F.regexp_replace(x, "[ \\t\\x0B\\f\\r]+", " ")
-    x = F.regexp_replace(F.regexp_replace(x, " ?\n ?", "\n"), "\n{3,}", "\n\n")
+    x = F.regexp_replace(x, "[ \\t]+", " ")
+    x = F.regexp_replace(F.regexp_replace(x, "\n ", "\n"), "\n{3,}", "\n\n")
     return decode_entities(F.regexp_replace(x, r"^\s+|\s+$", ""))
 
 

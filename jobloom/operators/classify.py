@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 
 from jobloom.operators.phrases import phrase_hits
 
-CATCH_ALL = r"(?i)\b(?:open|spontaneous|speculative|general)\s+application\b"
+#: Kinds of application that name no job; a title with one of them is 'other' whatever its text says.
+OPEN_APPLICATIONS = ("open", "spontaneous", "speculative", "general")
+
+
+def names_no_job(title: Column) -> Column:
+    """Whether an open kind of application stands in a title: its words side by side."""
+    w = F.regexp_extract_all(F.lower(title), F.lit("([a-z]+)"), F.lit(1))
+    pairs = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
+    return F.coalesce(F.arrays_overlap(pairs, F.array(*[F.lit(f"{k} application") for k in OPEN_APPLICATIONS])), F.lit(False))
 
 
 def best_category(hits: DataFrame, key: list[str], weight: int) -> DataFrame:
@@ -30,9 +38,9 @@ def classify_category(jobs: DataFrame, key: str, keywords: DataFrame, title: str
     dictionary = kw.select("phrase_id", F.col("keyword").alias("phrase"))
     # the three texts are looked through at once: one explosion, one dictionary join
     texts = jobs.select(key, F.explode(F.array(*[F.struct(F.lit(i).alias("stage"), F.col(c).alias("text")) for i, c in enumerate((function, title, description))])).alias("t")).select(key, "t.*")
-    hits = phrase_hits(texts, [key, "stage"], "text", dictionary).join(F.broadcast(kw), "phrase_id")
+    hits = phrase_hits(texts, [key, "stage"], "text", dictionary).join(kw, "phrase_id")
     best = best_category(hits, [key, "stage"], 1)
-    catch_all = F.coalesce(F.col(title).rlike(CATCH_ALL), F.lit(False))
+    catch_all = names_no_job(F.col(title))
     best = best.join(jobs.select(key, catch_all.alias("_all")), key).where(~((F.col("stage") == 2) & F.col("_all")))
     first = best.groupBy(key).agg(F.min_by(F.struct("category", "keyword", "stage"), "stage").alias("b"))
     x = jobs.select(key).join(first, key, "left")
@@ -47,36 +55,50 @@ def extract_skills(texts: DataFrame, key: str, text: str, skills: DataFrame) ->
     `skills` has name, skill_no and aliases. An alias has no a-z or 0-9 beside it; empty aliases are skipped.
     """
     a = skills.select("name", "skill_no", F.explode("aliases").alias("phrase")).where(F.trim("phrase") != "").withColumn("phrase_id", F.xxhash64("skill_no", "phrase"))
-    hits = phrase_hits(texts, [key], text, a.select("phrase_id", "phrase")).join(F.broadcast(a), "phrase_id")
+    hits = phrase_hits(texts, [key], text, a.select("phrase_id", "phrase")).join(a, "phrase_id")
     once = hits.select(key, "skill_no", "name").distinct()
     return once.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("skill_no", "name"))), lambda s: s["name"]).alias("skills"))
 
 
-# Fixed patterns: what each level of education is called, lowest level first.
-B = r"(?:^|[^A-Za-z0-9_])"
-E = r"(?:$|[^A-Za-z0-9_])"
+def _forms(heads: str, tails: str) -> list[str]:
+    """All phrases of a head and a tail; alternatives are parted by commas."""
+    return [f"{h.strip()} {t.strip()}" for h in heads.split(",") for t in tails.split(",")]
+
+
+# What each level of education is called, lowest level first. A full stop may be left out, a space is any white space.
 EDUCATION = {
-    "vocational": r"vocational\s+(?:qualification|degree|education|certificate|diploma)|vocational\s+training\s+(?:qualification|program(?:me)?|certificate|degree)|apprenticeship|trade (?:school|qualification|certificate)|technical degree",
-    "bachelor": r"bachelor'?s?(?: degree| of science| of arts| of engineering)?|b\.?sc\.?|b\.?s\.?|b\.?a\.?|(?:undergraduate|university|college|academic) degree|a degree in|higher education",
-    "master": r"master(?:'?s(?: degree| of science| of arts| of engineering| of laws)?| degree| of science| of arts| of engineering| of laws)|m\.?sc\.?|m\.?s\.?|m\.?a\.?|(?:post)?graduate degree",
-    "mba": r"mba|master of business administration",
-    "phd": r"ph\.?d\.?|doctorate|doctoral degree|doctor of (?:philosophy|science|engineering)",
+    "vocational": [*_forms("vocational", "qualification, degree, education, certificate, diploma"), *_forms("vocational training", "qualification, program, programme, certificate, degree"), "apprenticeship", *_forms("trade", "school, qualification, certificate"), "technical degree"],
+    "bachelor": ["bachelor", "bachelors", "bachelor's", "b.sc.", "b.s.", "b.a.", *_forms("undergraduate, university, college, academic", "degree"), "a degree in", "higher education"],
+    "master": ["master's", "masters", *_forms("master", "degree, of science, of arts, of engineering, of laws"), "m.sc.", "m.s.", "m.a.", *_forms("graduate, postgraduate", "degree")],
+    "mba": ["mba", "master of business administration"],
+    "phd": ["ph.d.", "doctorate", "doctoral degree", *_forms("doctor", "of philosophy, of science, of engineering")],
 }
+ASCII_WORD = "A-Za-z0-9_"
+
+
+def phrase_pattern(phrases: list[str]) -> str:
+    """A pattern that finds any of the phrases with no ASCII word character beside it, in any case."""
+    literal = "|".join(p.replace(".", r"\.?").replace(" ", r"\s+") for p in phrases)
+    return f"(?i)(?:^|[^{ASCII_WORD}])(?:{literal})(?:$|[^{ASCII_WORD}])"
 
 
-def education_floor(text: Column) -> Column:
-    """The lowest level of education that a text asks for; null if none. "MS Office" reads as a master's, as in the reference."""
+def education_floor(text: Column, levels: dict[str, list[str]] = EDUCATION) -> Column:
+    """The lowest level of education that a text asks for; null if none. "MS Office" reads as a master's degree."""
     t = F.regexp_replace(text, "[‘’‚‛]", "'")
     out = F.lit(None).cast("string")
-    for level, pattern in reversed(EDUCATION.items()):
-        out = F.when(t.rlike(f"(?i){B}(?:{pattern}){E}"), level).otherwise(out)
+    for level, phrases in reversed(levels.items()):
+        out = F.when(t.rlike(phrase_pattern(phrases)), level).otherwise(out)
     return out
 
 
+#: What a text says that stands where a title would, but is none.
+PLACEHOLDERS = ["loading", "coming soon", "there are no", *_forms("no, no current, no open", "openings, positions, vacancies, roles"), "sign in", "signin", "log in", "login", "log out", "logout", "subscribe", "newsletter"]
+
+
 def valid_title(title: Column) -> Column:
-    """2 to 120 characters and not a page's own words."""
-    t = F.trim(title)
-    return F.coalesce(F.length(t).between(2, 120) & ~t.rlike(r"(?i)^(?:read more|apply(?: now)?|learn more|view(?: job| all)?|see (?:more|all)|home|menu|search|jobs|careers|next|previous|back|login|cookies?)$"), F.lit(False))
+    """2 to 120 characters and nothing in it that a placeholder says."""
+    t, low = F.trim(title), F.regexp_replace(F.lower(title), r"\s+", " ")
+    return F.coalesce(F.length(t).between(2, 120) & ~F.exists(F.array(*map(F.lit, PLACEHOLDERS)), lambda p: F.contains(low, p)), F.lit(False))
 
 
 def drop_placeholder(df: DataFrame, text: Column, least: int = 30) -> DataFrame:
@@ -116,11 +138,11 @@ def detect_lang(texts: DataFrame, key: list[str], text: str, profile: DataFrame)
     """(keys, detected): the language whose profile gives a text's trigrams the highest sum of weights, ties by name.
 
     A trigram of a profile weighs its share of the language in millionths; texts that share no trigram with any profile are
-    left out. The profile is top x languages rows and is broadcast.
+    left out. The profile is top x languages rows.
     """
     p = profile.select("lang", "gram", F.floor(F.col("n") * 1_000_000 / F.col("total")).cast("long").alias("w"))
     # a text's grams are weighed where they are read: only one partial sum a text and language moves
-    hits = grams(text_words(texts, key, text), key).join(F.broadcast(p), "gram")
+    hits = grams(text_words(texts, key, text), key).join(p, "gram")
     scores = hits.groupBy(*key, "lang").agg(F.sum("w").alias("score"))
     best = scores.withColumn("rn", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("score"), "lang"))).where("rn = 1")
     return best.select(*key, F.col("lang").alias("detected"))
@@ -136,11 +158,16 @@ def native_sample(text: Column, letters: str) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(chars)), "")
 
 
-def chunks(texts: DataFrame, key: str, text: str, least: int = 200, longest: int = 1500, window: int = 500) -> DataFrame:
-    """(key, para, part, chunk): paragraphs of at least `least` characters (else the whole text), long ones in windows."""
+def paragraphs(texts: DataFrame, key: str, text: str, least: int = 200) -> DataFrame:
+    """(key, para, p): paragraphs of at least `least` characters, else the whole text."""
     paras = F.transform(F.split(text, r"\n+"), lambda s: F.trim(s))
     long_ = F.filter(paras, lambda p: F.length(p) >= least)
-    x = texts.select(key, F.posexplode(F.when(F.size(long_) > 0, long_).otherwise(F.array(F.col(text)))).alias("para", "p"))
+    return texts.select(key, F.posexplode(F.when(F.size(long_) > 0, long_).otherwise(F.array(F.col(text)))).alias("para", "p"))
+
+
+def chunks(texts: DataFrame, key: str, text: str, least: int = 200, longest: int = 1500, window: int = 500) -> DataFrame:
+    """(key, para, part, chunk): paragraphs, long ones in windows."""
+    x = paragraphs(texts, key, text, least)
     starts = F.when(F.length("p") > longest, F.sequence(F.lit(1), F.length("p"), F.lit(window))).otherwise(F.array(F.lit(1)))
     x = x.select(key, "para", "p", F.posexplode(starts).alias("part", "start"))
     piece = F.when(F.length("p") > longest, F.substring("p", F.col("start"), F.lit(window))).otherwise(F.col("p"))

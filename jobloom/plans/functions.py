@@ -63,11 +63,11 @@ def _strip(tag: str, x: str) -> str:
 
 def _sql_text(x: str) -> str:
     x = _sql_named(x)
-    x = f"regexp_replace({x}, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<nav\\b[^>]*>.*?</nav\\s*>|<footer\\b[^>]*>.*?</footer\\s*>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<nav\\b[^>]*>.*?</nav\\s*>|<footer\\b[^>]*>.*?</footer\\s*>', '', 'g')"
     x = f"regexp_replace({x}, '(?i)</?(?:{C.BLOCKS})\\b[^>]*>', chr(10), 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
-    x = f"regexp_replace({x}, '[ \\t\\x0B\\f\\r]+', ' ', 'g')"
-    x = f"regexp_replace(regexp_replace({x}, ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    x = f"regexp_replace({x}, '[ \\t]+', ' ', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '\\n ', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
     return _sql_named(f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')")
 
 
@@ -99,9 +99,13 @@ def _(t):
     return t.raw("documents").select("doc_id", C.cut_at_marker(F.col("text"), ["Licensed under", "All rights reserved"]).alias("text"))
 
 
-@query("drop_sections")
+@query(
+    "drop_sections",
+    """WITH s AS (SELECT doc_id, unnest(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))) AS part, generate_subscripts(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), 1) AS i FROM documents)
+SELECT doc_id, coalesce(string_agg(CASE WHEN i > 1 THEN chr(10) || chr(10) ELSE '' END || part, '' ORDER BY i) FILTER (WHERE NOT regexp_matches(part, '(?i)^ *(the|le|die)')), '') AS left_text FROM s GROUP BY 1""",
+)
 def _(t):
-    return t.raw("documents").select("doc_id", F.length(C.drop_sections(F.replace("text", F.lit("\n"), F.lit("\n\n")), ["the", "le", "die"])).alias("left_chars"))
+    return t.raw("documents").where("text is not null").select("doc_id", C.drop_sections(F.replace("text", F.lit("\n"), F.lit("\n\n")), ["the", "le", "die"]).alias("left_text"))
 
 
 @query("strip_terms", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '(?i)(?:tion|ing|the|ll)', ' ', 'g'), ' +', ' ', 'g')) AS text FROM documents")
@@ -197,7 +201,11 @@ def _(t):
     return t.raw("events").select("event_id", C.day_key(F.col("ts")).alias("day"), F.date_format("ts", "yyyy-MM").alias("month"))
 
 
-@query("fingerprint")
+@query(
+    "fingerprint",
+    """WITH r AS (SELECT l_orderkey, string_agg('{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || ',"l_quantity":' || CAST(l_quantity AS VARCHAR) || '}', ',' ORDER BY l_linenumber, l_partkey, l_quantity) AS rows FROM lineitem GROUP BY 1)
+SELECT l_orderkey, sha256('{"rows":[' || rows || ']}') AS fingerprint FROM r""",
+)
 def _(t):
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")))
     return t.raw("lineitem").groupBy("l_orderkey").agg(C.fingerprint(rows.alias("rows")).alias("fingerprint"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from jobloom.plans.base import query
+from jobloom.plans.functions import _sql_text
 from jobloom.sources import html as H
 from jobloom.sources import items, normalise, tables
 
@@ -93,44 +96,82 @@ def _(t):
 # -- pages ------------------------------------------------------------------------------------------------------------------
 
 
-@query(
-    "html_links",
-    r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)(<a\s[^>]*>.*?</a>)', 1)) AS a FROM pages), l AS (SELECT page_id, trim(regexp_replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS title, regexp_extract(a, '(?i)href="([^"]*)"', 1) AS url FROM a)
-SELECT * FROM l WHERE regexp_matches(url, '^/[a-z]') AND length(title) BETWEEN 4 AND 120""",
-)
+#: A board put into each page: cards, a list or bare links by page_id % 3, with a second card or item that is none.
+TITLE_SQL = "trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[&<>\\s]+', ' ', 'g'))"
+
+
+def board(t):
+    """(page_id, html): the pages with a board whose titles, links and places come from the page."""
+    title = F.trim(F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), r"[&<>\s]+", " "))
+    part = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    k, n = F.col("page_id").cast("string"), F.col("page_id") % 3
+    cards = part(
+        '<div class="job-list"><div class="job-card"><h3>', title, ' a</h3><a href="/x/', k, '"></a><span class="office-city">Oulu</span></div>',
+        '<div class="job-card"><h4>', title, ' b</h4><i>Full-time Turku</i><a href="https://y/', k, '"></a><b class="place">Remote</b></div>',
+        '<div class="job-card"><h4>No current openings</h4><a href="/z"></a></div><div class="job-card"><h3>', title, ' c</h3></div></div>',
+    )
+    items = part('<ul><li><a href="/i/', k, '">', title, ' d</a> <span class="location">Rome</span></li><li>', title, " e</li><li><a href='/j'>", title, " f</a></li></ul><ol><li><a href='/q'>one more</a></li><li>two</li><li>three</li></ol>")
+    links = part('<p><a href="/jobs/', k, '?a=1">', title, ' g</a> or <a href="https://h/career/', k, '"><b>', title, '</b> h</a> <a href="/jobs/1">abc</a> <a href="/about?x=job">', title, "</a></p>")
+    made = F.when(n == 0, cards).when(n == 1, items).otherwise(links)
+    return t.raw("pages", "page_id", "html").select("page_id", F.replace("html", F.lit("</body>"), F.concat(made, F.lit("</body>"))).alias("html"))
+
+
+BOARD_SQL = f"""b AS (SELECT page_id, {TITLE_SQL} AS t, CAST(page_id AS VARCHAR) AS k, CAST(page_id % 3 AS INTEGER) AS n FROM pages WHERE contains(html, '</body>')),
+c AS (SELECT page_id, 1 AS strategy, trim(t || ' a') AS title, '/x/' || k AS url, 'Oulu' AS location, n FROM b WHERE n = 0 UNION ALL SELECT page_id, 1, trim(t || ' b'), 'https://y/' || k, NULL, n FROM b WHERE n = 0),
+l AS (SELECT page_id, 2 AS strategy, trim(t || ' d') AS title, '/i/' || k AS url, 'Rome' AS location, n FROM b WHERE n = 1 UNION ALL SELECT page_id, 2, trim(t || ' e'), NULL, NULL, n FROM b WHERE n = 1 UNION ALL SELECT page_id, 2, trim(t || ' f'), '/j', NULL, n FROM b WHERE n = 1),
+a AS (SELECT page_id, 3 AS strategy, trim(t || ' g') AS title, '/jobs/' || k || '?a=1' AS url, n FROM b WHERE n = 2 UNION ALL SELECT page_id, 3, trim(t || ' h'), 'https://h/career/' || k, n FROM b WHERE n = 2)"""
+FITS = "length(title) BETWEEN 2 AND 120"
+
+
+@query("html_links", f"WITH {BOARD_SQL} SELECT page_id, title, url FROM a WHERE {FITS}")
 def _(t):
-    return H.links(t.raw("pages", "page_id", "html"), "^/[a-z]").select("page_id", "title", "url")
+    return H.links(board(t)).select("page_id", "title", "url")
 
 
-@query("html_containers")
+@query("html_containers", f"WITH {BOARD_SQL} SELECT page_id, title, url, location FROM c WHERE {FITS}")
 def _(t):
-    return H.containers(t.raw("pages", "page_id", "html"), r"(?i)\bad\b|article")
+    return H.containers(board(t)).select("page_id", "title", "url", "location")
 
 
-@query("html_lists")
+@query("html_lists", f"WITH {BOARD_SQL} SELECT page_id, title, url, location FROM l WHERE {FITS}")
 def _(t):
-    return H.lists(t.raw("pages", "page_id", "html"))
+    return H.lists(board(t)).select("page_id", "title", "url", "location")
 
 
-@query("html_best_strategy")
+@query("html_best_strategy", f"WITH {BOARD_SQL} SELECT page_id, strategy, title, url FROM c WHERE {FITS} UNION ALL SELECT page_id, strategy, title, url FROM l WHERE {FITS} UNION ALL SELECT page_id, strategy, title, url FROM a WHERE {FITS}")
 def _(t):
-    p = t.raw("pages", "page_id", "html")
-    return H.best_of([H.containers(p, "(?i)job"), H.lists(p), H.links(p, "^/")])
+    p = board(t)
+    return H.best_of([H.containers(p), H.lists(p), H.links(p)]).select("page_id", "strategy", "title", "url")
 
 
-@query("html_cards")
+@query("html_cards", f"WITH {BOARD_SQL} SELECT page_id, title, url, location FROM c UNION ALL SELECT page_id, 'No current openings', '/z', NULL FROM b WHERE n = 0 UNION ALL SELECT page_id, trim(t || ' c'), NULL, NULL FROM b WHERE n = 0")
 def _(t):
-    return H.cards(t.raw("pages", "page_id", "html"), "article")
+    return H.cards(board(t), "div", "job-card").select("page_id", "title", "url", "location")
+
 
+PRESETS = {
+    "middot": ("<h3>{t}</h3><p>Sales · Office: Espoo</p>", ["Espoo"], []), "token_list": ("<h3>{t}</h3><p>Part-time Lahti Center</p>", ["Lahti Center"], []), "or_list": ("<h3>{t}</h3><p class=place>Kotka or Pori</p>", ["Kotka", "Pori"], []),
+    "tile": ("<h3>{t}</h3><p>Salo | Legal | Hybrid</p>", ["Salo"], ["Legal", "Hybrid"]), "accordion": ("<h3>{t}</h3><p>Team: Data Level: Senior</p>", [None], ["Team: Data", "Level: Senior"]),
+}
+_SAID = ", ".join(f"('{p}', {'NULL' if place is None else repr(place)}, '{'/'.join(more)}')" for p, (_, places, more) in PRESETS.items() for place in places)
 
-@query("html_card_presets")
+
+@query("html_card_presets", f"WITH s AS (SELECT * FROM (VALUES {_SAID}) v(preset, location, more)) SELECT page_id, preset, trim({TITLE_SQL}) AS title, location, more FROM pages, s WHERE trim({TITLE_SQL}) <> ''")
 def _(t):
-    return H.cards(t.raw("pages", "page_id", "html"), "li", preset="middot").unionByName(H.cards(t.raw("pages", "page_id", "html"), "article", preset="token_list"))
+    title = F.trim(F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), r"[&<>\s]+", " "))
+    pages = t.raw("pages", "page_id", "html")
+    made = lambda layout: pages.select("page_id", F.concat(F.lit(f'<div class="card">{layout.split("{t}")[0]}'), title, F.lit(layout.split("{t}")[1] + "</div>"), "html").alias("html"))
+    frames = [H.cards(made(layout), "div", "card", p).withColumn("preset", F.lit(p)) for p, (layout, *_) in PRESETS.items()]
+    x = reduce(lambda a, b: a.unionByName(b), frames)
+    return x.select("page_id", "preset", "title", "location", F.array_join("more", "/").alias("more"))
+
+
+_ARTICLE = _sql_text("array_to_string(regexp_extract_all(html, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1), chr(10))")
 
 
-@query("html_description")
+@query("html_description", f"SELECT page_id, CASE WHEN length({_ARTICLE}) >= 200 THEN {_ARTICLE} ELSE {_sql_text('html')} END AS text FROM pages")
 def _(t):
-    return t.raw("pages", "page_id", "html").select("page_id", F.length(H.select_description(F.col("html"))).alias("n_chars"))
+    return t.raw("pages", "page_id", "html").select("page_id", H.select_description(F.col("html")).alias("text"))
 
 
 @query("html_capture", r"SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, coalesce(nullif(regexp_extract(html, '<h9>([^<]*)</h9>', 1), ''), url) AS place FROM pages")

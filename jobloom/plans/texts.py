@@ -8,7 +8,6 @@ from jobloom.operators import classify, location, phrases
 from jobloom.plans.base import query
 
 PHRASES = ["the", "of the", "and by", "licensed under", "all rights reserved", "der", "token =", "la"]
-WORD = "[a-z0-9_]"
 
 
 def sql_quote(p: str) -> str:
@@ -17,7 +16,7 @@ def sql_quote(p: str) -> str:
 
 def sql_pos(text: str, phrase: str) -> str:
     """Place from 1 of the first bounded occurrence, 0 without."""
-    pattern = f"'(?s)^(.*?)(^|[^a-z0-9_])' || {phrase} || '($|[^a-z0-9_])'"
+    pattern = f"'(?s)^(.*?)(^|[^a-z0-9])' || {phrase} || '($|[^a-z0-9])'"
     return f"CASE WHEN regexp_matches({text}, {pattern}) THEN length(regexp_extract({text}, {pattern}, 1)) + length(regexp_extract({text}, {pattern}, 2)) + 1 ELSE 0 END"
 
 
@@ -76,16 +75,16 @@ EDU_SQL = "regexp_replace(text, '[‘’‚‛]', '''', 'g')"
 @query(
     "education_floor",
     f"""WITH e AS {values(list(enumerate(EDU_TEXTS)), "k", "said")}, d AS (SELECT doc_id, text || ' ' || said AS text FROM documents JOIN e ON k = doc_id % {len(EDU_TEXTS)})
-SELECT doc_id, CASE {" ".join("WHEN regexp_matches(" + EDU_SQL + ", '(?i)" + (classify.B + "(?:" + p + ")" + classify.E).replace("'", "''") + f"') THEN '{lvl}'" for lvl, p in classify.EDUCATION.items())} END AS level FROM d""",
+SELECT doc_id, CASE {" ".join("WHEN regexp_matches(" + EDU_SQL + ", '" + classify.phrase_pattern(p).replace("'", "''") + f"') THEN '{lvl}'" for lvl, p in classify.EDUCATION.items())} END AS level FROM d""",
 )
 def _(t):
     said = F.get(F.array(*[F.lit(x) for x in EDU_TEXTS]), (F.col("doc_id") % len(EDU_TEXTS)).cast("int"))
     return t.raw("documents").select("doc_id", classify.education_floor(F.concat_ws(" ", "text", said)).alias("level"))
 
 
-@query("valid_title", "SELECT page_id, length(trim(t)) BETWEEN 2 AND 120 AND NOT regexp_matches(trim(t), '(?i)^(apply|home)$') AS ok FROM (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN ' Apply ' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS t FROM pages)")
+@query("valid_title", "SELECT page_id, length(trim(t)) BETWEEN 2 AND 120 AND NOT regexp_matches(t, '(?i)loading|no +open roles') AS ok FROM (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN ' Loading … ' WHEN page_id % 10 = 1 THEN 'No  open roles' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS t FROM pages)")
 def _(t):
-    title = F.when(F.col("page_id") % 10 == 0, " Apply ").otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    title = F.when(F.col("page_id") % 10 == 0, " Loading … ").when(F.col("page_id") % 10 == 1, "No  open roles").otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
     return t.raw("pages").select("page_id", classify.valid_title(title).alias("ok"))
 
 

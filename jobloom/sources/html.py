@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,111 +14,154 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobloom.functions.columns import decode_entities, html_to_line, html_to_text
-
-CHROME = {"nav", "header", "footer", "aside"}
+from jobloom.operators.classify import valid_title
+
+#: Parts of a page that are its frame: tags, roles, and words of a class or id.
+CHROME_TAGS, CHROME_ROLES = {"nav", "header", "footer"}, {"navigation", "banner", "contentinfo"}
+CHROME_WORDS = {"nav", "navbar", "navigation", "menu", "megamenu", "footer", "social", "breadcrumb", "cookie", "newsletter", "subscribe", "sidebar", "topbar"}
+#: What a class of a place says, and what in a place's stead names none.
+PLACE_WORDS = ("location", "city", "country", "office", "place", "region", "area")
+NO_PLACE = {"remote", "worldwide", "global", "anywhere", "wfh", "work from home", "home office", "europe", "emea", "apac"}
+#: What the class or id, and the path of a link, of a posting says.
+JOB_WORDS, LINK_WORDS = "(?i)job|position|opening|vacancy|career|role|listing|posting", "(?i)apply|job|position|career|opening|role|vacancy|posting"
 VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "wbr"}
-ELEMENTS = "page_id long, no int, parent int, depth int, tag string, classes string, text string, href string, n_links int, n_items int, in_chrome boolean"
+MAX_LINKS, MAX_NESTED = 5, 2
+ELEMENTS = "page_id long, no int, parent int, tag string, classes string, title string, url string, location string, text string, n_links int, n_nested int, n_items int, in_chrome boolean"
 
 
 class _Elements(HTMLParser):
-    """Elements of a page in document order, with their text, first link, link and item counts."""
+    """Elements of a page in document order; an element's text is a range of the page's pieces of text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[int] = []
+        self.pieces: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        chrome = tag in CHROME or (bool(self.open) and self.rows[self.open[-1]]["in_chrome"])
-        row = {"no": len(self.rows), "parent": self.open[-1] if self.open else None, "depth": len(self.open), "tag": tag, "classes": f"{a.get('class') or ''} {a.get('id') or ''}".strip(), "text": [], "href": a.get("href") if tag == "a" else None, "n_links": 0, "n_items": 0, "in_chrome": chrome}
-        self.rows.append(row)
-        for i in self.open:
-            if tag == "a":
-                self.rows[i]["n_links"] += 1
-                self.rows[i]["href"] = self.rows[i]["href"] or a.get("href")
-        if tag == "li" and self.open:
-            self.rows[self.open[-1]]["n_items"] += 1
+        classes = f"{a.get('class') or ''} {a.get('id') or ''}".strip()
+        parent = self.rows[self.open[-1]] if self.open else None
+        chrome = tag in CHROME_TAGS or a.get("role") in CHROME_ROLES or not CHROME_WORDS.isdisjoint(re.split("[-_ ]", classes.lower())) or bool(parent and parent["in_chrome"])
+        no = len(self.rows)
+        self.rows.append({"no": no, "parent": parent and parent["no"], "tag": tag, "classes": classes, "class": a.get("class") or "", "href": a.get("href"), "in_chrome": chrome, "from": len(self.pieces), "to": len(self.pieces), "last": no})
         if tag not in VOID:
-            self.open.append(row["no"])
+            self.open.append(no)
 
     def handle_endtag(self, tag):
         for at in range(len(self.open) - 1, -1, -1):
             if self.rows[self.open[at]]["tag"] == tag:
-                del self.open[at:]
+                self.shut(at)
                 return
 
+    def shut(self, at: int) -> None:
+        """Ends the open elements from a depth on."""
+        for i in self.open[at:]:
+            self.rows[i]["to"], self.rows[i]["last"] = len(self.pieces), len(self.rows) - 1
+        del self.open[at:]
+
     def handle_data(self, data):
         if self.open and self.rows[self.open[-1]]["tag"] not in ("script", "style"):
-            for i in self.open:
-                self.rows[i]["text"].append(data)
-
-
-def elements(pages: DataFrame, tags: set[str] | None = None) -> DataFrame:
-    """One row an element of (page_id, html), of the given tags only if any are given."""
+            self.pieces.append(data)
+
+    def text(self, row: dict) -> str:
+        return " ".join(" ".join(self.pieces[row["from"] : row["to"]]).split())
+
+    def told(self, row: dict, like: re.Pattern | None, headings: tuple[str, ...]) -> dict:
+        """A row with its title (first heading, else first link, else its text), url (first link), place, and counts."""
+        inside = self.rows[row["no"] + 1 : row["last"] + 1]
+        links = [r for r in inside if r["tag"] == "a" and r["href"] is not None]
+        text = self.text(row)
+        title = next((x for r in inside if r["tag"] in headings and (x := self.text(r))), None)
+        link = links[0] if links else None
+        url = link["href"] if link else None
+        if title is None and link:
+            title = self.text(link) or None
+        if title is None:
+            title, url = text, None
+        places = (self.text(r) for r in inside if any(w in r["class"].lower() for w in PLACE_WORDS))
+        place = next((x for x in places if x and x.lower() not in NO_PLACE), None)
+        nested = sum(1 for r in inside if like.search(r["class"])) if like else 0
+        return {"title": title, "url": url, "location": place, "text": text, "n_links": len(links), "n_nested": nested, "n_items": sum(1 for r in inside if r["tag"] == "li" and r["parent"] == row["no"])}
+
+
+def elements(pages: DataFrame, tags: set[str] | None = None, like: str | None = None, headings: tuple[str, ...] = ("h1", "h2", "h3", "h4")) -> DataFrame:
+    """One row an element of (page_id, html): of the given tags, and with a class or id that `like` is found in, where these are given."""
     names = [c.split()[0] for c in ELEMENTS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pattern = re.compile(like) if like else None
         for b in batches:
             for page_id, html in zip(b["page_id"], b["html"], strict=True):
                 p = _Elements()
                 p.feed(html or "")
-                rows = [{**r, "page_id": page_id, "text": " ".join("".join(r["text"]).split())} for r in p.rows if tags is None or r["tag"] in tags]
-                if rows:
+                p.shut(0)
+                wanted = [r for r in p.rows if (tags is None or r["tag"] in tags) and (pattern is None or pattern.search(r["classes"]))]
+                if wanted:
+                    rows = [{**r, **p.told(r, pattern, headings), "page_id": page_id} for r in wanted]
                     yield pd.DataFrame(rows, columns=names).astype({"parent": "Int32"})
 
     return pages.select("page_id", "html").mapInPandas(run, ELEMENTS)
 
 
+#: Words after which a card says its place.
+EMPLOYMENT = r"(?i)(?:full[- ]time|part[- ]time|contract|internship|temporary|permanent)\s+"
+
+
 def cards(pages: DataFrame, tag: str, class_like: str = "", preset: str | None = None) -> DataFrame:
-    """(page_id, no, title, url, location): repeated elements of a tag (and class); title is the first heading, url the first link.
+    """(page_id, no, title, url, location, more): repeated elements of a tag whose class or id holds `class_like`, frame or not.
 
-    Presets: middot (title · place), or_list ("A or B" places stay one text), token_list (place after an employment word).
+    title is the first heading h2 to h4 (else first link), url the first link, location the first text of a class like a place. Presets
+    read the rest of a card: middot (place after the last ·, without "Office"), token_list (place after a word of employment), or_list
+    ("A or B": one row a place), tile (place before the first |, more the parts after it), accordion (more the label: value
+    pairs). Cards without a title are left out.
     """
-    e = elements(pages)
-    box = e.where((F.col("tag") == tag) & F.contains("classes", F.lit(class_like)) & ~F.col("in_chrome")).select("page_id", F.col("no").alias("card"), F.col("text").alias("all"), "href")
-    # headings belong to the nearest card before them on the page
-    heads = e.where(F.col("tag").isin("h1", "h2", "h3", "h4", "a", "b")).select("page_id", "no", "text", (F.col("tag") == "a").alias("is_a"))
-    hit = box.join(heads, "page_id").where((F.col("no") > F.col("card")) & F.contains("all", F.col("text")))
-    first = hit.groupBy("page_id", "card").agg(F.min_by("text", F.struct("is_a", "no")).alias("title"))
-    x = box.join(first, ["page_id", "card"], "left").withColumn("title", F.coalesce("title", F.substring_index("all", ".", 1)))
-    rest = F.trim(F.replace("all", F.col("title"), F.lit("")))
+    e = elements(pages, {tag}, re.escape(class_like) if class_like else None, ("h2", "h3", "h4")).where("title <> ''")
+    rest = F.trim(F.replace("text", F.col("title"), F.lit("")))
+    more = F.array().cast("array<string>")
+    place = F.col("location")
     if preset == "middot":
-        rest = F.trim(F.element_at(F.split("all", "·"), -1))
+        place = F.trim(F.regexp_replace(F.element_at(F.split(rest, "·"), -1), r"(?i)^\s*office\s*[:,-]?\s*", ""))
     elif preset == "token_list":
-        rest = F.trim(F.regexp_extract("all", r"(?i)(?:full[- ]time|part[- ]time|contract)\s+(.*)$", 1))
-    return x.select("page_id", F.col("card").alias("no"), "title", F.col("href").alias("url"), F.nullif(F.left(rest, F.lit(80)), F.lit("")).alias("location"))
+        place = F.regexp_extract(rest, EMPLOYMENT + "(.*)$", 1)
+    elif preset == "tile":
+        parts = F.transform(F.split(rest, r"\|"), lambda p: F.trim(p))
+        place, more = F.coalesce(F.nullif(parts[0], F.lit("")), place), F.slice(parts, 2, F.size(parts))
+    elif preset == "accordion":
+        more = F.transform(F.regexp_extract_all(rest, F.lit(r"([\p{L} ]+:\s*[^:]+?)(?=\s+\p{L}+:|$)"), F.lit(1)), lambda p: F.trim(p))
+    out = e.select("page_id", "no", "title", "url", F.nullif(place, F.lit("")).alias("location"), more.alias("more"))
+    if preset == "or_list":
+        out = out.withColumn("location", F.explode_outer(F.split("location", r"\s+or\s+|,\s*")))
+    return out
 
 
-def containers(pages: DataFrame, like: str) -> DataFrame:
-    """(page_id, strategy, no, title, url): elements whose class or id looks right, with at most 5 links, outside site chrome."""
-    e = elements(pages)
-    x = e.where(F.col("classes").rlike(like) & ~F.col("in_chrome") & (F.col("n_links") <= 5) & F.col("href").isNotNull())
-    return x.select("page_id", F.lit(1).alias("strategy"), "no", F.left("text", F.lit(120)).alias("title"), F.col("href").alias("url"))
+def containers(pages: DataFrame, like: str = JOB_WORDS) -> DataFrame:
+    """(page_id, strategy, no, title, url, location): elements whose class or id looks right, with few links and nested ones, outside the frame."""
+    x = elements(pages, None, like).where((F.col("n_nested") <= MAX_NESTED) & ~F.col("in_chrome") & (F.col("n_links") <= MAX_LINKS) & F.col("url").isNotNull())
+    return x.where(valid_title(F.col("title"))).select("page_id", F.lit(1).alias("strategy"), "no", "title", "url", "location")
 
 
 def lists(pages: DataFrame) -> DataFrame:
-    """(page_id, strategy, no, title, url): items of lists with at least 3 items, of which max(2, half) have a link."""
+    """(page_id, strategy, no, title, url, location): items of lists of 3 or more outside the frame, of which max(2, half) have a link."""
     e = elements(pages, {"ul", "ol", "li"})
-    box = e.where(F.col("tag").isin("ul", "ol") & (F.col("n_items") >= 3)).select("page_id", F.col("no").alias("parent"))
-    items = e.where("tag = 'li'").join(box, ["page_id", "parent"])
-    per = items.groupBy("page_id", "parent").agg(F.count("*").alias("n"), F.count("href").alias("linked")).where(F.col("linked") >= F.greatest(F.lit(2), F.floor(F.col("n") / 2)))
-    x = items.join(per.select("page_id", "parent"), ["page_id", "parent"]).where("href is not null")
-    return x.select("page_id", F.lit(2).alias("strategy"), "no", F.left("text", F.lit(120)).alias("title"), F.col("href").alias("url"))
+    box = e.where(F.col("tag").isin("ul", "ol") & (F.col("n_items") >= 3) & ~F.col("in_chrome")).select("page_id", F.col("no").alias("parent"))
+    items = e.where("tag = 'li'").where(valid_title(F.col("title"))).join(box, ["page_id", "parent"])
+    per = items.groupBy("page_id", "parent").agg(F.count("*").alias("n"), F.count("url").alias("linked")).where(F.col("linked") >= F.greatest(F.lit(2), F.floor(F.col("n") / 2)))
+    return items.join(per.select("page_id", "parent"), ["page_id", "parent"]).select("page_id", F.lit(2).alias("strategy"), "no", "title", "url", "location")
 
 
-def links(pages: DataFrame, like: str) -> DataFrame:
-    """(page_id, strategy, no, title, url): links whose address looks right with 4 to 120 characters of text."""
-    x = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?is)(<a\s[^>]*>.*?</a>)'), F.lit(1))).alias("no", "a"))
+def links(pages: DataFrame, like: str = LINK_WORDS) -> DataFrame:
+    """(page_id, strategy, no, title, url): links whose path looks right with a valid title of 4 characters or more, outside the frame's tags."""
+    body = F.regexp_replace("html", r"(?is)<(nav|header|footer)\b.*?</\1\s*>", " ")
+    x = pages.select("page_id", F.posexplode(F.regexp_extract_all(body, F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"), F.lit(1))).alias("no", "a"))
     x = x.select("page_id", F.lit(3).alias("strategy"), "no", html_to_line(F.col("a")).alias("title"), F.regexp_extract("a", r'(?i)href="([^"]*)"', 1).alias("url"))
-    return x.where(F.col("url").rlike(like) & F.length("title").between(4, 120))
+    path = F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*|[?#].*$", "")
+    return x.where(path.rlike(like) & (F.length("title") >= 4) & valid_title(F.col("title")))
 
 
 def best_of(frames: list[DataFrame]) -> DataFrame:
     """For each page the rows of the strategy with most rows (ties: the earlier), then the first row of each url."""
-    from jobloom.operators.shape import union_all
-
-    x = union_all(frames)
+    x = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     per = x.groupBy("page_id", "strategy").agg(F.count("*").alias("n")).groupBy("page_id").agg(F.max_by("strategy", F.struct("n", -F.col("strategy"))).alias("strategy"))
     x = x.join(per, ["page_id", "strategy"])
     return x.withColumn("rn", F.row_number().over(W.partitionBy("page_id", "url").orderBy("no"))).where("rn = 1").drop("rn")

@@ -76,7 +76,7 @@ def normalise_workday(listing: DataFrame, detail: DataFrame, cities: DataFrame)
     x = listing.join(detail, "id", "left").withColumn("kind", location_class(F.col("location")))
     plain = x.where("kind = 'plain'").select("id", "title", "url", "description", "location", F.lit(None).cast("string").alias("country_code"), F.array().cast("array<string>").alias("cities"))
     rest = x.where("kind <> 'plain' or kind is null")
-    parts = rest.select("id", F.posexplode("locations").alias("pos", "place")).withColumn("key", normalised_key(F.col("place"))).join(F.broadcast(cities.select("key", "code")), "key")
+    parts = rest.select("id", F.posexplode("locations").alias("pos", "place")).withColumn("key", normalised_key(F.col("place"))).join(cities.select("key", "code"), "key")
     per = parts.groupBy("id", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "place"))), lambda s: s["place"]).alias("cities"))
     known = rest.join(per, "id", "left")
     out = known.select("id", "title", "url", "description", F.coalesce(F.when(F.col("code").isNull(), F.col("country")), F.array_join("cities", "; ")).alias("location"), F.col("code").alias("country_code"), F.coalesce(F.array_distinct("cities"), F.array().cast("array<string>")).alias("cities"))
