@@ -73,8 +73,10 @@ def delete_cascade(tables: dict[str, DataFrame], root: str, keys: DataFrame, gra
 def prune_children(target: DataFrame, run: DataFrame, keep: DataFrame, parent: str, child: str) -> DataFrame:
     """Deletes, for parents of this run, children that the run did not see.
 
-    A parent without any kept child keeps all (an empty or unmatched list never means "delete all").
+    A parent without any kept child keeps all. A kept list of which nothing is in the table is an error: it never means "delete all".
     """
+    if not keep.isEmpty() and keep.join(target.select(parent, child), [parent, child], "left_semi").isEmpty():
+        raise ValueError("none of the kept children is in the table")
     matched = keep.join(target.select(parent, child), [parent, child], "left_semi").select(parent).distinct()
     in_run = run.select(parent).distinct().join(matched, parent, "left_semi")
     stale = target.join(in_run, parent, "left_semi").join(keep.select(parent, child), [parent, child], "left_anti").select(parent, child)
@@ -177,9 +179,14 @@ def apply_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Accepted rows, and rejected rows with their violations; one pass each over the same plan."""
+def split_valid(df: DataFrame, rules: dict[str, Column], strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Accepted rows, and rejected rows with their violations; one pass each over the same plan.
+
+    With `strict`, rows that are all rejected are an error.
+    """
     x = df.withColumn("violations", violations(rules))
+    if strict and not x.isEmpty() and x.where(F.size("violations") == 0).isEmpty():
+        raise ValueError("all rows are rejected")
     return x.where(F.size("violations") == 0).drop("violations"), x.where(F.size("violations") > 0)
 
 
@@ -195,5 +202,16 @@ def audit(tables: dict[str, DataFrame], unique: list[tuple[str, list[str]]], not
     return first
 
 
+def nested_upload(companies: DataFrame, positions: DataFrame, fields: list[str]) -> DataFrame:
+    """(company_id, country, total, positions): the upload document of each company and country, positions by id; a company without positions has an empty list.
+
+    A document is one row, so its size is that of a company's postings in a country.
+    """
+    per = positions.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("id", *fields))).alias("positions"))
+    x = companies.select(F.col("id").alias("company_id"), "country").join(per, "company_id", "left")
+    kind = dict(per.dtypes)["positions"]
+    return x.select("company_id", "country", F.coalesce(F.size("positions"), F.lit(0)).alias("total"), F.coalesce("positions", F.array().cast(kind)).alias("positions"))
+
+
 def duplicate_report(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("removed", F.col("n") - 1)

@@ -151,11 +151,17 @@ def _(t):
     return x.groupBy("country", status.alias("status"), "category").agg(F.count("*").alias("n"))
 
 
-@query("nested_payload")
+@query(
+    "nested_payload",
+    """WITH d AS (SELECT company_id, count(*) AS total, string_agg(p.id || ':' || p.category_id || ':' || CASE WHEN p.id % 2 = 0 THEN CAST(CAST(floor(p.score) AS BIGINT) AS VARCHAR) ELSE '' END, ',' ORDER BY p.id) AS positions FROM position p GROUP BY 1)
+SELECT c.id AS company_id, n.name AS country, CAST(coalesce(total, 0) AS INTEGER) AS total, coalesce(positions, '') AS positions FROM company c JOIN country n ON n.id = c.country_id LEFT JOIN d ON d.company_id = c.id""",
+)
 def _(t):
-    entry = F.struct("id", "category_id", F.when(F.col("id") % 2 == 0, F.col("score")).alias("score"))
-    x = t.position.groupBy("company_id").agg(F.array_sort(F.collect_list(entry)).alias("positions"))
-    return x.select("company_id", F.to_json(F.struct("company_id", "positions")).alias("payload"))
+    co = t.company.join(t.country.select(F.col("id").alias("country_id"), F.col("name").alias("country")), "country_id")
+    p = t.position.withColumn("score", F.when(F.col("id") % 2 == 0, F.floor("score")))
+    x = load.nested_upload(co, p, ["category_id", "score"])
+    one = lambda r: F.concat_ws(":", r["id"].cast("string"), r["category_id"].cast("string"), F.coalesce(r["score"].cast("string"), F.lit("")))
+    return x.withColumn("positions", F.array_join(F.transform("positions", one), ","))
 
 
 # -- incremental runs ------------------------------------------------------------------------------------------------------
