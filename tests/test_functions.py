@@ -1,10 +1,12 @@
 """Functions and operators on small cases with known answers."""
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from jobloom.functions import columns as C
-from jobloom.operators import classify, load, location, shape, stats
+from jobloom.operators import classify, language, load, location, phrases, shape, stats
+from jobloom.streaming import jobs
 
 
 def value(spark, expr, **cols):
@@ -57,6 +59,59 @@ def test_education_and_location(spark):
     assert {r.id: r.codes for r in location.resolve_with_fallback(df, "id", c, k).collect()} == {1: ["NO"], 2: [], 3: [], 4: ["LV", "EE"]}
 
 
+def test_prune_unmatched_list_is_an_error(spark):
+    target = spark.createDataFrame([("a", 1)], "parent string, child int")
+    with pytest.raises(ValueError):
+        load.prune_children(target, target.select("parent"), spark.createDataFrame([("a", 9)], "parent string, child int"), "parent", "child")
+    rows = spark.createDataFrame([(None,)], "title string")
+    with pytest.raises(ValueError):
+        load.split_valid(rows, {"title": F.col("title").isNotNull()}, strict=True)
+
+
+def test_row_numbers_keep_nulls_and_split_ties(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, i long")
+    for ties in (["i"], None):
+        out = stats.row_numbers(df, "k", ties).collect()
+        assert sorted(r["_no"] for r in out) == list(range(3000))
+        got = [(r.k, r.i) for r in sorted(out, key=lambda r: r["_no"])]
+        want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        assert [k for k, _ in got] == [k for k, _ in want] and (ties is None or got == want)
+    assert stats.row_numbers(df.where("false"), "k").count() == 0 and stats.with_page(df.where("k is null"), "k", 10).count() == 1000
+
+
+def test_phrase_borders(spark):
+    d = spark.createDataFrame([(1, "python_dev"), (2, "_python_ and c++"), (3, "pythons"), (4, "use node.js, Python"), (5, None)], "id long, text string")
+    p = spark.createDataFrame([(1, "Python"), (2, "c++"), (3, "node.js"), (4, "use python")], "phrase_id long, phrase string")
+    hits = {(r.id, r.phrase_id): r.pos for r in phrases.phrase_hits(d, ["id"], "text", p).collect()}
+    assert hits == {(1, 1): 1, (2, 1): 2, (2, 2): 14, (4, 1): 14, (4, 3): 5}
+    assert {(r.id, r.phrase_id) for r in phrases.phrase_hits(d, ["id"], "text", p, "[a-z0-9_]").collect()} == {(2, 2), (4, 1), (4, 3)}
+
+
+def test_language_lists_of_any_length(spark):
+    text = value(spark, language.normalise_signal_text(F.lit("x"), F.col("a")), a="finnish/swedish/danish/norwegian/icelandic speaking")
+    assert text == "x finnish speaking swedish speaking danish speaking norwegian speaking icelandic speaking"
+
+
+def test_paragraph_languages(spark):
+    """A paragraph needs two letters of the country's language, and 400 characters in languages that are taken for English."""
+    de, pad = "der und die nicht mit ein ", "der und die nicht mit ein " * 30
+    profile = spark.createDataFrame([("de", g, 10, 100) for g in {f" {w} "[i : i + 3] for w in de.split() for i in range(len(w))}], "lang string, gram string, n long, total long")
+    rows = [(1, "DE", pad[:300]), (2, "DE", "über öl " + pad[:300]), (3, "FI", pad[:300]), (4, "FI", pad[:500]), (5, "CH", pad[:300])]
+    out = {r.id: (r.native, r.foreign) for r in language.paragraph_languages(spark.createDataFrame(rows, "id long, country_code string, description string"), profile).collect()}
+    assert out == {1: (None, None), 2: ("german", None), 3: (None, None), 4: (None, "german"), 5: ("german", None)}
+
+
+def test_keyed_stream_store_replays_and_keeps_other_keys(spark, tmp_path):
+    store = f"file://{tmp_path}/t"
+    batch = lambda rows: spark.createDataFrame(rows, "k string, n int")
+    jobs.merge_batch(batch([("a", 1), ("b", 1)]), store, "k", 0)
+    for _ in range(2):  # the second time as after a lost driver
+        jobs.merge_batch(batch([("b", 2), ("b", 3), ("c", 1)]), store, "k", 1)
+    jobs.merge_batch(batch([]), store, "k", 2)
+    assert sorted(tuple(r) for r in jobs.latest_version(spark, store).select("k", "n").collect()) == [("a", 1), ("b", 2), ("b", 3), ("c", 1)]
+
+
 def test_merge_sources(spark):
     p = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, title string, location string")
     s = spark.createDataFrame([(1, "A", None), (3, "c", "z")], "id long, title string, location string")
