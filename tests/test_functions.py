@@ -102,6 +102,28 @@ def test_paragraph_languages(spark):
     assert out == {1: (None, None), 2: ("german", None), 3: (None, None), 4: (None, "german"), 5: ("german", None)}
 
 
+def test_language_cascade_order(spark):
+    """Whole postings: which rule decides, and the languages that it names."""
+    cases = [
+        ("FI", "Kehittäjä", "Fluent in Swedish.", "1a", ["Finnish"], []), ("DE", "Engineer", "German is a plus. You must speak Polish.", "1b", [], ["German"]), ("DE", "Engineer", "German is a plus. You must speak German.", "2a", ["German"], []),
+        ("IT", "Engineer", "Knowledge of additional EU languages is a plus.", "1b-group", [], ["Italian"]), ("SE", "Engineer", "å" * 15, "1b-chars", ["Swedish"], []), ("SE", "Engineer", "å" * 14, "2c", [], []), ("DK", "Engineer", "å" * 10, "1b-chars", ["Danish"], []),
+        ("US", "Engineer", "Dutch, French, and English: Full proficiency is required for all three languages.", "2a-all", ["Dutch", "French"], []), ("NO", "Engineer", "English in addition to Swedish, Danish or Norwegian.", "2a-generic", ["Norwegian"], []),
+        ("PT", "Engineer", "Your local language (Portuguese).", "2a-generic", ["Portuguese"], []), ("JP", "Engineer", "You must speak Japanese.", "2a", ["Japanese"], []), ("ES", "Engineer", "You must speak Castellano.", "2a", ["Spanish"], []), ("GB", "Engineer", "Must speak Arabic.", "2a-cross", ["Arabic"], []),
+    ]
+    jobs_ = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "id long, country_code string, title string, description string")
+    out = {r.id: (r.phase, r.required, r.preferred) for r in language.detect_language_requirement(jobs_).collect()}
+    assert out == {i: c[3:] for i, c in enumerate(cases)}
+
+
+def test_classify_postings_is_its_parts(spark):
+    k = spark.createDataFrame([("data", 0, "data engineer", 0), ("sales", 1, "sales", 0)], "category string, cat_no int, keyword string, kw_no int")
+    s = spark.createDataFrame([("Python", 0, ["python"]), ("Go", 1, ["golang", "go"])], "name string, skill_no int, aliases array<string>")
+    rows = [(1, "DE", "Data Engineer", "Python_x, golang and a B.Sc. You must speak German.", None, None), (2, "DE", "Open application", "sales", None, True), (2, "SE", "Open application", "sales", None, True), (3, "US", None, None, "Sales", None)]
+    jobs_ = spark.createDataFrame(rows, "id long, country_code string, title string, description string, function string, requires_native_language boolean")
+    out = {(r.id, r.country_code): (r.category, r.skills, r.required_education, r.requires_native_language, r.required_languages) for r in language.classify_postings(jobs_, k, s).collect()}
+    assert out == {(1, "DE"): ("data", ["Python", "Go"], "bachelor", True, ["German"]), (2, "DE"): ("other", [], None, True, []), (2, "SE"): ("other", [], None, True, []), (3, "US"): ("sales", [], None, False, [])}
+
+
 def test_keyed_stream_store_replays_and_keeps_other_keys(spark, tmp_path):
     store = f"file://{tmp_path}/t"
     batch = lambda rows: spark.createDataFrame(rows, "k string, n int")
