@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.columns import fingerprint
-
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], set_cols: list[str], now: Column, keep_old: bool = False) -> DataFrame:
     """Updated rows take the set columns and `now` as updated_at, new rows also as created_at; other columns stay.
@@ -130,8 +128,13 @@ def cached_urls(cache: DataFrame, now: Column, days: int = 14) -> DataFrame:
 
 
 def load_changes(before: DataFrame, after: DataFrame, key: str, row: list[str]) -> DataFrame:
-    """created, updated, deleted or none for each key, by fingerprints of its rows, whatever their order."""
-    state = lambda df: df.groupBy(key).agg(fingerprint(F.array_sort(F.collect_list(F.struct(*row))).alias("rows")).alias("state"), F.count("*").alias("n"))
+    """created, updated, deleted or none for each key, by fingerprints of its rows, whatever their order.
+
+    A state is made of two sums of row hashes and the count: partial sums before the shuffle, and no key's rows are gathered.
+    """
+    text = F.to_json(F.struct(*row), {"ignoreNullFields": "false"})
+    total = lambda seed: F.sum(F.xxhash64(text, F.lit(seed)).cast("decimal(38,0)"))
+    state = lambda df: df.groupBy(key).agg(total(1).alias("s"), total(2).alias("t"), F.count("*").alias("n")).select(key, F.sha2(F.concat_ws("/", "s", "t", "n"), 256).alias("state"), "n")
     b = state(before).select(key, F.col("state").alias("before_state"), F.col("n").alias("before_rows"))
     a = state(after).select(key, F.col("state").alias("after_state"), F.col("n").alias("after_rows"))
     x = b.join(a, key, "full_outer")
