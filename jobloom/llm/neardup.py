@@ -332,22 +332,26 @@ def linked(docs: DataFrame) -> DataFrame:
     base = scratch.save(sketches(docs), "sketches")
     named = base.where("doc_id is not null and n > 0")
     classes = named.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count("*").alias("rows"))
-    # a class of equal sets is a node with a number of its own, as rows may repeat an id with other texts
-    first = named.join(classes.select("rep.*", "fp"), ["doc_id", "th", "fp"], "left_semi").select("doc_id", "th", "n", "fp", "sig")
-    reps = scratch.save(first.dropDuplicates(["fp"]).withColumn("doc", F.monotonically_increasing_id()), "reps")
-
+    # a class of equal sets is a node, named by its least id; where texts of one id are in several classes, by a number of its own
+    rows = named.join(classes.select("rep.*", "fp"), ["doc_id", "th", "fp"], "left_semi").select("doc_id", "th", "n", "fp", "sig")
+    first = rows.dropDuplicates(["fp"])
+    shared = first.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", F.lit(True).alias("shared"))
+    node = F.when(F.col("shared"), F.monotonically_increasing_id() + F.lit(-(1 << 63))).otherwise(F.col("doc_id"))
+    reps = scratch.save(first.join(shared, "doc_id", "left").withColumn("doc", node).drop("shared"), "reps")
+
+    again = rows.count() > reps.count()
     rows = band_rows(reps)
     buckets = rows.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("m")).where("m > 1").drop("m")
     live = scratch.save(rows.join(buckets, "key"), "live")
     wanted = live.select("doc").distinct().join(reps.select("doc", "doc_id", "th"), "doc")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").join(wanted, ["doc_id", "th"])
-    if first.count() > reps.count():  # rows that agree in id and text
+    if again:  # rows that agree in id and text
         texts = texts.dropDuplicates(["doc"])
     sets = scratch.save(shingle_sets(texts), "sets")
 
     # one partner each: the pivot (least number) of most shared buckets
     shared = live.where("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("c"))
-    best = shared.groupBy("doc").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("a")).select("a", F.col("doc").alias("b"))
+    best = shared.groupBy("doc").agg(F.max_by("pivot", F.struct("c", F.bitwise_not("pivot"))).alias("a")).select("a", F.col("doc").alias("b"))
     links = scratch.save(confirmed(likely(best, reps), sets), "links")
     comps = scratch.save(components(links, scratch), "components")
     todo, tried = live, None
