@@ -171,30 +171,32 @@ def clause_matches(tokens: list[str], model: Model) -> list[tuple[float, frozens
 
     Forward sums: for each state and set of labels the weight of all paths that lead there.
     """
-    out = []
-    here: dict = {(BEGIN, frozenset()): 1.0}
-
-    def close() -> dict:
+    read = {t: symbol(t, model) for t in set(tokens) if t[0] not in MARKS}
+    marked = {t for t, (x, _) in read.items() if x in "IH"}
+    kept = {t for t, (x, _) in read.items() if x in "RQ"}
+    out: list[tuple[float, frozenset[str]]] = []
+    state, begin = BEGIN, 0
+    for end in [*(i for i, t in enumerate(tokens) if t[0] in MARKS), len(tokens)] if marked else ():
+        clause, begin = tokens[begin:end], end + 1
+        # a clause without a word to mark accepts nothing; it matters where it opens or shuts what the next one starts in
+        if state == BEGIN and marked.isdisjoint(clause) and kept.isdisjoint(clause):
+            continue
+        here: dict = {(state, frozenset()): 1.0}
+        for t in clause:
+            x, weight = read[t]
+            nxt: dict = {}
+            for (at, labels), w in here.items():
+                for to, more in ARCS[at, x]:
+                    key = to, labels | more
+                    nxt[key] = nxt.get(key, 0.0) + w * (weight if more & _MARKED else 1.0)
+            here = nxt
         found: dict = {}
         for (at, labels), w in here.items():
             for more in ENDS[at]:
                 found[labels | more] = found.get(labels | more, 0.0) + w
         out.extend((w, labels - {"insult"}) for labels, w in found.items())
-        # the unmarked path alone goes on: it has read every token
-        return {(AFTER[next(at for (at, labels) in here if not labels)], frozenset()): 1.0}
-
-    for t in tokens:
-        if t[0] in MARKS:
-            here = close()
-            continue
-        x, weight = symbol(t, model)
-        nxt: dict = {}
-        for (at, labels), w in here.items():
-            for to, more in ARCS[at, x]:
-                key = to, labels | more
-                nxt[key] = nxt.get(key, 0.0) + w * (weight if more & _MARKED else 1.0)
-        here = nxt
-    close()
+        # the path without a mark has read every token: its state is what the clause leaves
+        state = AFTER[next(at for (at, labels) in here if not labels)]
     return out
 
 
