@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm.common import Scratch, table
-from jobloom.llm.decontaminate import flag
+from jobloom.llm.decontaminate import clean
 from jobloom.llm.mixing import mix
 from jobloom.llm.neardup import dedup
 from jobloom.llm.sharding import shard
@@ -17,28 +17,28 @@ TOXIC_FROM = 0.3
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects toxic documents; the model learns from the labelled rows among `docs`."""
-    scored = docs.withColumn("_score", score(docs, train(spark, sf_dir, docs)))
-    return scored.where(F.col("_score") < TOXIC_FROM).select(*docs.columns)
+    """Rejects toxic documents; the model learns from the labelled rows among `docs`. Null and empty texts are not toxic."""
+    return docs.where(score(docs, train(spark, sf_dir, docs)) < TOXIC_FROM)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates."""
+    """Keeps the smallest doc_id of each group of near-duplicates; rows without an id or without words stay, see `dedup`."""
     return dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark passage, also with some tokens substituted."""
-    return flag(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
+    """Drops documents that hold a benchmark passage, also with some tokens substituted; an empty benchmark drops nothing."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows of the mix: sources at tempered weights up to the horizon of the schedule."""
-    return mix(docs).where("in_mix").select(*docs.columns)
+    """Keeps the rows of the mix: sources (null is one) at tempered weights up to the horizon of the schedule."""
+    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_all"))
+    return mix(rows).where("in_mix").select(*[F.col(f"_all.`{c}`") for c in docs.columns])
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the mix in 16 shards of near-equal bytes; adds shard and slot."""
+    """Puts the mix in 16 shards of near-equal bytes; adds shard and slot (columns of these names are replaced)."""
     return shard(docs, 16)
 
 
@@ -49,6 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`. Every stage takes repeated rows, null columns, empty tables and further columns as its operator says."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:

@@ -91,11 +91,18 @@ def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     document and get one answer. Texts of any length are read whole. Columns of these names are replaced. An empty benchmark
     or table flags nothing; benchmark rows with a null id or text are left out.
     """
-    found = overlaps(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max_by("item_id", F.struct("score", -F.col("item_id"))).alias("best_item"), F.max("score").alias("best_score"))
+    found = overlaps(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max_by("item_id", F.struct("score", F.bitwise_not("item_id"))).alias("best_item"), F.max("score").alias("best_score"))
     out = docs.drop("contaminated", "n_items", "best_item", "best_score").join(found, "doc_id", "left")
     return out.withColumns({"contaminated": F.col("n_items").isNotNull(), "n_items": F.coalesce("n_items", F.lit(0).cast("long"))})
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` without an overlap, all columns; rows with a null id or text stay. Rows of one id go or stay together."""
+    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"))
+    return rows.join(found, "_id", "left_anti").select(*[F.col(f"_doc.`{c}`") for c in docs.columns])
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with whether, and by which items, it is contaminated."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
