@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("topk", "toxicity", "decontaminate", "chat", "neardup", "sharding", "lines", "mixing", "warc", "token_counts")
+MODULES = ("topk", "toxicity", "decontaminate", "chat", "neardup", "sharding", "lines", "mixing", "warc", "token_counts", "licenses", "periodic", "whitening")
 
 
 def queries() -> dict:
