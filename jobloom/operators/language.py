@@ -2,20 +2,22 @@
 
 Phases: 1a title in another language; 1b advantage phrases (a language, a group, "local language"); 1b-chars native letters; 1c text
 in the country's language; 1c-any text in another known language; 2a requirement phrases (generic, group, per language with
-negation, other languages); 2b "depending on location"; 2c none. Built-in expressions and broadcast dictionaries; the one
-order-dependent step (negation around a requirement) runs in an Arrow function on texts that name the language at all.
+negation, other languages); 2b "depending on location"; 2c none. What phrases, lists and clauses say is read in one pass a
+text (`signals.py`) in Arrow batches; the order of the phases is an expression.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobloom.functions.columns import looks_non_english
+from jobloom.operators.signals import GROUPS, Forms, Reader, one_line
 
 # The languages of a country, what a language is called, letters that tell a country's language and how many it
 # takes, codes of identified languages, and languages whose paragraphs have to be longer.
@@ -39,83 +41,69 @@ LETTERS = {
 CODES = {"fi": "finnish", "sv": "swedish", "no": "norwegian", "nb": "norwegian", "nn": "norwegian", "da": "danish", "is": "icelandic", "nl": "dutch", "de": "german", "fr": "french", "it": "italian", "es": "spanish", "pt": "portuguese", "pl": "polish", "cs": "czech", "sk": "slovak", "hu": "hungarian", "ro": "romanian", "hr": "croatian", "sl": "slovenian", "sr": "serbian", "et": "estonian", "lv": "latvian", "lt": "lithuanian", "bg": "bulgarian", "el": "greek", "tr": "turkish", "uk": "ukrainian", "ru": "russian"}
 LONGER = {"fr", "es", "it", "pt", "ro", "el", "nl", "de", "cs", "sk", "pl", "hr", "sl", "hu", "no"}
 LEAST_LETTERS, LONGER_CHARS = 2, 400
-GROUPS = {"nordic": ["FI", "SE", "NO", "DK", "IS"], "baltic": ["LV", "LT", "EE"]}
 TITLE_WORDS = ["entwickler", "mitarbeiter", "kehittäjä", "utvecklare", "asiantuntija", "rådgiver", "medarbejder", "développeur", "ingénieur", "desarrollador", "spécialiste"]
 
-# Phrase templates around a language {l}, written for this package.
-PLUS = r"(?:an? )?(?:(?:big|strong|great|considerable|clear) )?(?:plus|advantage|bonus|merit|asset|nice to have|nice-to-have|beneficial|advantageous|desirable|helpful|preferred|meriting)"
-MENTION = r"(?:(?:knowledge|command|understanding|skills?|proficiency|fluency) (?:of|in) (?:the )?)?{l}(?: (?:language|skills?|knowledge|proficiency|fluency|speaker|language skills))*"
-ADVANTAGE = [MENTION + r"(?: (?:is|are|would be|will be|as|considered|counts as|seen as|,))* " + PLUS, PLUS + r"(?: if you)?(?: is| are|:| to)?(?: (?:speak|know|knowing|have))? " + MENTION, MENTION + r"(?:,? (?:or|and|,) [a-z]+)+ (?:is|are|would be)? ?" + PLUS]
-REQUIRED = [r"(?:fluent|fluency|proficient|proficiency|native|business|excellent|very good|good|strong|professional|full)(?: (?:level|written|spoken|verbal|oral|working|and|command|skills|knowledge|proficiency|of|in|english|both))*,? (?:in |of |and |& )*{l}(?![a-z])", r"{l}(?: and english)?(?: language)?(?: skills?| proficiency| fluency)? (?:is|are) (?:required|mandatory|necessary|essential|a must|needed)", r"(?:must|need to|have to|able to) (?:speak|master|communicate in|be fluent in|know)(?: both)?(?: english and)? {l}", r"{l}[- ](?:speaking|speaker)(?! countr)", r"english and {l}(?! (?:is|are|would|as) )", r"{l} and english(?! (?:is|are|would|as) )", r"requires? (?:fluent |good )?{l}"]
-GENERIC = r"(?:local|native|national) language(?: skills)? (?:is|are)? ?(?:required|mandatory|a must|necessary)|(?:fluent|fluency|proficient|proficiency) in (?:the|your) local language"
-GENERIC_PLUS = r"local language(?: skills)?(?: is| are| would be| as)? " + PLUS
-GROUP_PLUS = r"additional (?:[a-z]+ )?languages(?: skills)?[^.]{0,60}? (?:is|are|would be) " + PLUS
-GENERIC_OWN = [r"your local language {l}(?![a-z])", r"in addition to (?:[a-zà-ÿ]+(?:, ?[a-zà-ÿ]+)* or )+{l}(?![a-z])", r"in addition to {l}(?![a-z])"]
-ENUMERATED = r"((?:[a-zà-ÿ]+,? )+and [a-zà-ÿ]+): [a-zà-ÿ ]*(?:proficiency|fluency) is required for all (?:two|three|four|five|the) languages"
-CONDITIONAL = r"depending on (?:the |your )?(?:location|country|market)"
-
-
-#: What stands after names of languages that a stroke parts.
-CONTEXT_WORDS = ("speaking", "speaker", "language", "languages", "skills", "knowledge", "proficiency", "fluency", "required", "native", "communication")
-
-
-def named_by(language: str) -> str:
-    """A pattern of the words for a language."""
-    return f"(?:{'|'.join(LANGUAGE_WORDS[language].split())})"
+#: What a text says, see `signals`. `requirements` and `cross` say "required" or "welcome".
+SAID = "struct<language:string,says:string,matched:string>"
+SIGNALS = f"""struct<advantage:string,group_plus:string,generic_plus:string,generic:string,your_local:string,your_local_language:string,group_required:string,
+listed:array<string>,listed_match:string,requirements:array<{SAID}>,own:{SAID},in_addition:string,cross:{SAID},conditional:boolean>"""
 
 
 def normalise_signal_text(title: Column, description: Column) -> Column:
-    """Title and description as one lower-cased line: brackets away, & and + as and, line breaks as sentence ends, slash lists apart."""
-    x = F.lower(F.concat_ws(" ", title, description))
-    x = F.regexp_replace(F.regexp_replace(x, r"[()]", " "), "[–—]", " – ")
-    x = F.regexp_replace(F.replace(x, F.lit("&"), F.lit("and")), r"\s\+\s", " and ")
-    x = F.regexp_replace(x, r"\s*\band/or\b\s*", "/")
-    context = rf"(\s+(?:{'|'.join(CONTEXT_WORDS)})\b)"
-    lists = F.regexp_extract_all(x, F.lit(rf"([a-z]+(?:/[a-z]+)+){context}"), F.lit(0))
+    """Title and description as one line for `signals`, see `signals.one_line`. Arrow batches."""
 
-    def apart(text: Column, found: Column) -> Column:
-        """a/b/c speaking -> a speaking b speaking c speaking, for lists of any length."""
-        names, word = F.split(F.regexp_extract(found, r"^(\S+)", 1), "/"), F.regexp_extract(found, r"^\S+(\s+.*)$", 1)
-        return F.replace(text, found, F.array_join(F.transform(names, lambda n: F.concat(n, word)), " "))
+    @F.pandas_udf("string")
+    def line(titles: pd.Series, descriptions: pd.Series) -> pd.Series:
+        return pd.Series([one_line(t, d) for t, d in zip(titles, descriptions, strict=True)], dtype=object)
 
-    x = F.when(F.size(lists) > 0, F.aggregate(lists, x, apart)).otherwise(x)
-    return F.regexp_replace(F.regexp_replace(x, r"\n+", ". "), r"\s+", " ")
+    return line(title, description)
 
 
-def found(text: Column, pattern: str) -> Column:
-    """The first text that matches, else null."""
-    return F.nullif(F.regexp_extract(text, f"({pattern})", 1), F.lit(""))
+@lru_cache(maxsize=4)
+def _reader(forms: Forms | None) -> Reader:
+    return Reader(forms or Forms({k: v.split() for k, v in LANGUAGE_WORDS.items()}))
 
 
-def _hit(text: Column, patterns: list[str], language: str) -> Column:
-    """The first text that one of the templates matches for a language, else null."""
-    return reduce(lambda a, b: F.coalesce(a, b), [found(text, p.replace("{l}", named_by(language))) for p in patterns])
+def read_signals(text: str | None, country: str | None, reader: Reader | None = None) -> dict | None:
+    """What one normalised text says, for a posting in a country; None if it names no language and does not speak of any."""
+    if not text:
+        return None
+    r = (reader or _reader(None)).read(text)
+    if not r.spans and "language" not in text:
+        return None
+    langs = COUNTRY_LANGUAGES.get(country or "", [])
+    group = next((g for g, cs in GROUPS.items() if country in cs), None)
+    welcomes = r.welcomes()
+    found = r.requirements(welcomes)
+    genuine = any(found.get(x, ("",))[0] == "required" for x in langs)
+    told = [(x, *found[x]) for x in LANGUAGE_WORDS if x in found]
+    said = {x: found.get(x) or ("welcome", r.original(*welcomes[x])) for x in LANGUAGE_WORDS if x in found or x in welcomes}
+    local, listed, addition = r.your_local(), r.all_required(), r.in_addition()
+    as_said = lambda x: dict(zip(("language", "says", "matched"), x, strict=True)) if x else None
+    return {
+        "advantage": None if genuine else next((r.original(*welcomes[x]) for x in langs if x in welcomes), None), "group_plus": r.group("welcome", group), "generic_plus": r.generic_welcome() if langs else None,
+        "generic": r.generic() if langs else None, "your_local": local and local[1], "your_local_language": local and local[0], "group_required": r.group("required", group), "listed": listed[0] if listed else [], "listed_match": listed and listed[1],
+        "requirements": [as_said(x) for x in told], "own": as_said(next(((x, *found[x]) for x in langs if x in found and (not genuine or found[x][0] == "required")), None)),
+        "in_addition": next((addition[x] for x in langs if x in addition), None), "cross": as_said(next(((x, *v) for x, v in said.items() if x not in langs), None)), "conditional": bool(langs) and not r.depending().isdisjoint(langs),
+    }
 
 
-def requirement(text: str, language: str) -> str | None:
-    """The requirement phrase for a language that its clause does not take back, in one normalised text."""
-    for p in _PATTERNS.setdefault(language, [re.compile(x.replace("{l}", named_by(language))) for x in REQUIRED]):
-        for m in p.finditer(text):
-            before = re.split(r"[.;!?]", text[max(0, m.start() - 80) : m.start()])[-1]
-            after = re.split(r"[.;!?]", text[m.end() : m.end() + 80])[0]
-            if re.search(r"(?:bonus points|plus|advantage|nice to have|preferabl[ey]|ideally|optional)[^.]{0,30}$", before):
-                continue
-            if re.match(r"\s*(?:or english|(?:language )?(?:skills? )?(?:is|are) not (?:required|needed|necessary))", after) or re.search(r"(?:no|not|without|don't need|do not need)(?: any)?(?: need for)? $", before):
-                continue
-            if re.match(rf"[^,]{{0,30}}?\b{PLUS}\b", after):
-                continue
-            return m.group(0).strip()
-    return None
+def signals(title: Column, description: Column, country: Column, forms: Forms | None = None) -> Column:
+    """Struct of what a posting's title and description say (`SIGNALS`); all null where they say nothing. Arrow batches, one pass a text."""
+    names = [f.name for f in T._parse_datatype_string(SIGNALS).fields]
 
+    @F.pandas_udf(SIGNALS)
+    def read(titles: pd.Series, descriptions: pd.Series, countries: pd.Series) -> pd.DataFrame:
+        reader = _reader(forms)
+        rows = [read_signals(one_line(t, d), c, reader) or {} for t, d, c in zip(titles, descriptions, countries, strict=True)]
+        return pd.DataFrame([[row.get(n) for n in names] for row in rows], columns=names, dtype=object)
 
-_PATTERNS: dict[str, list[re.Pattern]] = {}
+    # as it reads each text once, the optimiser is not to write the call out for every field that is used
+    return read.asNondeterministic()(title, description, country)
 
 
-def phase_title(title: Column) -> Column:
-    return looks_non_english(title, TITLE_WORDS)
-
-
-EVERY = sorted(LANGUAGE_WORDS)
+def phase_title(title: Column, words: list[str] | None = None) -> Column:
+    return looks_non_english(title, words or TITLE_WORDS)
 
 
 def own_languages(country: Column) -> Column:
@@ -124,54 +112,6 @@ def own_languages(country: Column) -> Column:
     return F.coalesce(F.try_element_at(langs, country), F.array().cast("array<string>"))
 
 
-def _of_own(text: Column, langs: Column, patterns: list[str]) -> Column:
-    """The first match of the patterns for a language of the country."""
-    named = lambda l: reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in LANGUAGE_WORDS[l].split()])  # noqa: E731, E741
-    return F.coalesce(*[F.when(F.array_contains(langs, l) & named(l), _hit(text, patterns, l)) for l in sorted({l for ls in COUNTRY_LANGUAGES.values() for l in ls})])
-
-
-def phase_advantage(text: Column, langs: Column) -> Column:
-    """1b: what says that a language of the country is welcome."""
-    return _of_own(text, langs, ADVANTAGE)
-
-
-def phase_group(text: Column, country: Column) -> tuple[Column, Column]:
-    """1b and 2a: what says that a language of the country's group (Nordic, Baltic) is welcome, and that it is required."""
-    plus = F.coalesce(*[F.when(country.isin(cs), found(text, rf"(?:any |another |other |a )?{g} languages?(?: skills?)?(?: is| are| would be| as)? {PLUS}")) for g, cs in GROUPS.items()])
-    required = F.coalesce(*[F.when(country.isin(cs), found(text, rf"(?:fluent|fluency|proficien(?:t|cy)) in (?:a |one |any )?{g} languages?|{g} languages? (?:is|are) (?:required|mandatory)")) for g, cs in GROUPS.items()])
-    return plus, required
-
-
-def phase_generic(text: Column, langs: Column) -> tuple[Column, Column, Column]:
-    """What says that the local or further languages are welcome (1b); that the local one is required (2a); and the languages of a list that are all required (2a)."""
-    words = F.create_map(*[x for l, ws in LANGUAGE_WORDS.items() for w in ws.split() for x in (F.lit(w), F.lit(l))])
-    listed = F.transform(F.split(F.regexp_extract(text, ENUMERATED, 1), r",? and |, ?| "), lambda w: F.try_element_at(words, F.trim(w)))
-    return F.coalesce(found(text, GENERIC_PLUS), found(text, GROUP_PLUS)), F.coalesce(found(text, GENERIC), _of_own(text, langs, GENERIC_OWN)), F.array_distinct(F.array_compact(listed))
-
-
-def phase_cross(requirements: Column, langs: Column) -> Column:
-    """2a: requirements of languages that are not the country's."""
-    return F.filter(requirements, lambda r: ~F.array_contains(langs, r["language"]))
-
-
-def phase_conditional(text: Column, langs: Column) -> Column:
-    """2b: a language of the country is named near "depending on the location"."""
-    near = F.regexp_extract(text, f"(.{{0,60}}{CONDITIONAL}.{{0,60}})", 1)
-    return F.when(F.exists(langs, lambda l: F.contains(near, l)), F.lit("depending on location"))
-
-
-def required_languages(text: Column) -> Column:
-    """Array of (language, matched): requirements that no clause takes back; only texts that name a language pass through Python."""
-
-    @F.pandas_udf("array<struct<language:string,matched:string>>")
-    def read(texts: pd.Series, named: pd.Series) -> pd.Series:
-        return pd.Series([[{"language": l, "matched": m} for l in ls if (m := requirement(t, l))] if ls is not None and len(ls) else [] for t, ls in zip(texts, named, strict=True)])
-
-    named = F.array_compact(F.array(*[F.when(text.rlike(named_by(l)), F.lit(l)) for l in EVERY]))
-    # a text without a name is not moved to Python
-    return read(F.when(F.size(named) > 0, text), named)
-
-
 def paragraph_languages(jobs: DataFrame, profile: DataFrame, key: str = "id") -> DataFrame:
     """(key, country_code, native, foreign): the first paragraph language that is the country's, and that is another known one.
 
@@ -192,62 +132,80 @@ def paragraph_languages(jobs: DataFrame, profile: DataFrame, key: str = "id") ->
     return x.groupBy(key, "country_code").agg(first(own).alias("native"), first(other & ~F.array_contains("langs", F.col("language"))).alias("foreign"))
 
 
-def detect_language_requirement(jobs: DataFrame, profile: DataFrame | None = None, key: str = "id") -> DataFrame:
+def detect_language_requirement(jobs: DataFrame, profile: DataFrame | None = None, key: str = "id", forms: Forms | None = None, title_words: list[str] | None = None) -> DataFrame:
     """(key, country_code, value, advantage, required, preferred, phase, matched) for (key, country_code, title, description) rows.
 
-    With a language profile, paragraphs are identified too (1c and 1c-any); the original uses a third-party model there, so
-    these phases need not agree with it.
+    `forms` are the phrases around a language, `title_words` words that show a title to be in another language. With a language
+    profile, paragraphs are identified too (1c and 1c-any); the original uses a third-party model there, so these phases need
+    not agree with it. Texts of any length are read whole, in time proportional to it; a null title or description is empty.
     """
     x = jobs.select(key, "country_code", "title", F.coalesce("description", F.lit("")).alias("description"))
-    x = x.withColumns({"langs": own_languages(F.col("country_code")), "text": normalise_signal_text(F.col("title"), F.col("description"))})
-    x = x.withColumn("found", F.coalesce(required_languages(F.col("text")), F.array().cast("array<struct<language:string,matched:string>>")))
-    text, langs = F.col("text"), F.col("langs")
-    own = F.filter("found", lambda r: F.array_contains("langs", r["language"]))
-    cross = phase_cross(F.col("found"), langs)
-    group, group_req = phase_group(text, F.col("country_code"))
-    generic_plus, generic, listed = phase_generic(text, langs)
+    x = x.withColumns({"langs": own_languages(F.col("country_code")), "said": signals(F.col("title"), F.col("description"), F.col("country_code"), forms)})
     letters = F.coalesce(*[F.when((F.col("country_code") == c) & (F.length("description") - F.length(F.translate("description", chars, "")) >= n), F.lit("native letters")) for c, (chars, n) in LETTERS.items()])
-    free = F.size(own) == 0
     none = F.array().cast("array<string>")
+    langs, said = F.col("langs"), lambda name: F.col(f"said.{name}")
     shown = lambda names: F.transform(names, lambda n: F.initcap(n))
 
-    def phase(name: str, matched: Column, value: bool, adv: bool, required: Column = none, preferred: Column = none) -> Column:
-        return F.when(matched.isNotNull(), F.struct(F.lit(name).alias("phase"), matched.alias("matched"), F.lit(value).alias("value"), F.lit(adv).alias("advantage"), shown(required).alias("required"), shown(preferred).alias("preferred")))
+    def phase(name: str, matched: Column, value: bool, required: Column = none, preferred: Column = none) -> Column:
+        return F.when(matched.isNotNull(), F.struct(F.lit(name).alias("phase"), matched.alias("matched"), F.lit(value).alias("value"), F.lit(not value and name != "2c").alias("advantage"), shown(required).alias("required"), shown(preferred).alias("preferred")))
+
+    def by_clause(name: str, entry: str, names: Column) -> list[Column]:
+        """A requirement, or what its clause makes a welcome."""
+        matched = lambda says: F.when(said(f"{entry}.says") == says, said(f"{entry}.matched"))
+        return [phase(name, matched("required"), True, names), phase(name, matched("welcome"), False, preferred=names)]
 
     by_paragraph = []
     if profile is not None:
         x = x.join(paragraph_languages(jobs, profile, key), [key, "country_code"], "left")
-        by_paragraph = [phase("1c", F.col("native"), True, False, langs), phase("1c-any", F.col("foreign"), True, False, F.array("foreign"))]
+        by_paragraph = [phase("1c", F.col("native"), True, langs), phase("1c-any", F.col("foreign"), True, F.array("foreign"))]
 
     decided = F.coalesce(
-        phase("1a", F.when(phase_title(F.col("title")) & (F.size("langs") > 0), F.col("title")), True, False, langs),
-        phase("1b", F.when(free, phase_advantage(text, langs)), False, True, preferred=langs),
-        phase("1b-group", F.when(free, F.coalesce(group, generic_plus)), False, True, preferred=langs),
-        phase("1b-chars", letters, True, False, langs),
+        phase("1a", F.when(phase_title(F.col("title"), title_words) & (F.size("langs") > 0), F.col("title")), True, langs),
+        phase("1b", said("advantage"), False, preferred=langs),
+        phase("1b-group", F.coalesce(said("group_plus"), said("generic_plus")), False, preferred=langs),
+        phase("1b-chars", letters, True, langs),
         *by_paragraph,
-        phase("2a-generic", generic, True, False, langs),
-        phase("2a-group", group_req, True, False, langs),
-        phase("2a-all", F.when(F.size(listed) > 0, found(text, ENUMERATED)), True, False, listed),
-        phase("2a", F.get(own, F.lit(0))["matched"], True, False, F.transform(own, lambda r: r["language"])),
-        phase("2a-cross", F.get(cross, F.lit(0))["matched"], True, False, F.transform(cross, lambda r: r["language"])),
-        phase("2b", phase_conditional(text, langs), False, True, preferred=langs),
-        phase("2c", F.lit(""), False, False),
+        phase("2a-generic", said("generic"), True, langs),
+        phase("2a-generic", said("your_local"), True, F.array(said("your_local_language"))),
+        phase("2a-group", said("group_required"), True, langs),
+        phase("2a-all", said("listed_match"), True, said("listed")),
+        *by_clause("2a", "own", langs),
+        phase("2a-generic", said("in_addition"), True, langs),
+        *by_clause("2a-cross", "cross", F.array(said("cross.language"))),
+        phase("2b", F.when(said("conditional"), F.lit("depending on location")), True, langs),
+        phase("2c", F.lit(""), False),
     )
     return x.select(key, "country_code", decided.alias("d")).select(key, "country_code", "d.*")
 
 
-def classify_postings(jobs: DataFrame, keywords: DataFrame, skills: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+def without_proper_nouns(text: Column, company: Column, names: list[str]) -> Column:
+    """A text without the company's name and other names, whatever their case: they say nothing on a posting's language."""
+    text = F.when(company.isNotNull() & (company != ""), F.regexp_replace(text, F.concat(F.lit("(?i)\\Q"), F.replace(company, F.lit("\\E"), F.lit("")), F.lit("\\E")), F.lit(" "))).otherwise(text)
+    pattern = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
+    return F.regexp_replace(text, f"(?iu){pattern}", " ") if names else text
+
+
+def classify_postings(jobs: DataFrame, keywords: DataFrame, skills: DataFrame, profile: DataFrame | None = None, place_names: list[str] | None = None, forms: Forms | None = None) -> DataFrame:
     """Category, skills, education floor and language requirement of (id, country_code, title, description, function, requires_native_language) rows.
 
-    A posting's own flag on language goes before what its text says.
+    Where `jobs` has them: `description_html` goes before `description` for category and language (markup removed), while skills
+    and education come from the plain description if there is one; `classifier_title` goes before `title`; the `company` name and
+    `place_names` with letters beyond ASCII are left out of what the language is read from. A posting's own flag on language
+    goes before what its text says.
     """
+    from jobloom.functions.columns import html_to_text
     from jobloom.operators.classify import classify_category, education_floor, extract_skills
 
-    one = jobs.dropDuplicates(["id"])
-    lang = detect_language_requirement(jobs, profile).withColumnRenamed("value", "_value")
-    x = jobs.join(lang, ["id", "country_code"], "left").join(classify_category(one, "id", keywords).select("id", "category"), "id", "left").join(extract_skills(one, "id", "description", skills), "id", "left")
+    has = lambda c, otherwise: F.coalesce(c, otherwise) if c in jobs.columns else otherwise
+    html = html_to_text(F.col("description_html")) if "description_html" in jobs.columns else F.lit(None).cast("string")
+    x = jobs.select("id", "country_code", has("classifier_title", F.col("title")).alias("title"), F.coalesce(html, html_to_text(F.col("description")) if "description_html" in jobs.columns else F.col("description")).alias("description"), F.coalesce(F.col("description"), html).alias("plain"), "function", "requires_native_language", (F.col("company") if "company" in jobs.columns else F.lit(None).cast("string")).alias("company"))
+    one = x.dropDuplicates(["id"])
+    names = [n for n in place_names or [] if not n.isascii()]
+    read = x.select("id", "country_code", *[without_proper_nouns(F.col(c), F.col("company"), names).alias(c) for c in ("title", "description")])
+    lang = detect_language_requirement(read, profile, forms=forms).withColumnRenamed("value", "_value")
+    x = x.join(lang, ["id", "country_code"], "left").join(classify_category(one, "id", keywords).select("id", "category"), "id", "left").join(extract_skills(one, "id", "plain", skills), "id", "left")
     none = F.array().cast("array<string>")
-    return x.select("id", "country_code", "category", F.coalesce("skills", none).alias("skills"), education_floor(F.col("description")).alias("required_education"), F.coalesce("requires_native_language", "_value").alias("requires_native_language"), F.coalesce("advantage", F.lit(False)).alias("local_language_advantage"), F.coalesce("required", none).alias("required_languages"), F.coalesce("preferred", none).alias("preferred_languages"), "phase")
+    return x.select("id", "country_code", "category", F.coalesce("skills", none).alias("skills"), education_floor(F.col("plain")).alias("required_education"), F.coalesce("requires_native_language", "_value").alias("requires_native_language"), F.coalesce("advantage", F.lit(False)).alias("local_language_advantage"), F.coalesce("required", none).alias("required_languages"), F.coalesce("preferred", none).alias("preferred_languages"), "phase")
 
 
-__all__ = ["classify_postings", "detect_language_requirement", "normalise_signal_text", "paragraph_languages", "phase_advantage", "phase_conditional", "phase_cross", "phase_generic", "phase_group", "phase_title", "required_languages", "requirement"]
+__all__ = ["classify_postings", "detect_language_requirement", "normalise_signal_text", "own_languages", "paragraph_languages", "phase_title", "read_signals", "signals", "without_proper_nouns"]

@@ -123,7 +123,9 @@ def _(t):
     return t.raw("documents").select("doc_id", classify.native_char_count(F.col("text"), LETTERS).alias("n_native"), classify.native_sample(F.col("text"), LETTERS).alias("sample"))
 
 
-SQL_CHUNKS = f"""WITH {SQL_GRAMS}, q AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda x: trim(x)), lambda x: length(x) >= 200) AS paras FROM documents WHERE text IS NOT NULL),
+def sql_chunks(source: str) -> str:
+    """CTEs: the languages `found` of the paragraphs p of a source of (doc_id, text)."""
+    return f"""{SQL_GRAMS}, q AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda x: trim(x)), lambda x: length(x) >= 200) AS paras FROM {source} WHERE text IS NOT NULL),
 pp AS (SELECT doc_id, CASE WHEN len(paras) > 0 THEN paras ELSE [text] END AS paras FROM q), p AS (SELECT doc_id, i - 1 AS para, paras[i] AS p FROM (SELECT doc_id, paras, unnest(range(1, len(paras) + 1)) AS i FROM pp)),
 k AS (SELECT doc_id, para, 1 AS part, p AS chunk FROM p WHERE length(p) <= 1500 UNION ALL SELECT doc_id, para, s0, substr(p, s0, 500) FROM (SELECT doc_id, para, p, unnest(range(1, length(p) + 1, 500)) AS s0 FROM p WHERE length(p) > 1500) WHERE length(substr(p, s0, 500)) >= 200),
 kw AS (SELECT doc_id, para, part, ' ' || w || ' ' AS c FROM (SELECT doc_id, para, part, unnest(string_split(trim(regexp_replace(lower(chunk), '[^\\p{{L}}]+', ' ', 'g')), ' ')) AS w FROM k) WHERE w <> ''),
@@ -134,6 +136,9 @@ kv AS (SELECT doc_id, para, lang, count(*) AS n FROM kb GROUP BY ALL), kt AS (SE
 found AS (SELECT doc_id, CAST(para AS INTEGER) AS para, lang FROM kv JOIN kt USING (doc_id, para) WHERE n * 2 > total)"""
 
 
+SQL_CHUNKS = "WITH " + sql_chunks("documents")
+
+
 @query("chunk_language", f"{SQL_CHUNKS} SELECT * FROM found WHERE lang IN ('de', 'fr', 'es')")
 def _(t):
     d = t.raw("documents", "doc_id", "lang", "text")

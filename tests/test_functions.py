@@ -138,3 +138,75 @@ def test_merge_sources(spark):
     p = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, title string, location string")
     s = spark.createDataFrame([(1, "A", None), (3, "c", "z")], "id long, title string, location string")
     assert {tuple(r) for r in shape.merge_sources(p, s, "id").collect()} == {(1, "A", "x"), (2, "b", "y"), (3, "c", "z")}
+
+
+FORM_CASES = [  # phrase, country, what decides
+    ("{l} required", "2a"), ("Knowledge of {l} law", "2c"), ("Mother tongue {l}", "2a"), ("{l} (C1)", "2a"), ("Fluent in {l} or English", "2c"), ("Fluent {l} is nice-to-have", "2a"), ("Bonus points if you speak {l}", "2a"),
+    ("Italian, {l}, Danish a bonus", "1b"), ("{l}, Danish, or other European languages are a strong advantage", "1b"), ("{l} speaking skills on top of that are seen as a plus", "1b"), ("{l} cuisine is a strong advantage", "2c"), ("Our {l} team", "2c"),
+]
+
+
+def test_every_phrase_form():
+    """All phrases of the tables, around each name of a language, and forms that only the scanner can read."""
+    from jobloom.operators import signals as s
+
+    reader = s.Reader(s.Forms({"german": ["german", "deutsch"], "korean": ["한국어"]}))
+    for name, country in (("german", "DE"), ("deutsch", "CH"), ("한국어", "KR")):
+        said = lambda form: language.read_signals(s.one_line("Engineer", f"We build things. {form}. We are kind.".replace("{l}", name)), country, reader)  # noqa: B023, E731
+        for form in s.REQUIRED:
+            assert said(form)["own"]["says"] == "required" and said(form)["advantage"] is None, form
+        for form in [f"{m} {x}" for m in s.MENTIONS for x in s.MODIFIERS] + s.WELCOME:
+            assert said(form)["advantage"], form
+    for group, forms in s.GROUP_REQUIRED.items():
+        for form in forms:
+            assert language.read_signals(f"we want {form}.".replace("{g}", group), s.GROUPS[group][0])["group_required"], form
+    for group, forms in s.GROUP_WELCOME.items():
+        for form in forms:
+            assert language.read_signals(f"we want {form}.".replace("{g}", group), s.GROUPS[group][0])["group_plus"], form
+            assert language.read_signals(f"we want {form}.".replace("{g}", group), "US")["group_plus"] is None
+
+
+def test_phrases_brute_force():
+    """The automaton finds what a look for every phrase in turn finds."""
+    import random
+
+    from jobloom.operators import signals as s
+
+    rnd, reader = random.Random(5), s.Reader(s.Forms({"german": ["german"], "dutch": ["dutch", "flemish"]}))
+    pool = [w for f in s.REQUIRED + s.MENTIONS + s.MODIFIERS for w in f.split()]
+    for _ in range(300):
+        text = " ".join(rnd.choice(["{l}", "{l}", *rnd.sample(pool, 6)]) for _ in range(40))
+        text = "".join(rnd.choice(["german", "dutch", "flemish"]) if x == "{l}" else x for x in __import__("re").split(r"(\{l\})", text))
+        r = reader.read(text)
+        got = {(kind, a, b) for kind, hits in r.hits.items() for a, b, _, _ in hits}
+        want = {(kind, i, i + len(p)) for p, kinds in s.Forms({}).phrases().items() for kind, _ in kinds for i in range(len(r.marked)) if r.marked.startswith(p, i)}
+        assert got == want
+        assert r.original(0, len(r.marked)) == text.strip()
+        for kind, a, b in got:
+            assert r.marked[a:b].count(s.NAME) == 0 or any(n in r.original(a, b) for n in reader.named), kind
+
+
+def test_scanner_cases(spark):
+    rows = [(i, "DE", "Engineer", f.replace("{l}", "German")) for i, (f, _) in enumerate(FORM_CASES)]
+    out = {r.id: r.phase for r in language.detect_language_requirement(spark.createDataFrame(rows, "id long, country_code string, title string, description string")).collect()}
+    assert out == {i: p for i, (_, p) in enumerate(FORM_CASES)}
+
+
+def test_language_texts_of_a_megabyte(spark):
+    """Texts that patterns with backtracking or recursion cannot read."""
+    texts = ["word, and " * 120_000, "german, " * 130_000, "in addition to x or " * 50_000, "a/b skills " * 90_000, "and a, " * 150_000 + ": fluency is required for all the languages", "x" * 1_200_000, "(german) " * 120_000 + "is a plus", "local language " * 70_000]
+    jobs_ = spark.createDataFrame([(i, "DE", "Engineer", t) for i, t in enumerate(texts)], "id long, country_code string, title string, description string").repartition(2)
+    out = {r.id: r.phase for r in language.detect_language_requirement(jobs_).collect()}
+    assert len(out) == len(texts) and out[0] == "2c" and out[6] == "1b"
+
+
+def test_classify_prefers_html_and_leaves_names_out(spark):
+    k = spark.createDataFrame([("data", 0, "data engineer", 0)], "category string, cat_no int, keyword string, kw_no int")
+    s = spark.createDataFrame([("Go", 0, ["go"])], "name string, skill_no int, aliases array<string>")
+    rows = [
+        (1, "DE", "Role", "You must speak Polish.", "<p>You must speak <b>German</b>. We go.</p>", "Data Engineer", "Acme"), (2, "SE", "Engineer, Malmö", "We build.", None, None, "Fluent Swedish AB"),
+        (3, "FI", "Engineer", "Fluent Finnish Oy is fluent finnish oy", None, None, "Fluent Finnish Oy"), (4, "FI", "Engineer", None, None, None, None),
+    ]
+    jobs_ = spark.createDataFrame(rows, "id long, country_code string, title string, description string, description_html string, classifier_title string, company string").withColumns({"function": F.lit(None).cast("string"), "requires_native_language": F.lit(None).cast("boolean")})
+    out = {r.id: (r.category, r.required_languages, r.phase, r.skills) for r in language.classify_postings(jobs_, k, s, place_names=["Malmö", "Oslo"]).collect()}
+    assert out == {1: ("data", ["German"], "2a", []), 2: ("other", [], "2c", []), 3: ("other", [], "2c", []), 4: ("other", [], "2c", [])}
