@@ -96,11 +96,28 @@ def tempered(sizes: dict, alpha: float = 0.7, share: float = 0.9) -> dict:
     return full
 
 
+def _with_pieces(x: DataFrame, most: int) -> DataFrame:
+    """Adds _hot and _piece to rows (_s, _b, _h): null, but for rows of a hash (null or repeated ids) that more than `most` rows have.
+
+    Those are dealt to pieces by where they stand in the input. Only buckets with more than `most` rows are looked into.
+    """
+    none = {"_hot": F.lit(None).cast("long"), "_piece": F.lit(None).cast("long")}
+    full = x.groupBy("_s", "_b").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(F.col("_s").alias("_fs"), F.col("_b").alias("_fb"))
+    if full.isEmpty():
+        return x.withColumns(none)
+    at = F.col("_s").eqNullSafe(F.col("_fs")) & (F.col("_b") == F.col("_fb"))
+    # of a source, there are fewer than its rows / most: some 100,000 in all at any size
+    hot = x.join(F.broadcast(full), at, "left_semi").groupBy("_s", "_h").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    hot = hot.select(F.col("_s").alias("_fs"), F.col("_h").alias("_hot"), F.ceil(F.col("_n") / most).cast("long").alias("_pieces"))
+    x = x.join(F.broadcast(hot), F.col("_s").eqNullSafe(F.col("_fs")) & (F.col("_h") == F.col("_hot")), "left")
+    return x.withColumn("_piece", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_pieces"))).drop("_fs", "_pieces")
+
+
 def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """Adds block, release, deadline, slot, position and in_mix to every row.
 
     `weights`: target weight by source (null is a source); default `tempered` row counts. A source's rows are ordered by a
-    hash of the id (then id) and cut in blocks of `block_rows`; block j takes the j-th place of its source in the schedule, and
+    hash of the id (then id; ids that very many rows have come last in their bucket of hashes) and cut in blocks of `block_rows`; block j takes the j-th place of its source in the schedule, and
     position orders the mix: by slot, in a slot the cycle's block before those of rare sources, then by place in the block. in_mix
     says that the row lies before the horizon, the first slot for which its source has no row left: up to there every source has
     its weight to less than two blocks, as its last block may not be full. Default weights are rows to draw, so the horizon is
@@ -137,12 +154,14 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     cuts = F.broadcast(spark.createDataFrame(list(bits.items()), f"_k {kind}, _bits int"))  # at most MAX_SOURCES rows
     x = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(source_col).alias("_s"), F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_id"))
     x = x.join(cuts, F.col("_s").eqNullSafe(F.col("_k"))).withColumn("_b", F.expr("shiftrightunsigned(_h ^ shiftleft(1L, 63), 64 - _bits)")).drop("_k", "_bits")
-    tally = x.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
-    before = tally.select("_s", "_b", (F.sum("_n").over(W.partitionBy("_s").orderBy("_b")) - F.col("_n")).alias("_before"))
-    rn = F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h", "_id"))
+    x = _with_pieces(x, max(4 * BUCKET_ROWS, sum(sizes.values()) >> MAX_BITS - 3))
+    unit = ["_b", "_hot", "_piece"]  # rows of usual ids have nulls and come first in their bucket
+    tally = x.groupBy("_s", *unit).agg(F.count("*").alias("_n"))
+    before = tally.select("_s", *unit, (F.sum("_n").over(W.partitionBy("_s").orderBy(*unit)) - F.col("_n")).alias("_before"))
+    rn = F.row_number().over(W.partitionBy("_s", *unit).orderBy("_h", "_id"))
     x = x.withColumn("_rn", rn - 1).alias("x")
-    bounded = small(before, sum(1 << b for b in bits.values()))
-    x = x.join(bounded.alias("t"), F.col("x._s").eqNullSafe(F.col("t._s")) & (F.col("x._b") == F.col("t._b")))
+    bounded = small(before, 2 * sum(1 << b for b in bits.values()))
+    x = x.join(bounded.alias("t"), F.col("x._s").eqNullSafe(F.col("t._s")) & (F.col("x._b") == F.col("t._b")) & F.col("x._hot").eqNullSafe(F.col("t._hot")) & F.col("x._piece").eqNullSafe(F.col("t._piece")))
     row = F.col("_rn") + F.col("_before")
     x = x.select("_doc", F.col("x._s").alias("_s"), row.alias("_row")).withColumn("block", F.floor(F.col("_row") / block_rows))
     rows = [(k, p[k], j, release, due, slot) for k, j, release, due, slot in plan]

@@ -3,7 +3,7 @@
 Rows get a place in one global order, which is that of a hash of their group. The order is cut in parts, so that every part's size
 is known from one aggregate of partial sums; a prefix sum over the parts (their number follows the rows, up to a bound) and a
 running sum inside each part give every row its global byte offset, and the offset gives the shard. A group is not divided
-unless it is a good part of a shard itself; such groups are few and have parts of their own, so that none is one task's work.
+unless it is a good part of a shard itself. Groups of many rows are few and have parts of their own, so that none is one task's work.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from .common import table, top_bits, utf8_bytes
 PART_ROWS, MAX_PARTS = 4_096, 1 << 17
 #: A group of more than this share of a shard may be divided. There are fewer than n_shards * HEAVY such groups.
 HEAVY = 100
+#: A group with the rows of so many parts has parts of its own, so there are at most MAX_PARTS / LARGE such groups.
+LARGE = 2
 
 
 def global_positions(df: DataFrame, group: Column, row: Column, order: list[Column], size: Column, n_shards: int) -> DataFrame:
     """Adds row_no (from 0), offset (bytes before the row), cut (the offset that decides on its shard) and total (all bytes).
 
-    The order is: hash of `group`; in a heavy group, hash bits of `row`; then `order`. `cut` is where the group begins, or the
-    row's own offset in a heavy group.
+    The order is: hash of `group`; in a group of many rows, hash bits of `row`; then `order`. `cut` is where the group begins, or
+    the row's own offset in a group of many bytes. The largest part has few times the rows of the mean one.
     """
     x = df.withColumns({"_size": size.cast("long"), "_g": F.xxhash64(group)})
     groups = x.groupBy("_g").agg(F.sum("_size").alias("_gb"), F.count("*").alias("_gn"))
@@ -32,22 +34,27 @@ def global_positions(df: DataFrame, group: Column, row: Column, order: list[Colu
     rows, total = whole.rows, whole.total or 1
     parts = min(MAX_PARTS, max(1, rows // PART_ROWS))
     bits = parts.bit_length()
-    heavy = groups.where(F.col("_gb") * (n_shards * HEAVY) > total)
-    # by the rows it has, in proportion to all parts
-    heavy = heavy.select(F.col("_g").alias("_hg"), F.ceil(F.col("_gn") * parts / rows).cast("long").alias("_pieces"))
-    x = x.join(F.broadcast(heavy), F.col("_g") == F.col("_hg"), "left")
-    x = x.withColumns({"_part": top_bits(F.col("_g"), bits), "_piece": F.when(F.col("_hg").isNotNull(), F.pmod(F.xxhash64(row, F.lit(1)), F.col("_pieces")))}).drop("_pieces")
-    part = ["_part", "_hg", "_piece"]  # in this order; rows of light groups have nulls and come first
+    # groups of many bytes, which may be divided among shards, and those of many rows, which are only dealt to more tasks: few of either
+    divided = F.col("_gb") * (n_shards * HEAVY) > total
+    large = groups.where(divided | (F.col("_gn") * parts > LARGE * rows))
+    # by the rows it has, in proportion to all parts; rows that repeat an id are told apart by where they stand in the input
+    large = large.select(F.col("_g").alias("_hg"), divided.alias("_divided"), F.ceil(F.col("_gn") * parts / rows).cast("long").alias("_pieces"))
+    x = x.join(F.broadcast(large), F.col("_g") == F.col("_hg"), "left")
+    x = x.withColumns({"_part": top_bits(F.col("_g"), bits), "_piece": F.when(F.col("_hg").isNotNull(), F.pmod(F.xxhash64(row, F.lit(1), F.when(F.col("_pieces") > 1, F.monotonically_increasing_id())), F.col("_pieces")))}).drop("_pieces")
+    part = ["_part", "_hg", "_piece"]  # in this order; rows of small groups have nulls and come first
     totals = x.groupBy(*part).agg(F.sum("_size").alias("_b"), F.count("*").alias("_n"))
     w = W.orderBy(*part).rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(*[F.col(c).alias(f"{c}0") for c in part], F.coalesce(F.sum("_b").over(w), F.lit(0)).alias("_b0"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n0"))
+    # where the group of the part begins; in one of several groups, where the part does
+    starts = starts.withColumn("_g0", F.min("_b0").over(W.partitionBy("_part0", "_hg0")))
     inside = W.partitionBy(*part).orderBy("_g", *order)
     x = x.withColumns({"_rn": F.row_number().over(inside) - 1, "_run": F.sum("_size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("_size")})
-    x = x.withColumn("_first", F.first("_run").over(W.partitionBy(*part, "_g").orderBy(*order)))
+    x = x.withColumn("_first", F.when(F.col("_hg").isNull(), F.first("_run").over(W.partitionBy(*part, "_g").orderBy(*order))))
     same = (F.col("_part") == F.col("_part0")) & F.col("_hg").eqNullSafe(F.col("_hg0")) & F.col("_piece").eqNullSafe(F.col("_piece0"))
     x = x.join(F.broadcast(starts), same)
-    x = x.withColumns({"row_no": F.col("_n0") + F.col("_rn"), "offset": F.col("_b0") + F.col("_run"), "cut": F.col("_b0") + F.when(F.col("_hg").isNull(), F.col("_first")).otherwise(F.col("_run")), "total": F.lit(total)})
-    return x.drop(*part, *[f"{c}0" for c in part], "_g", "_rn", "_run", "_first", "_b0", "_n0")
+    cut = F.when(F.col("_hg").isNull(), F.col("_b0") + F.col("_first")).when(F.col("_divided"), F.col("_b0") + F.col("_run")).otherwise(F.col("_g0"))
+    x = x.withColumns({"row_no": F.col("_n0") + F.col("_rn"), "offset": F.col("_b0") + F.col("_run"), "cut": cut, "total": F.lit(total)})
+    return x.drop(*part, *[f"{c}0" for c in part], "_g", "_rn", "_run", "_first", "_b0", "_n0", "_g0", "_divided")
 
 
 def shard(df: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", size: Column | None = None) -> DataFrame:

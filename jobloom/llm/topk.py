@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CANDIDATES, QUERIES_A_BLOCK = 2048, 1024
+#: Rows of a block: each side is copied once for every block of the other, so blocks are as large as a task can well hold, but for
+#: tables with few rows, which are dealt to all cores.
+LEAST_BLOCK, BLOCK = 2_048, 16_384
 #: Scores under this size are added up in 64 bits; all others in whole numbers of any size.
 SAFE = float(1 << 62)
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -116,7 +118,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     cands = candidates.where("id is not null and v is not null").select("id", "v")
     asks = queries.where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
     n_c, n_q = cands.count(), asks.count()
-    c_blocks, q_blocks = max(1, -(-n_c // CANDIDATES)), max(1, -(-n_q // QUERIES_A_BLOCK))
+    c_size = min(BLOCK, max(LEAST_BLOCK, n_c // (2 * candidates.sparkSession.sparkContext.defaultParallelism)))
+    c_blocks, q_blocks = max(1, -(-n_c // c_size)), max(1, -(-n_q // BLOCK))
     of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     # a candidate goes to each block of queries and a query to each block of candidates: the stated query set, in blocks
@@ -128,8 +131,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
 
 
 def quantised(embedding: Column) -> Column:
-    """floor(256 x) of each component, x as double, as whole doubles; null for a vector that is null or holds a null, NaN or infinity."""
-    odd = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    """floor(256 x) of each component, x as double, as whole doubles; null for a vector that is null or holds a null, NaN or infinity.
+
+    A double whose product with 256 no double holds counts as infinite.
+    """
+    odd = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * 256) == float("inf")))
     # a double of 2**53 or more is whole, and floor() of it would not fit in a long
     whole = lambda x: F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
     return F.when(~odd, F.transform(embedding, lambda x: whole(x.cast("double") * 256)))

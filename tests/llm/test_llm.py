@@ -51,6 +51,15 @@ def test_topk_brute_force(spark):
     assert top_k(e.where("false"), e).count() == 0 and top_k(e.where("id = 0"), e.where("false")).count() == 0
 
 
+def test_topk_huge_doubles(spark):
+    """Doubles that 256 times over are infinite take no part; blocks of any size give the same answer."""
+    from jobloom.llm import topk
+
+    rows = [(0, [1e308, 1.0]), (1, [1.0, 2.0]), (2, [-1e308, 0.0]), (3, [1e300, 0.0]), (50, [1.0, 1.0])]
+    h = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v"))
+    assert [(r.query_id, r.vec_id) for r in topk.top_k(h.where("id % 50 = 0"), h).orderBy("rank").collect()] == [(50, 3), (50, 1)]
+
+
 # -- toxicity ---------------------------------------------------------------------------------------------------------------
 
 
@@ -412,6 +421,24 @@ def test_sharding_keeps_groups_together(spark):
     out.unpersist()
 
 
+def test_sharding_large_groups_and_repeated_rows(spark, monkeypatch):
+    """A group of many rows with few bytes stays whole though several tasks hold it; equal rows are dealt to several parts."""
+    from jobloom.llm import sharding
+
+    monkeypatch.setattr(sharding, "PART_ROWS", 64)
+    # 1,500 rows of one text, which are under a hundredth of a shard by their bytes; and 4,000 rows that agree in all
+    rows = spark.range(1_500).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    rows = rows.unionByName(spark.range(3_000).select((F.col("id") + 10_000).alias("doc_id"), F.repeat(F.col("id").cast("string"), 900).alias("text")))
+    rows = rows.unionByName(spark.range(4_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("again and again").alias("text")))
+    placed = sharding.global_positions(rows, F.col("text"), F.col("doc_id"), [F.col("doc_id").asc_nulls_first()], F.octet_length("text") + 1, 16)
+    assert [r.n for r in placed.where("text = ''").select(F.count_distinct("cut").alias("n")).collect()] == [1]
+    assert placed.select(F.count_distinct("row_no"), F.max("row_no"), F.count_distinct("offset")).first()[:] == (8_500, 8_499, 8_500)
+    out = sharding.shard(rows, 16)
+    per = out.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m"), F.count_distinct("slot").alias("k"), F.sum(F.octet_length("text") + 1).alias("b")).collect()
+    assert len(per) == 16 and all(r.n == r.k == r.m + 1 for r in per) and max(r.b for r in per) <= 1.03 * sum(r.b for r in per) / 16
+    assert out.where("text = ''").select("shard").distinct().count() == 1
+
+
 # -- lines ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -608,6 +635,20 @@ def test_mix_keeps_its_share_with_rare_sources(spark):
     assert mix(big.unionByName(spark.createDataFrame([(-1, "one")], big.schema)), weights).where("in_mix").count() > 0.99 * 200_000
 
 
+def test_mix_deals_repeated_ids(spark, monkeypatch):
+    """Null and repeated ids, a third of all rows each, are ranked in pieces, without gaps and each row once."""
+    from jobloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 64)
+    ids = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id")).cast("long")
+    d = spark.range(6_000).select(ids.alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").alias("source"), F.col("id").alias("mine"))
+    out = mixing.mix(d).persist()
+    assert out.select(F.count("*"), F.count_distinct("mine"), F.count_distinct("position")).first()[:] == (6_000, 6_000, 6_000)
+    for source in ("source = 'a'", "source is null"):
+        assert sorted(r.block for r in out.where(source).collect()) == [i // mixing.BLOCK_ROWS for i in range(3_000)]
+    out.unpersist()
+
+
 @pytest.mark.skipif(not HERE, reason="no test tables")
 def test_mixing_query(spark):
     """The whole query: blocks of each source without gaps, windows kept, no two rows at a place, less than two blocks from the weight."""
