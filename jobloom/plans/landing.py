@@ -140,13 +140,12 @@ def _(t):
 
 @query("html_best_strategy", f"WITH {BOARD_SQL} SELECT page_id, strategy, title, url FROM c WHERE {FITS} UNION ALL SELECT page_id, strategy, title, url FROM l WHERE {FITS} UNION ALL SELECT page_id, strategy, title, url FROM a WHERE {FITS}")
 def _(t):
-    p = board(t)
-    return H.best_of([H.containers(p), H.lists(p), H.links(p)]).select("page_id", "strategy", "title", "url")
+    return H.best_rows(board(t)).select("page_id", "strategy", "title", "url")
 
 
 @query("html_cards", f"WITH {BOARD_SQL} SELECT page_id, title, url, location FROM c UNION ALL SELECT page_id, 'No current openings', '/z', NULL FROM b WHERE n = 0 UNION ALL SELECT page_id, trim(t || ' c'), NULL, NULL FROM b WHERE n = 0")
 def _(t):
-    return H.cards(board(t), "div", "job-card").select("page_id", "title", "url", "location")
+    return H.cards(board(t), "div.job-card").select("page_id", "title", "url", "location")
 
 
 PRESETS = {
@@ -161,7 +160,7 @@ def _(t):
     title = F.trim(F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), r"[&<>\s]+", " "))
     pages = t.raw("pages", "page_id", "html")
     made = lambda layout: pages.select("page_id", F.concat(F.lit(f'<div class="card">{layout.split("{t}")[0]}'), title, F.lit(layout.split("{t}")[1] + "</div>"), "html").alias("html"))
-    frames = [H.cards(made(layout), "div", "card", p).withColumn("preset", F.lit(p)) for p, (layout, *_) in PRESETS.items()]
+    frames = [H.cards(made(layout), "div.card", p).withColumn("preset", F.lit(p)) for p, (layout, *_) in PRESETS.items()]
     x = reduce(lambda a, b: a.unionByName(b), frames)
     return x.select("page_id", "preset", "title", "location", F.array_join("more", "/").alias("more"))
 
@@ -169,9 +168,20 @@ def _(t):
 _ARTICLE = _sql_text("array_to_string(regexp_extract_all(html, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1), chr(10))")
 
 
-@query("html_description", f"SELECT page_id, CASE WHEN length({_ARTICLE}) >= 200 THEN {_ARTICLE} ELSE {_sql_text('html')} END AS text FROM pages")
+@query(
+    "html_description",
+    f"""SELECT page_id, 'chain' AS how, CASE WHEN length({_ARTICLE}) >= 200 THEN {_ARTICLE} ELSE {_sql_text('html')} END AS text FROM pages
+UNION ALL SELECT page_id, 'selector', 'Opening ' || page_id || ' ' || repeat('x', 100) || ' Inner ' || repeat('y', 100) || ' closing Second ' || page_id FROM pages WHERE contains(html, '</body>')
+UNION ALL SELECT page_id, 'script', 'From the script of ' || page_id || ' ' || repeat('z', 200) FROM pages""",
+)
 def _(t):
-    return t.raw("pages", "page_id", "html").select("page_id", H.select_description(F.col("html")).alias("text"))
+    """The chain over whole pages; a selector whose element holds one of its own tag; a script where no element has enough."""
+    p, k = t.raw("pages", "page_id", "html"), F.col("page_id").cast("string")
+    part = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    made = p.where(F.contains("html", F.lit("</body>"))).select("page_id", F.replace("html", F.lit("</body>"), part("<div class='a job-text'>Opening ", k, " <div>", "x" * 100, "<div class='job-text'> Inner ", "y" * 100, "</div></div> closing</div><p>no</p><div class=job-text>Second ", k, "</div></body>")).alias("html"))
+    script = p.select("page_id", part('<html><body><article>short</article><script type="application/ld+json">{"title": "a]}", "description": "From the script of ', k, " ", "z" * 200, '"} trailing [</script></body></html>').alias("html"))
+    line = lambda df, how: df.select("page_id", F.lit(how).alias("how"), F.regexp_replace("text", r"\s+", " ").alias("text"))
+    return H.descriptions(p, script_key=None).select("page_id", F.lit("chain").alias("how"), "text").unionByName(line(H.descriptions(made, "div.job-text"), "selector")).unionByName(line(H.descriptions(script), "script"))
 
 
 @query("html_capture", r"SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, coalesce(nullif(regexp_extract(html, '<h9>([^<]*)</h9>', 1), ''), url) AS place FROM pages")
@@ -190,7 +200,7 @@ def _(t):
 @query("html_options", "SELECT page_id, 'Label ' || page_id AS label, 'v' || page_id AS value FROM pages")
 def _(t):
     tag = F.concat(F.lit('<select><option value="">Any</option><option value="v'), "page_id", F.lit('"> Label <b>'), "page_id", F.lit("</b></option></select>"))
-    return t.raw("pages").select("page_id", F.explode(H.select_options(F.concat(tag, "html"))).alias("o")).select("page_id", "o.*")
+    return H.select_options(t.raw("pages").select("page_id", F.concat(tag, "html").alias("html")), "select > option").select("page_id", "label", "value")
 
 
 @query("html_attr_json", "SELECT page_id, unnest(['FI', 'SE']) AS country, unnest(['Oulu', CASE WHEN page_id % 2 = 0 THEN 'Malmö' ELSE 'Oulu' END]) AS location FROM pages")
@@ -200,10 +210,11 @@ def _(t):
     return H.attribute_json(t.raw("pages").select("page_id", F.concat("html", tag).alias("html")), "div", "data-jobs", "title:string,countries:array<string>,locations:array<string>").select("page_id", "country", "location")
 
 
-@query("html_script_json", "SELECT page_id, 'job ' || page_id AS title FROM pages")
+@query("html_script_json", "SELECT page_id, unnest(['job ] ' || page_id, 'more \" }']) AS title FROM pages")
 def _(t):
-    chunk = F.concat(F.lit('<script>self.push([1,"{\\"jobs\\":[{\\"title\\":\\"job '), "page_id", F.lit('\\"}"])</script><script>self.push([1,"]}"])</script>'))
-    return H.script_json(t.raw("pages").select("page_id", F.concat("html", chunk).alias("html")), "jobs", "title:string")
+    """Two pushes with text behind the arrays, brackets and quotes inside of strings, and a broken array that is left out."""
+    chunk = F.concat(F.lit('<script>self.push([1,"{\\"jobs\\":[{\\"title\\":\\"job ] '), "page_id", F.lit('\\"}"])</script><script>self.push([1,"], \\"x\\": [1, [2]], \\"jobs\\": [{\\"title\\": \\"more \\\\\\" }\\"}], \\"jobs\\": [{]} and ]"])</script>'))
+    return H.script_json(t.raw("pages").select("page_id", F.concat("html", chunk).alias("html")), "jobs", "title string")
 
 
 @query("html_marker_json", "SELECT page_id, '{\"n\": ' || page_id || '}' AS payload FROM pages WHERE page_id % 2 = 0")
