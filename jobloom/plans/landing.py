@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from jobloom.plans.base import query
 from jobloom.plans.functions import _sql_text
+from jobloom.plans.streams import scratch
 from jobloom.sources import html as H
 from jobloom.sources import items, normalise, tables
 
@@ -30,11 +31,37 @@ def _(t):
     return items.map_items(x, cfg).select("brand", "source_id", "title", "url", "description", F.array_join("cities", "|").alias("cities"))
 
 
-@query("landing_json", "SELECT count(*) AS n, count(*) FILTER (WHERE event_id % 10 = 0) AS broken FROM events")
+@query("landing_json", """SELECT 'good' AS kind, event_id % 4 AS source, count(*) AS n, CAST(sum(CAST(props ->> '$.k' AS BIGINT)) AS BIGINT) AS total FROM events WHERE event_id % 4 <> 3 AND event_id % 10 <> 0 GROUP BY ALL
+UNION ALL SELECT 'broken', event_id % 4, count(*), NULL FROM events WHERE event_id % 4 <> 3 AND event_id % 10 = 0 GROUP BY ALL UNION ALL SELECT 'kept whole', event_id % 4, count(*), NULL FROM events WHERE event_id % 2 = 1 GROUP BY ALL""")
 def _(t):
-    body = F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).otherwise(F.col("props"))
-    x = t.raw("events").select(F.from_json(body, "k string, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("j"))
-    return x.agg(F.count("*").alias("n"), F.count("j._corrupt_record").alias("broken"))
+    """Written files, of which those of two sources have broken lines: split in a table and its quarantine, by line and by file."""
+    root = scratch(t)
+    body = F.when((F.col("event_id") % 10 == 0) & (F.col("event_id") % 4 != 3), F.lit('{"k": 1, broken')).otherwise(F.col("props"))
+    t.raw("events").select(body.alias("value"), (F.col("event_id") % 4).alias("source")).repartition("source").write.partitionBy("source").text(f"{root}/in")
+    rows = tables.read_json_landing(t.spark, f"{root}/in", "k bigint, source bigint")
+    good, bad = tables.land(rows, f"{root}/landed")
+    whole, _ = tables.land(rows, f"{root}/files", clean_files=True)
+    source = F.regexp_extract("source_file", "/source=([0-9]+)/", 1).cast("long")
+    out = good.where("source <> 3").groupBy("source").agg(F.count("*").alias("n"), F.sum("k").alias("total")).select(F.lit("good").alias("kind"), "source", "n", "total")
+    out = out.unionByName(bad.groupBy(source.alias("source")).agg(F.count("*").alias("n")).select(F.lit("broken").alias("kind"), "source", "n", F.lit(None).cast("long").alias("total")))
+    return out.unionByName(whole.groupBy("source").agg(F.count("*").alias("n")).select(F.lit("kept whole").alias("kind"), "source", "n", F.lit(None).cast("long").alias("total")))
+
+
+@query("landing_xml", """SELECT s_suppkey AS id, s_name AS title, upper(substr(s_name, 1, 2)) AS country, [1, 2] AS tags, s_suppkey % 6 = 5 AS repaired FROM supplier WHERE s_suppkey % 6 <> 0""")
+def _(t):
+    """XML files by the reader: attributes, nested and repeated elements. A file that does not parse is kept apart whole; where references
+    that XML does not allow are the cause, it is repaired and read again."""
+    root, k = scratch(t), F.col("s_suppkey")
+    name = F.when(k % 6 == 5, F.concat("s_name", F.lit("&#7;"))).when(k % 6 == 0, F.concat("s_name", F.lit("</wrong>"))).otherwise(F.col("s_name"))
+    job = F.concat(F.lit('<job id="'), k, F.lit('"><head><title>'), name, F.lit("</title><place><country>"), F.lower(F.substring("s_name", 1, 2)), F.lit("</country></place></head><tag>1</tag><tag>2</tag></job>"))
+    feeds = t.raw("supplier").groupBy((k % 60).alias("source")).agg(F.concat(F.lit("<jobs>"), F.array_join(F.collect_list(job), "\n"), F.lit("</jobs>")).alias("value"))
+    feeds.select("value", "source").write.partitionBy("source").text(f"{root}/in")
+    fields = "_id: bigint, head: struct<title:string,place:struct<country:string>>, tag: array<bigint>"
+    good, bad = tables.land(tables.read_xml_landing(t.spark, f"{root}/in", "job", fields.replace(": ", " ")), f"{root}/landed", clean_files=True)
+    row = lambda df, fixed: df.select(F.col("_id").alias("id"), F.col("head.title").alias("title"), F.upper("head.place.country").alias("country"), F.col("tag").alias("tags"), F.lit(fixed).alias("repaired"))
+    # the reader tells a broken file once for each row that it cannot read
+    again = bad.distinct().select(F.explode(F.from_xml(H.repair_xml(F.col("record")), f"job array<struct<{fields}>>")["job"]).alias("r")).select("r.*")
+    return row(good, False).unionByName(row(again, True))
 
 
 def _per_brand(t, item, key: str):

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from jobloom.operators import load, stats
 from jobloom.plans.base import query, sql_slug
+from jobloom.plans.streams import scratch
+from jobloom.sources import tables
 
 NOW = "timestamp_ntz'2024-06-01 12:00:00'"
 SQL_NOW = "TIMESTAMP '2024-06-01 12:00:00'"
@@ -143,6 +145,26 @@ def _(t):
     return sitemap_rows(t.country, t.brand, "https://jobs.example.org", F.expr("date'2024-06-01'")).select("path", "priority", "line")
 
 
+@query("replace_partitions", "SELECT id, company_id FROM position WHERE company_id % 5 <> 0 UNION ALL SELECT l_orderkey, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 5 = 0 AND l_linenumber = 1")
+def _(t):
+    """A table by buckets of the company; the load of some companies writes their buckets alone."""
+    at = f"{scratch(t)}/positions"
+    tables.replace_partitions(t.position.select("id", "company_id"), at, "company_id")
+    new = t.raw("lineitem").where("l_linenumber = 1").join(t.raw("orders").where("o_custkey % 5 = 0"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("id"), F.col("o_custkey").alias("company_id"))
+    tables.replace_partitions(new, at, "company_id", t.company.where("id % 5 = 0").select(F.col("id").alias("company_id")))
+    return t.spark.read.parquet(at).select("id", "company_id")
+
+
+@query("run_counters", f"SELECT unnest(['all', 'cached', 'not_tracked', 'required', 'welcome']) AS counter, unnest([count(*), count(*) FILTER ({{HIT}}), count(*) FILTER (p_size % 3 = 0), count(*) FILTER (p_brand = 'Brand#1'), count(*) FILTER (p_brand = 'Brand#2')]) AS n FROM part".replace("{HIT}", "p_size <= 14 AND p_partkey % 11 <> 0 AND p_partkey % 7 <> 0"))
+def _(t):
+    """Counters of a run, gathered in the pass that writes its rows: cache hits, postings that are skipped, and phases."""
+    jobs = t.raw("part").select(F.col("p_partkey").cast("string").alias("url"), F.lit("FI").alias("country_code"), F.left(F.md5(F.col("p_name").cast("binary")), F.lit(8)).alias("title_hash"), (F.col("p_size") % 3 != 0).alias("tracked"), "p_brand")
+    hits = load.reuse_outcomes(jobs, _cache(t), F.expr(NOW), "v2").select("url", "hit")
+    rows = jobs.join(hits, "url")
+    counted = tables.write_counted(rows, f"{scratch(t)}/run", {"all": F.lit(True), "cached": F.col("hit"), "not_tracked": ~F.col("tracked"), "required": F.col("p_brand") == "Brand#1", "welcome": F.col("p_brand") == "Brand#2"})
+    return t.spark.createDataFrame(list(counted.items()), "counter string, n long")
+
+
 @query("run_report", "SELECT c.name AS country, CASE WHEN o_orderstatus = 'O' THEN 'open' WHEN o_orderstatus = 'P' THEN 'advantage' ELSE 'required' END AS status, o_orderpriority AS category, count(*) AS n FROM orders JOIN company co ON co.id = o_custkey JOIN country c ON c.id = co.country_id GROUP BY ALL")
 def _(t):
     co = t.company.select(F.col("id").alias("company_id"), "country_id").join(t.country.select(F.col("id").alias("country_id"), F.col("name").alias("country")), "country_id")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 
 def scan(spark: SparkSession, sf_dir: str, table: str, cols: list[str] | None = None) -> DataFrame:
@@ -13,10 +13,61 @@ def scan(spark: SparkSession, sf_dir: str, table: str, cols: list[str] | None =
     return df.select(*cols) if cols else df
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_json_landing(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON documents; what does not parse lands in _corrupt_record."""
-    fields = schema if isinstance(schema, str) else schema.simpleString()[7:-1].replace(":", " ")
-    return spark.read.schema(f"{fields}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    """JSON documents by line, with the file each is from in `source_file`; what does not parse lands in _corrupt_record."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    reader = spark.read.schema(StructType([*fields, StructField(CORRUPT, StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    return reader.json(path).withColumn("source_file", F.col("_metadata.file_path"))
+
+
+def read_xml_landing(spark: SparkSession, path: str, row_tag: str, schema: StructType | str) -> DataFrame:
+    """Rows of XML files by their tag: attributes as _name, nested elements as structs and arrays; rows that do not parse, or do not fit, in _corrupt_record."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    reader = spark.read.format("xml").schema(StructType([*fields, StructField(CORRUPT, StringType())])).option("rowTag", row_tag).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    return reader.load(path).withColumn("source_file", F.col("_metadata.file_path"))
+
+
+def land(rows: DataFrame, path: str, clean_files: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Writes rows of a landing reader in one pass and returns (what parsed, the quarantine: source_file, record).
+
+    Broken rows have a folder of their own under `path`. With `clean_files` the rows of a file with a broken one are left out of what parsed, as
+    they may be wrong as well.
+    """
+    rows.withColumn("broken", F.col(CORRUPT).isNotNull()).write.mode("overwrite").partitionBy("broken").parquet(path)
+    # the schema is told, as a folder is missing where no row is broken, or all are
+    all_ = rows.sparkSession.read.schema(StructType([*rows.schema, StructField("broken", BooleanType())])).parquet(path)
+    bad = all_.where("broken").select("source_file", F.col(CORRUPT).alias("record"))
+    good = all_.where("not broken").drop(CORRUPT, "broken")
+    return (good.join(bad.select("source_file").distinct(), "source_file", "left_anti").select(good.columns) if clean_files else good), bad
+
+
+def replace_partitions(rows: DataFrame, path: str, key: str, keys: DataFrame | None = None, parts: int = 64) -> None:
+    """Replaces all rows of the keys in `rows`, and of `keys`, in a table that is partitioned by a bucket of the key; other buckets' files stay.
+
+    The buckets of the keys are read, their other keys' rows are kept, and a dynamic overwrite puts the new files in place at the end
+    of the job. A table that is not there is made. `keys` tells keys whose new load is empty; a bucket that would be left without any
+    row keeps its files.
+    """
+    spark = rows.sparkSession
+    keys = rows.select(key) if keys is None else keys.select(key).unionByName(rows.select(key))
+    bucket = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    new = rows.withColumn("bucket", bucket)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        touched = [r.bucket for r in keys.select(bucket.alias("bucket")).distinct().collect()]  # `parts` at most
+        old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+        new = old.join(keys.distinct(), key, "left_anti").select(*new.columns).unionByName(new)
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def write_counted(rows: DataFrame, path: str, counters: dict[str, Column]) -> dict[str, int]:
+    """Writes a table and counts rows by condition in the same pass: name -> number of rows for which it holds."""
+    seen = Observation()
+    rows.observe(seen, *[F.count_if(c).alias(n) for n, c in counters.items()]).write.mode("overwrite").parquet(path)
+    return {n: int(seen.get[n]) for n in counters}
 
 
 def load_sources(sources: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from jobloom.operators.load import replace_by_key
 
@@ -51,19 +54,28 @@ def stream_net_changes(log: DataFrame) -> DataFrame:
 PARTS = 64
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system of a path, class of paths)."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    return jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.Path
+
+
 def _newest(spark: SparkSession, store: str, before: int | None = None) -> dict[int, str]:
     """Each part's newest folder of a whole version (below `before`, if given)."""
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = jvm.Path(store)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
+    fs, path = _hadoop(spark, store)
+    if not fs.exists(path(store)):
         return {}
     number = lambda p: int(p.getName().split("=")[1])
-    versions = [v.getPath() for v in fs.listStatus(root) if v.getPath().getName().startswith("version=")]
-    whole = sorted((v for v in versions if fs.exists(jvm.Path(v, "_SUCCESS")) and (before is None or number(v) < before)), key=number)
+    versions = [v.getPath() for v in fs.listStatus(path(store)) if v.getPath().getName().startswith("version=")]
+    whole = sorted((v for v in versions if fs.exists(path(v, "_SUCCESS")) and (before is None or number(v) < before)), key=number)
     return {number(p.getPath()): p.getPath().toString() for v in whole for p in fs.listStatus(v) if p.isDirectory()}
 
 
+def part_of(key: str) -> Column:
+    """The part of a keyed table that a key is in."""
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
+
 def merge_batch(rows: DataFrame, store: str, key: str, batch_id: int) -> None:
     """Replaces the batch's keys in a keyed table: the parts that hold them are written anew as version `batch_id`.
 
@@ -71,25 +83,87 @@ def merge_batch(rows: DataFrame, store: str, key: str, batch_id: int) -> None:
     deleted, as no batch that runs again reads it. A batch of no rows writes nothing.
     """
     spark = rows.sparkSession
-    part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
-    touched = [r.part for r in rows.select(part.alias("part")).distinct().collect()]  # PARTS at most
+    touched = [r.part for r in rows.select(part_of(key).alias("part")).distinct().collect()]  # PARTS at most
     if not touched:
         return
     known = _newest(spark, store, batch_id)
     old = [known[p] for p in touched if p in known]
     table = replace_by_key(spark.read.schema(rows.schema).parquet(*old), rows, key) if old else rows
-    table.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{store}/version={batch_id}")
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(store).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    table.withColumn("part", part_of(key)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{store}/version={batch_id}")
+    fs, path = _hadoop(spark, store)
     kept = set(old)
-    for v in fs.listStatus(jvm.Path(store)):
+    for v in fs.listStatus(path(store)):
         if int(v.getPath().getName().split("=")[1]) < batch_id:
             for p in touched:
-                at = jvm.Path(v.getPath(), f"part={p}")
+                at = path(v.getPath(), f"part={p}")
                 if at.toString() not in kept and fs.exists(at):
                     fs.delete(at, True)
 
 
+#: The name under a store where batches are noted that all of its tables have.
+COMMITS = "_commits"
+
+
+def commit_tables(tables: dict[str, tuple[DataFrame, str]], store: str, batch_id: int) -> None:
+    """Merges a batch into several keyed tables (name -> rows, key) under one store, then notes that it is in all of them.
+
+    Readers of `committed` see a batch in all tables or in none: it counts from the note on, which is renamed into place as the last step.
+    If a driver is lost between two tables, the version before stays readable, and the batch that runs again writes the same.
+    """
+    spark = next(iter(tables.values()))[0].sparkSession
+    for name, (rows, key) in tables.items():
+        merge_batch(rows, f"{store}/{name}", key, batch_id)
+    fs, path = _hadoop(spark, store)
+    note, draft = path(f"{store}/{COMMITS}/{batch_id}"), path(f"{store}/{COMMITS}/.{batch_id}-{uuid.uuid4().hex[:8]}")
+    fs.create(draft, True).close()
+    fs.rename(draft, note)
+    fs.delete(draft, False)  # it is still there if the note was
+
+
+def last_commit(spark: SparkSession, store: str) -> int | None:
+    """The newest batch that all tables of a store have."""
+    fs, path = _hadoop(spark, store)
+    notes = path(f"{store}/{COMMITS}")
+    names = [f.getPath().getName() for f in fs.listStatus(notes)] if fs.exists(notes) else []
+    return max((int(n) for n in names if n.isdigit()), default=None)
+
+
+def committed(spark: SparkSession, store: str, name: str) -> DataFrame:
+    """A table of a store as of its last whole batch."""
+    batch = last_commit(spark, store)
+    paths = list(_newest(spark, f"{store}/{name}", batch + 1).values()) if batch is not None else []
+    if not paths:
+        raise FileNotFoundError(f"no whole batch of {name} in {store}")
+    return spark.read.parquet(*paths)
+
+
+def stream_expiring(src: DataFrame, key: str, ts: str, ttl_seconds: int, delay: str = "0 seconds") -> DataFrame:
+    """The first record of each key, and the first again of each time that it had been told `ttl_seconds` or longer ago: (key, ts).
+
+    State is one time a key; it is dropped when the watermark has passed its end, so keys that do not come back cost nothing.
+    """
+    kind = dict(src.dtypes)[key]
+
+    def told(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists and not state.hasTimedOut else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        out = []
+        for at in sorted(t for b in batches for t in b[ts].dropna()):
+            if last is None or at.timestamp() >= last + ttl_seconds:
+                last = at.timestamp()
+                out.append(at)
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max(int((last + ttl_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame({key: [k[0]] * len(out), ts: out})
+
+    x = event_time(src, ts).select(key, ts).withWatermark(ts, delay)
+    return x.groupBy(key).applyInPandasWithState(told, f"{key} {kind}, {ts} timestamp", "last double", "append", "EventTimeTimeout")
+
+
 def load_batches(src: DataFrame, transform: Callable[[DataFrame], DataFrame], store: str, key: str, checkpoint: str, mode: str = "append"):
     """Starts a stream that replaces each micro-batch's keys in a keyed table under `store`; returns the query."""
 
@@ -131,16 +205,18 @@ def load_postings(src: DataFrame, enrich: Callable[[DataFrame], DataFrame], stor
     """Starts the postings stream: each micro-batch is normalised and classified by `enrich`, and replaces its companies' rows.
 
     Under `store` are three keyed tables: positions; snapshots, one row a company and day with the first batch's counts; changes,
-    one row a company and batch with how many ids came and went. A batch that runs again writes the same. Returns the query.
+    one row a company and batch with how many ids came and went. They are committed together (`committed` reads them), and a
+    batch that runs again writes the same. Only the parts of the batch's companies are read. Returns the query.
     """
-    import pyspark.sql.types as T
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        enrich(batch).write.mode("overwrite").parquet(f"{store}/batch")  # worked out once for all three tables
-        rows = spark.read.parquet(f"{store}/batch")
-        known = _newest(spark, f"{store}/positions", batch_id)
-        before = spark.read.schema(rows.schema).parquet(*known.values()) if known else spark.createDataFrame([], T.StructType(rows.schema.fields))
+        at = f"{store}/_batch-{batch_id}-{uuid.uuid4().hex[:8]}"
+        enrich(batch).write.parquet(at)  # worked out once for all three tables
+        rows = spark.read.parquet(at)
+        touched = {r.part for r in rows.select(part_of(key).alias("part")).distinct().collect()}  # PARTS at most
+        known = [p for part, p in _newest(spark, f"{store}/positions", batch_id).items() if part in touched]
+        before = spark.read.schema(rows.schema).parquet(*known) if known else rows.where("false")
         before = before.join(rows.select(key).distinct(), key, "left_semi")
         both = rows.select(key, "id", F.lit(1).alias("now"), F.lit(0).alias("was")).unionByName(before.select(key, "id", F.lit(0).alias("now"), F.lit(1).alias("was")))
         per = both.groupBy(key, "id").agg(F.max("now").alias("now"), F.max("was").alias("was"))
@@ -151,8 +227,8 @@ def load_postings(src: DataFrame, enrich: Callable[[DataFrame], DataFrame], stor
         old = _newest(spark, f"{store}/snapshots", batch_id)
         if old:
             facts = facts.join(spark.read.parquet(*old.values()).select("snapshot"), "snapshot", "left_anti")
-        merge_batch(changes, f"{store}/changes", "change", batch_id)
-        merge_batch(facts.select("snapshot", key, "day", "total", "english"), f"{store}/snapshots", "snapshot", batch_id)
-        merge_batch(rows, f"{store}/positions", key, batch_id)
+        commit_tables({"changes": (changes, "change"), "snapshots": (facts.select("snapshot", key, "day", "total", "english"), "snapshot"), "positions": (rows, key)}, store, batch_id)
+        fs, path = _hadoop(spark, at)
+        fs.delete(path(at), True)
 
     return src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
