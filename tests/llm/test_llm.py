@@ -581,6 +581,44 @@ def test_lines_recall(spark):
     assert len(pairs) > 120 and len(lost) <= 0.1 * len(pairs) and all(kind == "three" for *_, kind in lost), lost
 
 
+def test_lines_with_scattered_edits(spark):
+    """Letters changed, lost and put in at random over lines of the real table, up to the allowed share: at least 0.9 of the pairs end in one group."""
+    from pyspark.sql import Window as W
+
+    from jobloom.llm.common import Scratch
+    from jobloom.llm.lines import groups, normalised, occurrences, within
+
+    rnd = random.Random(7)
+    texts = [r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").select("text").collect()]
+    lines = sorted({normalised(x) for t in texts for x in t.split("\n")})
+
+    def edited(x, share):
+        x = list(x)
+        for p in rnd.sample(range(len(x)), int(share * len(x))):
+            kind = rnd.random()
+            x[p] = rnd.choice("abcdefghijklmnopqrstuvwxyz") if kind < 0.6 else "" if kind < 0.8 else x[p] + rnd.choice("abcdefghij")
+        return normalised("".join(x))
+
+    pairs = []
+    for lo, hi in ((20, 40), (40, 80), (80, 160), (160, 400), (400, 3000)):
+        pool = [x for x in lines if lo <= len(x) < hi]
+        for share in (0.01, 0.02, 0.03, 0.05, 0.08):
+            pairs += [((lo, share), x, e) for x in rnd.sample(pool, min(len(pool), 40)) if (e := edited(x, share)) and e != x and within(x, e)]
+    docs = [(i, t) for i, t in enumerate(lines)] + [(10**6 + i, e) for i, (_, _, e) in enumerate(pairs)]
+    d = spark.createDataFrame(docs, "id long, text string").repartition(4)
+    scratch = Scratch(spark, "test")
+    occ = scratch.save(occurrences(d), "occurrences")
+    named = {r.id: r.line for r in occ.select("id", "line").collect()}
+    firsts = occ.withColumn("rn", F.row_number().over(W.partitionBy("line").orderBy("id"))).where("rn = 1").select("line", "len", "bag", F.struct("id", "pos").alias("first"))
+    comps = {r.node: r.component for r in groups(occ.select("line", "id", "keys"), firsts, d, scratch).collect()}
+    at = {x: i for i, x in enumerate(lines)}
+    found = {}
+    for i, (kind, x, _) in enumerate(pairs):
+        a, b = named[at[x]], named[10**6 + i]
+        found.setdefault(kind, []).append(a == b or comps.get(a, a) == comps.get(b, b))
+    assert len(found) >= 20 and all(sum(v) >= 0.9 * len(v) for v in found.values()), {k: sum(v) / len(v) for k, v in found.items()}
+
+
 # -- mixing -----------------------------------------------------------------------------------------------------------------------
 
 
