@@ -157,6 +157,24 @@ def _(t):
     return t.raw("pages").select("page_id", k["kind"].alias("kind"), k["slug"].alias("slug"))
 
 
+#: Career urls with the company {c}; the board and whether the company's name is found on it.
+BOARD_URLS = [
+    ("https://boards.greenhouse.io/{c}/jobs/1", "greenhouse", True), ("https://boards.greenhouse.io/embed/job_board?for={c}&b=1", "greenhouse", True), ("https://job-boards.greenhouse.io/embed", None, False), ("https://jobs.lever.co/{c}", "lever", True), ("https://jobs.eu.lever.co/{c}?x=1", "lever", True),
+    ("https://jobs.ashbyhq.com/{c}/1", "ashby", True), ("https://apply.workable.com/api/v1/widget/accounts/{c}", "workable", True), ("https://apply.workable.com/{c}/j/1", "workable", True), ("https://{c}.workable.com", "workable", True), ("HTTPS://{c}.Recruitee.com/o/x#for=y", "recruitee", True),
+    ("https://{c}.wd3.myworkdayjobs.com/en-US/site", "workday", True), ("https://wd5.myworkdaysite.com/en-US/recruiting/{c}/site", "workday", True), ("https://www.careers.{c}.com/jobs", None, True), ("no url {c}", None, False),
+]
+_BOARDS = ", ".join(f"({i}, {'NULL' if kind is None else repr(kind)}, {str(named).lower()}, {str('eu.lever' in u).lower()})" for i, (u, kind, named) in enumerate(BOARD_URLS))
+
+
+@query("url_job_board", f"SELECT c_custkey AS id, kind, CASE WHEN named THEN 'co-' || c_custkey WHEN k = 2 THEN 'greenhouse' END AS slug, eu FROM customer JOIN (VALUES {_BOARDS}) v(k, kind, named, eu) ON k = c_custkey % {len(BOARD_URLS)}")
+def _(t):
+    from jobloom.sources.items import job_board
+
+    form = F.get(F.array(*[F.lit(u) for u, *_ in BOARD_URLS]), (F.col("c_custkey") % len(BOARD_URLS)).cast("int"))
+    board = job_board(F.replace(form, F.lit("{c}"), F.concat(F.lit("co-"), "c_custkey")))
+    return t.raw("customer").select(F.col("c_custkey").alias("id"), board["kind"].alias("kind"), board["slug"].alias("slug"), board["eu"].alias("eu"))
+
+
 @query("host_slug", f"WITH h AS (SELECT page_id, string_split({HOST}, '.') AS l FROM pages) SELECT page_id, l[len(l) - 1] AS slug FROM h")
 def _(t):
     return t.raw("pages").select("page_id", C.host_slug(C.host(F.col("url"))).alias("slug"))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.columns import decode_entities, host, path, slug_ascii, slug_keep
+from jobloom.functions.columns import decode_entities, host, host_slug, path, slug_ascii, slug_keep
 
 
 def _json_path(dotted: str) -> str:
@@ -83,3 +83,37 @@ def source_kind(url: Column, rules: list[tuple[str, str, str]]) -> Column:
     for kind, host_re, path_re in reversed(rules):
         out = F.when(h.rlike(host_re), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(p, path_re, 1).alias("slug"))).otherwise(out)
     return out
+
+
+# Hosts of job boards (whole, or the end of one after the company's name), and where the company's name stands:
+# in the path's first part, in the host, in a parameter, or behind a part of the path.
+BOARD_HOSTS = [
+    ("greenhouse", "boards.greenhouse.io", "for, else path"), ("greenhouse", "job-boards.greenhouse.io", "for, else path"), ("lever", "jobs.lever.co", "path"), ("lever", "jobs.eu.lever.co", "path"), ("ashby", "jobs.ashbyhq.com", "path"),
+    ("workable", "apply.workable.com", "accounts, else path"), ("workable", ".workable.com", "host"), ("recruitee", ".recruitee.com", "host"), ("workday", ".myworkdayjobs.com", "first label"), ("workday", ".myworkdaysite.com", "recruiting, else first label"),
+]
+# First parts of a path that are no company, and the one host that is in Europe.
+NO_COMPANY, EU_HOST = ("embed", "api"), "jobs.eu.lever.co"
+# Own hosts of companies that are on a board under another name.
+BOARD_OF_HOST = {"ouraring.com": ("greenhouse", "oura"), "alpha-sense.com": ("greenhouse", "alphasense"), "deptagency.com": ("greenhouse", "dept")}
+
+
+def job_board(url: Column, own_hosts: dict[str, tuple[str, str]] | None = None) -> Column:
+    """Struct (kind, slug, eu): the job board of a career url and the company's name on it; without a board kind is null and slug the host's.
+
+    `own_hosts` are hosts of companies that are on a board under a name. A rule whose slug is missing does not hold, the next that fits does.
+    A null url, or one without a host, has nulls.
+    """
+    h, p = F.nullif(F.regexp_replace(host(url), r"^www\.", ""), F.lit("")), path(url)
+    some = lambda c: F.nullif(c, F.lit(""))
+    first = some(F.regexp_extract(p, r"^/([^/]+)", 1))
+    behind = lambda part: some(F.regexp_extract(p, rf"/{part}/([^/]+)", 1))
+    where = {
+        "path": F.when(~first.isin(*NO_COMPANY), first), "host": some(F.regexp_extract(h, r"^(.+)\.[^.]+\.[^.]+$", 1)), "first label": some(F.substring_index(h, ".", 1)),
+        "for": some(F.regexp_extract(url, r"[?&]for=([^&#]+)", 1)), "accounts": some(F.regexp_extract(p, r"^/api/v1/widget/accounts/([^/]+)", 1)), "recruiting": behind("recruiting"),
+    }
+    board = lambda kind, slug: F.struct(F.lit(kind).cast("string").alias("kind"), slug.alias("slug"), F.coalesce(h == EU_HOST, F.lit(False)).alias("eu"))
+    rules = [F.when(h == own, board(kind, F.lit(slug))) for own, (kind, slug) in (BOARD_OF_HOST if own_hosts is None else own_hosts).items()]
+    for kind, end, said in BOARD_HOSTS:
+        slug = F.coalesce(*[where[w.strip()] for w in said.split(", else ")])
+        rules.append(F.when((F.endswith(h, F.lit(end)) if end.startswith(".") else h == end) & slug.isNotNull(), board(kind, slug)))
+    return F.coalesce(*rules, board(None, host_slug(h)))
