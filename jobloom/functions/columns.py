@@ -116,7 +116,7 @@ def alternation(terms: list[str]) -> str:
 
 def drop_sections(text: Column, headings: list[str]) -> Column:
     """Drops sections (blank-line separated) whose first line starts with one of the headings."""
-    return F.regexp_replace(text, rf"(?is)(?:^|\n\n)[ ]*(?:{alternation(headings)})[^\n]*(?:\n(?!\n)[^\n]*)*", "")
+    return F.regexp_replace(text, rf"(?is)(?:^|\n\n)[ ]*(?:{alternation(headings)})[^\n]*(?:\n(?!\n)[^\n]*)*+", "")
 
 
 def strip_terms(text: Column, terms: list[str]) -> Column:

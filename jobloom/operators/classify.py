@@ -60,19 +60,14 @@ def extract_skills(texts: DataFrame, key: str, text: str, skills: DataFrame) ->
     return once.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("skill_no", "name"))), lambda s: s["name"]).alias("skills"))
 
 
-def _forms(heads: str, tails: str) -> list[str]:
-    """All phrases of a head and a tail; alternatives are parted by commas."""
-    return [f"{h.strip()} {t.strip()}" for h in heads.split(",") for t in tails.split(",")]
-
-
 # What each level of education is called, lowest level first. A full stop may be left out, a space is any white space.
 EDUCATION = {
-    "vocational": [*_forms("vocational", "qualification, degree, education, certificate, diploma"), *_forms("vocational training", "qualification, program, programme, certificate, degree"), "apprenticeship", *_forms("trade", "school, qualification, certificate"), "technical degree"],
-    "bachelor": ["bachelor", "bachelors", "bachelor's", "b.sc.", "b.s.", "b.a.", *_forms("undergraduate, university, college, academic", "degree"), "a degree in", "higher education"],
-    "master": ["master's", "masters", *_forms("master", "degree, of science, of arts, of engineering, of laws"), "m.sc.", "m.s.", "m.a.", *_forms("graduate, postgraduate", "degree")],
+    "vocational": ["vocational qualification", "vocational degree", "vocational education", "vocational certificate", "vocational diploma", "vocational training qualification", "vocational training program", "vocational training programme", "vocational training certificate", "vocational training degree", "apprenticeship", "trade school", "trade qualification", "trade certificate", "technical degree"],
+    "bachelor": ["bachelor", "bachelors", "bachelor's", "b.sc.", "b.s.", "b.a.", "undergraduate degree", "university degree", "college degree", "academic degree", "a degree in", "higher education"],
+    "master": ["master's", "masters", "master degree", "master of science", "master of arts", "master of engineering", "master of laws", "m.sc.", "m.s.", "m.a.", "graduate degree", "postgraduate degree"],
     "mba": ["mba", "master of business administration"],
-    "phd": ["ph.d.", "doctorate", "doctoral degree", *_forms("doctor", "of philosophy, of science, of engineering")],
-}
+    "phd": ["ph.d.", "doctorate", "doctoral degree", "doctor of philosophy", "doctor of science", "doctor of engineering"],
+}
 ASCII_WORD = "A-Za-z0-9_"
 
 
@@ -92,7 +87,7 @@ def education_floor(text: Column, levels: dict[str, list[str]] = EDUCATION) -> C
 
 
 #: What a text says that stands where a title would, but is none.
-PLACEHOLDERS = ["loading", "coming soon", "there are no", *_forms("no, no current, no open", "openings, positions, vacancies, roles"), "sign in", "signin", "log in", "login", "log out", "logout", "subscribe", "newsletter"]
+PLACEHOLDERS = ["loading", "coming soon", "there are no", "no openings", "no positions", "no vacancies", "no roles", "no current openings", "no current positions", "no current vacancies", "no current roles", "no open openings", "no open positions", "no open vacancies", "no open roles", "sign in", "signin", "log in", "login", "log out", "logout", "subscribe", "newsletter"]
 
 
 def valid_title(title: Column) -> Column:

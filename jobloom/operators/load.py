@@ -182,10 +182,10 @@ def apply_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def split_valid(df: DataFrame, rules: dict[str, Column], strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def split_valid(df: DataFrame, rules: dict[str, Column], strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Accepted rows, and rejected rows with their violations; one pass each over the same plan.
 
-    With `strict`, rows that are all rejected are an error.
+    Rows that are all rejected are an error, which takes a look at them; without `strict` they are told as the others.
     """
     x = df.withColumn("violations", violations(rules))
     if strict and not x.isEmpty() and x.where(F.size("violations") == 0).isEmpty():

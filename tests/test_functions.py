@@ -65,7 +65,7 @@ def test_prune_unmatched_list_is_an_error(spark):
         load.prune_children(target, target.select("parent"), spark.createDataFrame([("a", 9)], "parent string, child int"), "parent", "child")
     rows = spark.createDataFrame([(None,)], "title string")
     with pytest.raises(ValueError):
-        load.split_valid(rows, {"title": F.col("title").isNotNull()}, strict=True)
+        load.split_valid(rows, {"title": F.col("title").isNotNull()})
 
 
 def test_row_numbers_keep_nulls_and_split_ties(spark):
