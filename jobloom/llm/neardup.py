@@ -399,7 +399,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, of one document of each component: least id, and of its texts the head's.
 
     Documents are told apart by id and text: rows that agree in both are one document, and rows of one id with other texts go
-    or stay by their own text. Rows without an id or without words stay. Columns of any other name are kept as they are.
+    or stay by their own text. Rows without an id or without words stay. Columns of any other name are kept as they are. Ids are
+    whole numbers, also as text; any other text is an error of the cast.
     """
     gone = linked(docs.select("doc_id", "text")).where(~F.col("stays")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"))

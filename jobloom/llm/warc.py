@@ -172,6 +172,7 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> D
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back; a null html is an empty payload, see `write_warc` for null and repeated ids."""
     folder = Scratch(spark, "warc").path("archive")
     write_warc(table(spark, sf_dir, "pages"), folder)
     return read_warc(spark, folder)
