@@ -51,7 +51,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`. Every stage takes repeated rows, null columns, empty tables and further columns as its operator says."""
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name.replace("-", "_"))
+        if before is not None:  # the next stage is written: nothing reads it any more
+            scratch.drop(before)
+        before = docs
     return docs
