@@ -129,6 +129,27 @@ def build_lang_profile(docs: DataFrame, top: int = 400) -> DataFrame:
     return ranked.join(totals, "lang")
 
 
+def title_words(docs: DataFrame, english: str = "en", top: int = 300, least: int = 3, letters: int = 3) -> DataFrame:
+    """(lang, word): of each language but English the most frequent words of labelled texts (lang, text) that English ones do not have.
+
+    Words are runs of at least `letters` letters that occur `least` times or more; ties by word. The table is top x languages rows.
+    """
+    per = text_words(docs, ["lang"], "text").where(F.length("word") >= letters).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    own = per.where((F.col("lang") != english) & (F.col("n") >= least)).join(per.where(F.col("lang") == english).select("word"), "word", "left_anti")
+    ranked = own.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    return ranked.where(F.col("rn") <= top).select("lang", "word")
+
+
+def title_language(titles: DataFrame, key: str, title: str, words: DataFrame) -> DataFrame:
+    """(key, lang): the language that most distinct words of a title belong to (ties by name); titles without such a word are left out.
+
+    Words meet the dictionary as an equi-join, whatever its size.
+    """
+    w = text_words(titles, [key], title).distinct()
+    hits = w.join(words, "word").groupBy(key, "lang").agg(F.count("*").alias("n"))
+    return hits.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("lang"))
+
+
 def detect_lang(texts: DataFrame, key: list[str], text: str, profile: DataFrame) -> DataFrame:
     """(keys, detected): the language whose profile gives a text's trigrams the highest sum of weights, ties by name.
 

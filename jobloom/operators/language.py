@@ -135,7 +135,8 @@ def paragraph_languages(jobs: DataFrame, profile: DataFrame, key: str = "id") ->
 def detect_language_requirement(jobs: DataFrame, profile: DataFrame | None = None, key: str = "id", forms: Forms | None = None, title_words: list[str] | None = None) -> DataFrame:
     """(key, country_code, value, advantage, required, preferred, phase, matched) for (key, country_code, title, description) rows.
 
-    `forms` are the phrases around a language, `title_words` words that show a title to be in another language. With a language
+    `forms` are the phrases around a language, `title_words` words that show a title to be in another language (`classify.title_words`
+    makes such a list of labelled texts). With a language
     profile, paragraphs are identified too (1c and 1c-any); the original uses a third-party model there, so these phases need
     not agree with it. Texts of any length are read whole, in time proportional to it; a null title or description is empty.
     """

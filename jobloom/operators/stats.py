@@ -232,3 +232,12 @@ def sort_grid(df: DataFrame, field: str, descending: bool = False) -> DataFrame:
     kind = dict(df.dtypes)[field]
     c = F.collate(F.col(field), "UNICODE") if kind == "string" else F.col(field)
     return df.orderBy(c.desc() if descending else c.asc(), F.asc("id"))
+
+
+def run_report(positions: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., status, n): the positions of a run by what is asked of language: open, advantage or required.
+
+    Counters of the run itself (skipped, cached, phases) come with the pass that writes it: `sources.tables.write_counted`.
+    """
+    status = F.when(F.col("local_language_advantage"), "advantage").when(F.col("requires_native_language"), "required").otherwise("open")
+    return positions.groupBy(*by, status.alias("status")).agg(F.count("*").alias("n"))

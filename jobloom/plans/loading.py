@@ -168,9 +168,8 @@ def _(t):
 @query("run_report", "SELECT c.name AS country, CASE WHEN o_orderstatus = 'O' THEN 'open' WHEN o_orderstatus = 'P' THEN 'advantage' ELSE 'required' END AS status, o_orderpriority AS category, count(*) AS n FROM orders JOIN company co ON co.id = o_custkey JOIN country c ON c.id = co.country_id GROUP BY ALL")
 def _(t):
     co = t.company.select(F.col("id").alias("company_id"), "country_id").join(t.country.select(F.col("id").alias("country_id"), F.col("name").alias("country")), "country_id")
-    status = F.when(F.col("local_language_advantage"), "advantage").when(F.col("requires_native_language"), "required").otherwise("open")
     x = t.position.join(t.category.select(F.col("id").alias("category_id"), F.col("name").alias("category")), "category_id").join(co, "company_id")
-    return x.groupBy("country", status.alias("status"), "category").agg(F.count("*").alias("n"))
+    return stats.run_report(x, ["country", "category"])
 
 
 @query(

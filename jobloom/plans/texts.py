@@ -115,6 +115,29 @@ def _(t):
     return classify.detect_lang(d, ["doc_id"], "text", classify.build_lang_profile(d))
 
 
+SQL_WORDS = """w AS (SELECT doc_id, lang, w AS word FROM (SELECT doc_id, lang, unnest(string_split(trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')), ' ')) AS w FROM documents) WHERE length(w) >= 3),
+per AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL),
+words AS (SELECT lang, word FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rn FROM per WHERE lang <> 'en' AND n >= 3 AND word NOT IN (SELECT word FROM per WHERE lang = 'en')) WHERE rn <= 300)"""
+
+
+@query("title_words", f"WITH {SQL_WORDS} SELECT * FROM words")
+def _(t):
+    return classify.title_words(t.raw("documents", "lang", "text"))
+
+
+@query(
+    "title_language",
+    f"""WITH {SQL_WORDS}, p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
+tw AS (SELECT DISTINCT page_id, unnest(string_split(trim(regexp_replace(lower(title), '[^\\p{{L}}]+', ' ', 'g')), ' ')) AS word FROM p),
+h AS (SELECT page_id, lang, count(*) AS n FROM tw JOIN words USING (word) GROUP BY ALL)
+SELECT page_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, lang) AS rn FROM h) WHERE rn = 1""",
+)
+def _(t):
+    """Titles of pages by words that labelled documents show to be another language's."""
+    titles = t.raw("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return classify.title_language(titles, "page_id", "title", classify.title_words(t.raw("documents", "lang", "text")))
+
+
 LETTERS = "äöüßÄÖÜéèêàçñáíóú"
 
 

@@ -210,3 +210,12 @@ def test_classify_prefers_html_and_leaves_names_out(spark):
     jobs_ = spark.createDataFrame(rows, "id long, country_code string, title string, description string, description_html string, classifier_title string, company string").withColumns({"function": F.lit(None).cast("string"), "requires_native_language": F.lit(None).cast("boolean")})
     out = {r.id: (r.category, r.required_languages, r.phase, r.skills) for r in language.classify_postings(jobs_, k, s, place_names=["Malmö", "Oslo"]).collect()}
     assert out == {1: ("data", ["German"], "2a", []), 2: ("other", [], "2c", []), 3: ("other", [], "2c", []), 4: ("other", [], "2c", [])}
+
+
+def test_title_words_of_labelled_texts(spark):
+    docs = spark.createDataFrame([("de", "Der Entwickler und der Leiter im Team " * 3), ("en", "The team lead in Berlin im"), ("fr", "le développeur senior " * 4), ("de", None), (None, "x y z")], "lang string, text string")
+    words = classify.title_words(docs)
+    assert sorted((r.lang, r.word) for r in words.collect()) == [("de", "der"), ("de", "entwickler"), ("de", "leiter"), ("de", "und"), ("fr", "développeur"), ("fr", "senior")]
+    titles = spark.createDataFrame([(1, "Leiter und Entwickler (Senior)"), (2, "Senior team lead"), (3, None), (4, "Team"), (5, "Der Senior")], "id long, title string")
+    assert sorted((r.id, r.lang) for r in classify.title_language(titles, "id", "title", words).collect()) == [(1, "de"), (2, "fr"), (5, "de")]
+    assert classify.title_words(docs, top=1).count() == 2 and classify.title_language(titles.where("false"), "id", "title", words).count() == 0
