@@ -192,6 +192,15 @@ def test_scanner_cases(spark):
     assert out == {i: p for i, (_, p) in enumerate(FORM_CASES)}
 
 
+def test_names_of_languages_begin_a_word():
+    """A word that holds a name's letters further on names no language; a word may go on behind a name."""
+    said = lambda text, country: language.read_signals(text, country)
+    for text in ("depending on the location you speak german. reestion and aanbleesti", "depending on your location: heesti"):
+        assert not (said(text, "EE") or {}).get("conditional"), text
+    assert said("depending on the location you speak eesti", "EE")["conditional"] and said("depending on location: deutschkenntnisse", "DE")["conditional"]
+    assert said("depending on location, 流利的日本語", "JP")["conditional"] and said("depending on location (בעברית)", "IL")["conditional"]
+
+
 def test_language_texts_of_a_megabyte(spark):
     """Texts that patterns with backtracking or recursion cannot read."""
     texts = ["word, and " * 120_000, "german, " * 130_000, "in addition to x or " * 50_000, "a/b skills " * 90_000, "and a, " * 150_000 + ": fluency is required for all the languages", "x" * 1_200_000, "(german) " * 120_000 + "is a plus", "local language " * 70_000]
