@@ -192,6 +192,26 @@ def test_scanner_cases(spark):
     assert out == {i: p for i, (_, p) in enumerate(FORM_CASES)}
 
 
+def test_sentences_far_from_any_name_are_passed_over(monkeypatch):
+    """What a text says is the same whether all of its words are read or the sentences around names alone; the rest makes no words."""
+    import random
+
+    from jobloom.operators import signals as s
+
+    rnd = random.Random(3)
+    forms = [f.replace("{g}", "nordic") for f in (*s.REQUIRED[::7], *s.WELCOME, *s.GENERIC, *s.GROUP_WELCOME["nordic"][::3], *s.GROUP_REQUIRED["nordic"])]
+    forms += ["Local language skills at work are a plus", "Knowledge of additional EU languages is a plus", "Your local language ({l})", "In addition to a, b or {l}", "Danish, {l}, and English: Full fluency is required for all three languages", "{l} or English, depending on your location", "Bonus points if you speak {l}", "{l}, " * 60 + "or Danish a bonus"]
+    filler = lambda: " ".join(rnd.choice(["we", "build", "node.js", "a/b", "x +", "e.g.", "things, all:", "or", "and/or", "done."]) for _ in range(rnd.choice([0, 5, 90, 200])))
+    texts = [s.one_line(None, " ".join(filler() + rnd.choice([". ", " ", "\n"]) + rnd.choice(forms).replace("{l}", rnd.choice(["german", "Finnish", "danish"])) + rnd.choice([". ", ", ", " "]) for _ in range(rnd.randint(1, 4))) + filler()) for _ in range(1500)]
+    countries = [rnd.choice(["DE", "FI", "DK", "US"]) for _ in texts]
+    got = [language.read_signals(*x) for x in zip(texts, countries, strict=True)]
+    monkeypatch.setattr(s, "MARGIN", 10**9)
+    assert got == [language.read_signals(*x) for x in zip(texts, countries, strict=True)] and sum(g is not None for g in got) > 1400
+    monkeypatch.undo()
+    r = language._reader(None).read("we build. " * 50_000 + "must speak german. " + "we build. " * 50_000)
+    assert r.requirements() == {"german": ("required", "must speak german")} and len(r.tokens) < 300
+
+
 def test_names_of_languages_begin_a_word():
     """A word that holds a name's letters further on names no language; a word may go on behind a name."""
     said = lambda text, country: language.read_signals(text, country)
