@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,24 +110,57 @@ def drop_placeholder(df: DataFrame, text: Column, least: int = 30) -> DataFrame:
 
 def text_words(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """(keep, word): one row a run of letters, lower-cased."""
-    clean = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
-    return df.select(*keep, F.explode(F.split(clean, " ")).alias("word")).where("word <> ''")
+    return df.select(*keep, F.explode(F.split(letters_only(F.col(text)), " ")).alias("word")).where("word <> ''")
 
 
-def grams(words: DataFrame, keep: list[str], n: int = 3) -> DataFrame:
-    """(keep, gram): the character n-grams of each word with a space before and after it.
+#: Characters of texts whose trigrams are counted at once.
+BATCH_CHARS = 400_000
 
-    Words are cut, not texts: to find a place in a long text takes as long as the text.
-    """
-    padded = F.concat(F.lit(" "), "word", F.lit(" "))
-    pieces = F.transform(F.sequence(F.lit(1), F.length("word") + (3 - n)), lambda i: F.substring(padded, i, n))
-    return words.select(*keep, F.explode(pieces).alias("gram"))
+
+def letters_only(text: Column) -> Column:
+    """A text's words (runs of letters, lower-cased) with single spaces between them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
+
+
+def _code_points(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, code points, row of each) of some rows at once: " words " of each text, a line feed between two texts."""
+    begin, some, size = 0, [], 0
+    for i in range(len(texts) + 1):
+        if i == len(texts) or size > BATCH_CHARS:
+            if some:
+                cp = np.frombuffer("\n".join(some).encode("utf-32-le"), np.uint32)
+                yield begin, cp, np.repeat(np.arange(len(some)), [len(x) + 1 for x in some])[: len(cp)]
+            begin, some, size = i, [], 0
+        if i < len(texts):
+            some.append(f" {texts[i].as_py() or ''} ")
+            size += len(some[-1])
+
+
+def count_grams(docs: DataFrame, lang: str, text: str) -> DataFrame:
+    """(lang, gram, n): how often each trigram of a word with a space before and after it stands in a language's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, which = np.unique(np.array(b.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True) if len(b) else ([], None)
+            for begin, cp, row in _code_points(b.column(1)):
+                x = cp.astype(np.uint64)
+                code = (x[:-2] << np.uint64(42)) | (x[1:-1] << np.uint64(21)) | x[2:]
+                inside = (cp[1:-1] != 32) & (cp[:-2] != 10) & (cp[1:-1] != 10) & (cp[2:] != 10)
+                of = which[begin + row[:-2]]
+                for k in np.unique(of):
+                    found, n = np.unique(code[inside & (of == k)], return_counts=True)
+                    three = np.stack([found >> np.uint64(42), found >> np.uint64(21) & np.uint64(0x1FFFFF), found & np.uint64(0x1FFFFF)], 1).astype(np.uint32)
+                    said = three.tobytes().decode("utf-32-le")
+                    grams = [said[i : i + 3] for i in range(0, len(said), 3)]
+                    yield pa.RecordBatch.from_arrays([pa.array([str(names[k])] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+    parts = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), letters_only(F.col(text)).alias("t")).where("t <> ''").mapInArrow(run, "lang string, gram string, n long")
+    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def build_lang_profile(docs: DataFrame, top: int = 400) -> DataFrame:
     """(lang, gram, n, total): each language's most frequent trigrams in labelled text (ties by gram) and their share's base."""
-    words = text_words(docs, ["lang"], "text").groupBy("lang", "word").agg(F.count("*").alias("k"))
-    per = grams(words, ["lang", "k"]).groupBy("lang", "gram").agg(F.sum("k").alias("n"))
+    per = count_grams(docs, "lang", "text")
     totals = per.groupBy("lang").agg(F.sum("n").alias("total"))
     ranked = per.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rn") <= top).drop("rn")
     return ranked.join(totals, "lang")
@@ -150,18 +187,56 @@ def title_language(titles: DataFrame, key: str, title: str, words: DataFrame) ->
     return hits.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("lang"))
 
 
+def gram_scores(text: Column, weights: list[tuple[str, str, int]], langs: list[str]) -> Column:
+    """Array of a text's sums of weights by language, in the order of `langs`; null for one that shares no trigram with the text.
+
+    `weights` has (lang, gram, weight). Arrow batches; a text's places are looked up in one table of trigrams.
+    """
+    letters = sorted({ord(c) for _, g, _ in weights for c in g})
+    grams = sorted({g for _, g, _ in weights})
+    size = len(letters) + 1
+    number = {c: i + 1 for i, c in enumerate(letters)}
+    codes = sorted(((number[ord(g[0])] * size + number[ord(g[1])]) * size + number[ord(g[2])], g) for g in grams)
+    at = {g: i for i, (_, g) in enumerate(codes)}
+    table = np.zeros((2, len(grams), len(langs)), np.int64)  # weights, and whether a language has the trigram
+    for lang, g, w in weights:
+        table[:, at[g], langs.index(lang)] += (w, 1)
+    keys = np.array([c for c, _ in codes], np.int64)
+
+    @F.arrow_udf("array<bigint>")
+    def score(texts: pa.Array) -> pa.Array:
+        letter = np.zeros(0x110000, np.int64)
+        letter[letters] = np.arange(1, size)
+        out = np.zeros((2, len(texts), len(langs)), np.int64)
+        for begin, cp, row in _code_points(texts) if len(keys) else ():
+            a = letter[cp]
+            code = (a[:-2] * size + a[1:-1]) * size + a[2:]
+            some = np.flatnonzero((a[:-2] > 0) & (a[1:-1] > 0) & (a[2:] > 0))
+            k = np.minimum(np.searchsorted(keys, code[some]), len(keys) - 1)
+            hit = keys[k] == code[some]
+            k, of = k[hit], row[some[hit]]
+            if len(of):
+                first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                out[:, begin + of[first]] = np.add.reduceat(table[:, k], first, axis=1)
+        values = pa.array(out[0].ravel(), mask=out[1].ravel() == 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(langs), pa.int32()), values)
+
+    return score(text)
+
+
 def detect_lang(texts: DataFrame, key: list[str], text: str, profile: DataFrame) -> DataFrame:
     """(keys, detected): the language whose profile gives a text's trigrams the highest sum of weights, ties by name.
 
     A trigram of a profile weighs its share of the language in millionths; texts that share no trigram with any profile are
-    left out. The profile is top x languages rows.
+    left out. The profile is top x languages rows, which the tasks get as they are.
     """
-    p = profile.select("lang", "gram", F.floor(F.col("n") * 1_000_000 / F.col("total")).cast("long").alias("w"))
-    # a text's grams are weighed where they are read: only one partial sum a text and language moves
-    hits = grams(text_words(texts, key, text), key).join(p, "gram")
-    scores = hits.groupBy(*key, "lang").agg(F.sum("w").alias("score"))
-    best = scores.withColumn("rn", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("score"), "lang"))).where("rn = 1")
-    return best.select(*key, F.col("lang").alias("detected"))
+    weights = [tuple(r) for r in profile.select("lang", "gram", F.floor(F.col("n") * 1_000_000 / F.col("total")).cast("long")).collect()]
+    langs = sorted({lang for lang, _, _ in weights})
+    # a text's grams are weighed where they are read: one row a text moves
+    scores = texts.select(*key, gram_scores(letters_only(F.col(text)), weights, langs).alias("s"))
+    per = scores.groupBy(*key).agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(len(langs))]).cast("array<bigint>").alias("s"))
+    place = F.array_position("s", F.array_max("s"))  # the first of equal ones
+    return per.select(*key, F.get(F.array(*map(F.lit, langs)).cast("array<string>"), (place - 1).cast("int")).alias("detected")).where("detected is not null")
 
 
 def native_char_count(text: Column, letters: str) -> Column:

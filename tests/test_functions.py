@@ -192,6 +192,24 @@ def test_scanner_cases(spark):
     assert out == {i: p for i, (_, p) in enumerate(FORM_CASES)}
 
 
+def test_trigrams_are_counted_where_texts_are_read(spark):
+    """One row a text and language leaves the reading of texts, not one a trigram; rows of one key count together, ties go by name."""
+    docs = spark.createDataFrame([("en", "The cat, the hat"), ("de", "Die Katze"), ("de", None), ("de", "12 !"), (None, "die"), ("xx", "the 𝔘𝔫𝔦 Ⅳ")], "lang string, text string")
+    want: dict = {}
+    for lang, text in (("en", "the cat the hat"), ("de", "die katze"), ("xx", "the 𝔘𝔫𝔦")):
+        for w in text.split():
+            for i in range(len(w)):
+                want[lang, f" {w} "[i : i + 3]] = want.get((lang, f" {w} "[i : i + 3]), 0) + 1
+    profile = classify.build_lang_profile(docs)
+    assert {(r.lang, r.gram): r.n for r in profile.collect()} == want
+    rows = [(1, "cat"), (2, "Katze"), (3, "the"), (4, ""), (5, None), (6, "qqq"), (7, "die"), (7, "the the the the the the cat"), (8, "x" * 900_000 + " katze")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    got = classify.detect_lang(texts, ["id"], "text", profile)
+    assert {r.id: r.detected for r in got.collect()} == {1: "en", 2: "de", 3: "en", 7: "en", 8: "de"}
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert classify.detect_lang(texts, ["id"], "text", profile.where("false")).count() == 0
+
+
 def test_sentences_far_from_any_name_are_passed_over(monkeypatch):
     """What a text says is the same whether all of its words are read or the sentences around names alone; the rest makes no words."""
     import random
