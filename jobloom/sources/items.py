@@ -103,17 +103,29 @@ def job_board(url: Column, own_hosts: dict[str, tuple[str, str]] | None = None)
     `own_hosts` are hosts of companies that are on a board under a name. A rule whose slug is missing does not hold, the next that fits does.
     A null url, or one without a host, has nulls.
     """
-    h, p = F.nullif(F.regexp_replace(host(url), r"^www\.", ""), F.lit("")), path(url)
+    # each value is bound to a name before the next uses it: written out in one another they grow to thousands of calls a row
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
     some = lambda c: F.nullif(c, F.lit(""))
-    first = some(F.regexp_extract(p, r"^/([^/]+)", 1))
-    behind = lambda part: some(F.regexp_extract(p, rf"/{part}/([^/]+)", 1))
-    where = {
-        "path": F.when(~first.isin(*NO_COMPANY), first), "host": some(F.regexp_extract(h, r"^(.+)\.[^.]+\.[^.]+$", 1)), "first label": some(F.substring_index(h, ".", 1)),
-        "for": some(F.regexp_extract(url, r"[?&]for=([^&#]+)", 1)), "accounts": some(F.regexp_extract(p, r"^/api/v1/widget/accounts/([^/]+)", 1)), "recruiting": behind("recruiting"),
-    }
-    board = lambda kind, slug: F.struct(F.lit(kind).cast("string").alias("kind"), slug.alias("slug"), F.coalesce(h == EU_HOST, F.lit(False)).alias("eu"))
-    rules = [F.when(h == own, board(kind, F.lit(slug))) for own, (kind, slug) in (BOARD_OF_HOST if own_hosts is None else own_hosts).items()]
-    for kind, end, said in BOARD_HOSTS:
-        slug = F.coalesce(*[where[w.strip()] for w in said.split(", else ")])
-        rules.append(F.when((F.endswith(h, F.lit(end)) if end.startswith(".") else h == end) & slug.isNotNull(), board(kind, slug)))
-    return F.coalesce(*rules, board(None, host_slug(h)))
+
+    def places(url: Column) -> Column:
+        h, p = F.regexp_replace(host(url), r"^www\.", ""), path(url)
+        return bound(F.struct(url.alias("url"), h.alias("h"), p.alias("p")), lambda x: F.struct(x["url"].alias("url"), some(x["h"]).alias("h"), x["p"].alias("p"), some(F.regexp_extract(x["p"], r"^/([^/]+)", 1)).alias("first")))
+
+    def names(x: Column) -> Column:
+        url, h, p, first = x["url"], x["h"], x["p"], x["first"]
+        where = {
+            "path": F.when(~first.isin(*NO_COMPANY), first), "host": some(F.regexp_extract(h, r"^(.+)\.[^.]+\.[^.]+$", 1)), "first label": some(F.substring_index(h, ".", 1)), "for": some(F.regexp_extract(url, r"[?&]for=([^&#]+)", 1)),
+            "accounts": some(F.regexp_extract(p, r"^/api/v1/widget/accounts/([^/]+)", 1)), "recruiting": some(F.regexp_extract(p, r"/recruiting/([^/]+)", 1)),
+        }
+        return bound(F.struct(h.alias("h"), *[c.alias(n) for n, c in where.items()]), board_of)
+
+    def board_of(x: Column) -> Column:
+        h = x["h"]
+        board = lambda kind, slug: F.struct(F.lit(kind).cast("string").alias("kind"), slug.alias("slug"), F.coalesce(h == EU_HOST, F.lit(False)).alias("eu"))
+        rules = [F.when(h == own, board(kind, F.lit(slug))) for own, (kind, slug) in (BOARD_OF_HOST if own_hosts is None else own_hosts).items()]
+        for kind, end, said in BOARD_HOSTS:
+            slug = F.coalesce(*[x[w.strip()] for w in said.split(", else ")])
+            rules.append(F.when((F.endswith(h, F.lit(end)) if end.startswith(".") else h == end) & slug.isNotNull(), board(kind, slug)))
+        return F.coalesce(*rules, board(None, host_slug(h)))
+
+    return bound(bound(url, places), names)

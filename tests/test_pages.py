@@ -86,3 +86,13 @@ def test_work_modes_of_places(spark):
     d = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "id long, x string")
     got = [r.y for r in d.select("id", location.without_work_mode(F.col("x")).alias("y")).orderBy("id").collect()]
     assert got == ["Oslo", "Berlin", "Rome", "Remote", "X", "Baden-Baden - Hybrid", "Paris (12e)", "Remote", "Mid-level - Rome", None]
+
+
+def test_job_board_of_a_url_is_read_once(spark):
+    """What a rule uses is bound to a name: the host is not read anew for each rule that asks for it."""
+    from jobloom.sources.items import job_board
+
+    d = spark.createDataFrame([(1, "https://www.ouraring.com/x"), (2, "https://apply.workable.com/"), (3, None), (4, "https://jobs.eu.lever.co/api/x"), (5, "https://b.c.myworkdaysite.com/recruiting/acme")], "id int, url string")
+    x = d.select("id", job_board(F.concat("url", F.lit(""))).alias("b"))
+    assert {r.id: tuple(r.b) for r in x.collect()} == {1: ("greenhouse", "oura", False), 2: ("workable", "apply", False), 3: (None, None, False), 4: (None, "lever", True), 5: ("workday", "acme", False)}
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") < 20
