@@ -52,15 +52,16 @@ def _(t):
     """XML files by the reader: attributes, nested and repeated elements. A file that does not parse is kept apart whole; where references
     that XML does not allow are the cause, it is repaired and read again."""
     root, k = scratch(t), F.col("s_suppkey")
+    # a file holds about a thousand jobs, however many there are
+    pages = F.pmod(F.xxhash64(k), F.lit(max(1, t.raw("supplier").count() // 60_000))).alias("page")
     name = F.when(k % 6 == 5, F.concat("s_name", F.lit("&#7;"))).when(k % 6 == 0, F.concat("s_name", F.lit("</wrong>"))).otherwise(F.col("s_name"))
     job = F.concat(F.lit('<job id="'), k, F.lit('"><head><title>'), name, F.lit("</title><place><country>"), F.lower(F.substring("s_name", 1, 2)), F.lit("</country></place></head><tag>1</tag><tag>2</tag></job>"))
-    feeds = t.raw("supplier").groupBy((k % 60).alias("source")).agg(F.concat(F.lit("<jobs>"), F.array_join(F.collect_list(job), "\n"), F.lit("</jobs>")).alias("value"))
-    feeds.select("value", "source").write.partitionBy("source").text(f"{root}/in")
+    feeds = t.raw("supplier").groupBy((k % 60).alias("source"), pages).agg(F.concat(F.lit("<jobs>"), F.array_join(F.collect_list(job), "\n"), F.lit("</jobs>")).alias("value"))
+    feeds.select("value", "source", "page").write.partitionBy("source", "page").text(f"{root}/in")
     fields = "_id: bigint, head: struct<title:string,place:struct<country:string>>, tag: array<bigint>"
     good, bad = tables.land(tables.read_xml_landing(t.spark, f"{root}/in", "job", fields.replace(": ", " ")), f"{root}/landed", clean_files=True)
     row = lambda df, fixed: df.select(F.col("_id").alias("id"), F.col("head.title").alias("title"), F.upper("head.place.country").alias("country"), F.col("tag").alias("tags"), F.lit(fixed).alias("repaired"))
-    # the reader tells a broken file once for each row that it cannot read
-    again = bad.distinct().select(F.explode(F.from_xml(H.repair_xml(F.col("record")), f"job array<struct<{fields}>>")["job"]).alias("r")).select("r.*")
+    again = bad.select(F.explode(F.from_xml(H.repair_xml(F.col("record")), f"job array<struct<{fields}>>")["job"]).alias("r")).select("r.*")
     return row(good, False).unionByName(row(again, True))
 
 

@@ -86,3 +86,18 @@ def test_expired_keys_are_told_again(spark, tmp_path):
     jobs.run_to_table(out, f"file://{tmp_path}/out", f"file://{tmp_path}/state")
     got = sorted((r.k, str(r.t)) for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
     assert got == [("a", "2024-01-01 00:00:00"), ("a", "2024-01-02 00:00:00"), ("a", "2024-01-05 23:00:00"), ("b", "2024-01-01 06:00:00"), ("b", "2024-01-06 00:00:00"), ("c", "2024-01-05 00:00:00")]
+
+
+def test_broken_xml_file_is_told_once(spark, tmp_path):
+    """However many of its rows cannot be read, a file's text is one record, and its other rows are there."""
+    from jobloom.sources import tables
+
+    (tmp_path / "in" / "part=1").mkdir(parents=True)
+    (tmp_path / "in" / "part=1" / "a.xml").write_text("<jobs>" + "".join(f'<job id="{i}"><t>a&#7;</t></job>' for i in range(50)) + "</jobs>")
+    (tmp_path / "in" / "part=1" / "b.xml").write_text('<jobs><job id="90"><t>ä</t></job><job id="91"><t>b</wrong></t></job></jobs>')
+    (tmp_path / "in" / "part=1" / "c.xml").write_text('<jobs><job id="99"><t>c</t></job></jobs>')
+    rows = tables.read_xml_landing(spark, f"file://{tmp_path}/in", "job", "_id bigint, t string")
+    good, bad = tables.land(rows, f"file://{tmp_path}/out", clean_files=True)
+    assert [tuple(r) for r in good.select("_id", "t", "part").collect()] == [(99, "c", 1)]
+    found = sorted((r.source_file.rsplit("/", 1)[1], r.record) for r in bad.collect())
+    assert [n for n, _ in found] == ["a.xml", "b.xml"] and found[0][1].count("<job ") == 50 and "ä" in found[1][1]
