@@ -202,12 +202,12 @@ def run_to_table(df: DataFrame, out: str, checkpoint: str, mode: str = "append",
     q.awaitTermination()
 
 
-def enrich_payloads(batch: DataFrame, key: str, day: str, normalisers: dict[str, Callable[[DataFrame], DataFrame]], keywords: DataFrame, countries: DataFrame, cities: DataFrame) -> DataFrame:
+def enrich_payloads(batch: DataFrame, key: str, day: str, normalisers: dict[str, Callable[[DataFrame], DataFrame]], keywords: DataFrame, countries: DataFrame, cities: DataFrame, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Landed payloads (key, day, kind, payload) to postings: normalised by kind, with countries, category and language requirement.
 
     A row is (key, id, country_code, category, requires_native_language, local_language_advantage, day) for each posting and country that its place
     names (its own country before that). Kinds without a normaliser, and payloads that do not parse, give no rows; a posting that a
-    company lists twice is one.
+    company lists twice is one. `save` writes the normalised rows and reads them back, as each step uses them; without it they are worked out anew.
     """
     from jobloom.operators.classify import classify_category
     from jobloom.operators.language import detect_language_requirement
@@ -215,8 +215,8 @@ def enrich_payloads(batch: DataFrame, key: str, day: str, normalisers: dict[str,
 
     parts = [n(batch.where(F.col("kind") == kind).select(key, day, "payload")) for kind, n in normalisers.items()]
     x = reduce(lambda a, b: a.unionByName(b), parts).withColumn("_id", F.concat_ws("/", key, "source_id")).dropDuplicates(["_id"])
-    # it is used by each of the steps below
     x = x.select(key, day, "_id", F.col("source_id").alias("id"), "title", "description", "location", "country_code", F.col("department").alias("function"))
+    x = save(x) if save else x  # it is used by each of the steps below
     named = resolve_countries(x, "_id", countries, cities).select("_id", "codes")
     rows = x.join(named, "_id", "left").withColumn("country_code", F.explode(F.when(F.col("country_code").isNotNull(), F.array("country_code")).otherwise(F.coalesce("codes", F.array().cast("array<string>")))))
     category = classify_category(x, "_id", keywords).select("_id", "category")

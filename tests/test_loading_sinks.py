@@ -101,3 +101,34 @@ def test_broken_xml_file_is_told_once(spark, tmp_path):
     assert [tuple(r) for r in good.select("_id", "t", "part").collect()] == [(99, "c", 1)]
     found = sorted((r.source_file.rsplit("/", 1)[1], r.record) for r in bad.collect())
     assert [n for n, _ in found] == ["a.xml", "b.xml"] and found[0][1].count("<job ") == 50 and "ä" in found[1][1]
+
+
+def test_landed_tables_are_cut_in_many_files(spark):
+    """A task sorts a 48th of a landed table, not a third; rows of one value stay in one file, null ones too."""
+    from jobloom.plans import streams
+    from jobloom.plans.base import Tables
+
+    d = spark.range(20_000).select((F.col("id") % 5_000).alias("k"), "id").unionByName(spark.sql("select cast(null as bigint) as k, 7L as id"))
+    root, _ = streams.landed(Tables(spark, ""), d, "k")
+    files = spark.read.parquet(f"{root}/in").groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"), F.collect_set("k").alias("ks")).collect()
+    assert len(files) > 40 and max(r.n for r in files) < 1_500 and sum(r.n for r in files) == 20_001
+    assert sum(len(r.ks) for r in files) == 5_000
+
+
+def test_payloads_of_a_batch_are_normalised_once(spark):
+    """The normalised rows go through `save` once, and all steps read what it gives back."""
+    from jobloom.operators.location import dictionaries
+    from jobloom.sources.normalise import normalise_lever
+    from jobloom.streaming import jobs
+
+    batch = spark.createDataFrame([(1, "d", "lever", '[{"id": "a", "text": "Data engineer", "descriptionPlain": "You must speak German.", "categories": {"location": "Berlin, Germany"}}]')], "k long, day string, kind string, payload string")
+    words = spark.createDataFrame([("data", 0, "data engineer", 0)], "category string, cat_no int, keyword string, kw_no int")
+    saved = []
+
+    def save(x):
+        saved.append(x.collect())
+        return spark.createDataFrame(saved[0], x.schema)
+
+    out = jobs.enrich_payloads(batch, "k", "day", {"lever": normalise_lever}, words, *dictionaries(spark), save)
+    assert [tuple(r) for r in out.collect()] == [(1, "a", "DE", "data", True, False, "d")] and len(saved) == 1
+    assert "parse_json" not in out._jdf.queryExecution().optimizedPlan().toString()
