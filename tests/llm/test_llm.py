@@ -619,6 +619,45 @@ def test_lines_with_scattered_edits(spark):
     assert len(found) >= 20 and all(sum(v) >= 0.9 * len(v) for v in found.values()), {k: sum(v) / len(v) for k, v in found.items()}
 
 
+def test_lines_by_common_runs_alone(spark):
+    """Two lines whose only common keys are runs that many lines have, beside more runs of each that are rarer: they end in one group."""
+    from jobloom.llm import lines
+    from jobloom.llm.common import Scratch
+
+    rnd = random.Random(11)
+    text = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    keys = lambda x: set(lines.keys_of([x])[-1].tolist())
+    runs = lambda x: {x[i : i + 10] for i in range(len(x) - 9)}
+    docs, planted = [], []
+    while len(planted) < 3:
+        x = " ".join(text(6) for _ in range(18))
+        y = list(x)
+        for p in rnd.sample([i for i, c in enumerate(x) if c != " "], 11):
+            y[p] = "0"
+        y = "".join(y)
+        common = keys(x) & keys(y)
+        own = [runs(z) for z in (x, y)]
+        if not lines.within(x, y) or not 1 <= len(common) <= 2 or any(k % 2 == 0 for k in common):
+            continue
+        # lines that repeat a run of one of the two only, two times what a line once used, and many that repeat the common ones
+        more = [f"{text(50)} {r} {text(46)}" for z in own for r in sorted(z)]
+        rare = [m for m in more if (keys(m) & (keys(x) ^ keys(y)))]
+        often = [m for m in more if keys(m) & common]
+        per = [sum(len(keys(m) & (keys(z) - common)) > 0 for m in rare) for z in (x, y)]
+        if min(per) <= 7 or not often:
+            continue
+        often = [f"{text(50)}{m[50:61]} {text(46)}" for m in often for _ in range(20)]
+        planted.append((x, y))
+        docs += [x, y, *rare, *often]
+    d = spark.createDataFrame(list(enumerate(dict.fromkeys(docs))), "id long, text string").repartition(2)
+    scratch = Scratch(spark, "test")
+    occ = scratch.save(lines.occurrences(d), "occurrences")
+    named = {r.text: r.line for r in occ.join(d, "id").collect()}
+    table = occ.select("line", "len", "bag", F.struct("id", "pos").alias("first"))
+    comps = {r.node: r.component for r in lines.groups(occ.select("line", "id", "keys"), table, d, scratch).collect()}
+    assert all(comps.get(named[x], 0) == comps.get(named[y], 1) for x, y in planted)
+
+
 # -- mixing -----------------------------------------------------------------------------------------------------------------------
 
 
