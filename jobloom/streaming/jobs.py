@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,31 +140,51 @@ def committed(spark: SparkSession, store: str, name: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def stream_expiring(src: DataFrame, key: str, ts: str, ttl_seconds: int, delay: str = "0 seconds") -> DataFrame:
+#: Groups that the keys of expiring state are dealt into: one call of Python and one state for all keys of a group.
+KEY_GROUPS = 4096
+
+
+def stream_expiring(src: DataFrame, key: str, ts: str, ttl_seconds: int, delay: str = "0 seconds", key_groups: int = KEY_GROUPS) -> DataFrame:
     """The first record of each key, and the first again of each time that it had been told `ttl_seconds` or longer ago: (key, ts).
 
-    State is one time a key; it is dropped when the watermark has passed its end, so keys that do not come back cost nothing.
+    State is one time a key, kept for `key_groups` groups of keys; it is dropped when the watermark has passed its end, so keys that do not
+    come back cost nothing.
     """
-    kind = dict(src.dtypes)[key]
-
-    def told(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists and not state.hasTimedOut else None
-        if state.hasTimedOut:
+    kind, ttl = dict(src.dtypes)[key], ttl_seconds * 1_000_000
+
+    def told(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        # later records than the watermark are told anyway, so an end that it has passed may be forgotten
+        known = {k: last for k, last in zip(*state.get, strict=True) if (last + ttl) // 1000 > watermark} if state.exists else {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches))
+            codes, keys = pd.factorize(rows[key], use_na_sentinel=False)
+            order = np.lexsort((rows["_at"], codes))
+            at, ends = rows["_at"].to_numpy()[order].tolist(), np.cumsum(np.bincount(codes, minlength=len(keys))).tolist()
+            who, when, begin = [], [], 0
+            for k, end in zip(keys.tolist(), ends, strict=True):
+                k = None if k != k else k
+                last = known.get(k)
+                n = begin if last is None else bisect_left(at, last + ttl, begin, end)
+                while n < end:
+                    last = at[n]
+                    who.append(k)
+                    when.append(last)
+                    n = bisect_left(at, last + ttl, n + 1, end)
+                known[k], begin = last, end
+            if who:
+                yield pd.DataFrame({key: pd.Series(who, dtype=rows[key].dtype), "_at": when})
+        if known:
+            state.update((list(known), list(known.values())))
+            state.setTimeoutTimestamp(max((min(known.values()) + ttl) // 1000, watermark + 1))
+        elif state.exists:
             state.remove()
-            return
-        out = []
-        for at in sorted(t for b in batches for t in b[ts].dropna()):
-            if last is None or at.timestamp() >= last + ttl_seconds:
-                last = at.timestamp()
-                out.append(at)
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(int((last + ttl_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame({key: [k[0]] * len(out), ts: out})
-
-    x = event_time(src, ts).select(key, ts).withWatermark(ts, delay)
-    return x.groupBy(key).applyInPandasWithState(told, f"{key} {kind}, {ts} timestamp", "last double", "append", "EventTimeTimeout")
+
+    x = event_time(src, ts).select(key, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")).withWatermark(ts, delay).where(F.col(ts).isNotNull())
+    # the null key has a group of its own, so that columns of the others hold no null
+    x = x.withColumn("_group", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(key_groups))))
+    x = x.groupBy("_group").applyInPandasWithState(told, f"{key} {kind}, _at long", f"keys array<{kind}>, last array<long>", "append", "EventTimeTimeout")
+    return x.select(key, F.timestamp_micros("_at").alias(ts))
 
 
 def load_batches(src: DataFrame, transform: Callable[[DataFrame], DataFrame], store: str, key: str, checkpoint: str, mode: str = "append"):

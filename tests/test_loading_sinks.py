@@ -88,6 +88,32 @@ def test_expired_keys_are_told_again(spark, tmp_path):
     assert got == [("a", "2024-01-01 00:00:00"), ("a", "2024-01-02 00:00:00"), ("a", "2024-01-05 23:00:00"), ("b", "2024-01-01 06:00:00"), ("b", "2024-01-06 00:00:00"), ("c", "2024-01-05 00:00:00")]
 
 
+def test_expiring_keys_share_calls(spark, tmp_path):
+    """Python is called and state is kept for groups of keys, not for each key; what is told is what each key alone would tell."""
+    import random
+
+    src, rnd = f"{tmp_path}/in", random.Random(5)
+    keys, said = [*range(2**60, 2**60 + 200), None], []
+    for turn in range(3):
+        rows = [(rnd.choice(keys), 86_400 * 10 * turn + rnd.randrange(86_400 * 10)) for _ in range(1_500)]
+        said.append(rows)
+        x = spark.createDataFrame(rows, "k long, s long").select("k", F.timestamp_seconds("s").alias("t"))
+        x.coalesce(1).write.mode("append").parquet(f"file://{src}")
+    want = []
+    for k in keys:
+        last = None
+        for s in sorted(s for rows in said for x, s in rows if x == k):
+            if last is None or s >= last + 2 * 86_400:
+                last = s
+                want.append((k, s))
+    out = jobs.stream_expiring(jobs.read_stream(spark, f"file://{src}", "k long, t timestamp"), "k", "t", 2 * 86_400, key_groups=7)
+    query = out.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").select("k", F.unix_seconds("t")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 8
+
+
 def test_broken_xml_file_is_told_once(spark, tmp_path):
     """However many of its rows cannot be read, a file's text is one record, and its other rows are there."""
     from jobloom.sources import tables
