@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -497,6 +498,49 @@ def test_lines_distance():
         assert distance(a, b) == row[-1] and (distance(a, b, 2) <= 2) == (row[-1] <= 2) and within(a, b) == (row[-1] <= int(0.1 * max(len(a), len(b)) + 1e-9)), (a, b)
 
 
+def test_lines_are_told_apart_early():
+    """Counts of runs refuse most pairs of unlike lines and none within the limit; a distance beyond the limit ends long before the line does."""
+    from jobloom.llm.lines import bags_of, distance, may_match, within
+
+    rnd = random.Random(17)
+    parts = ["th", "en", "er", "on", "ing", "tion", "re", "ha", "an", "ed", "ou", "ñ", "中"]
+    line = lambda n: " ".join("".join(rnd.choices(parts, k=rnd.randint(1, 4))) for _ in range(n))
+    pairs = []
+    for n in (1, 2, 5, 20, 60, 90, 400):
+        for share in (0, 0.02, 0.05, 0.09, 0.11, 0.3):
+            for _ in range(4):
+                x = line(n)
+                y = list(x)
+                for p in rnd.sample(range(len(x)), int(share * len(x))):
+                    y[p] = rnd.choice(["", "q", y[p] + "x", " "])
+                pairs.append((x, " ".join("".join(y).split()) or "x"))
+    unlike = [(line(80), line(80)) for _ in range(60)]
+    got = may_match(*map(list, zip(*pairs, *unlike, ("", "a"), ("ab", "ab"), strict=True)))
+    near = [distance(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9) for x, y in pairs]
+    assert sum(near) > 60 and near == [within(x, y) for x, y in pairs] and all(m for m, n in zip(got, near, strict=False) if n)
+    assert sum(got[len(pairs) : -2]) <= 6 and got[-1]
+    assert may_match([], []).tolist() == []
+    for x, y in pairs:
+        d = distance(x, y)
+        assert all((distance(x, y, most) <= most) == (d <= most) for most in {0, max(d - 1, 0), d, d + 1, len(x) // 10, len(x) // 3})
+
+    class Read(str):
+        n = 0
+
+        def __iter__(self):
+            for c in super().__iter__():
+                self.n += 1
+                yield c
+
+    for x, y in unlike:
+        y = Read(y)
+        most = max(len(x), len(y)) // 10
+        assert distance(x, y, most) > most and y.n < 0.6 * len(y)
+    bags = [bytes(rnd.randrange(256) for _ in range(32)) for _ in range(5)]
+    assert bags_of(pa.array([bags[0], None, *bags[1:], None], pa.binary()).slice(1, 4)).tobytes() == b"".join(bags[1:4])
+    assert bags_of(pa.array([None], pa.binary())).shape == (0, 32)
+
+
 @pytest.mark.skipif(not HERE, reason="no test tables")
 def test_lines_against_all_pairs(spark):
     """All pairs of the distinct lines of a table by a full edit distance: no false link, and nearly every pair in one group."""
