@@ -105,7 +105,10 @@ def merge_sources(primary: DataFrame, secondary: DataFrame, key: str) -> DataFra
 
 
 def enrich(jobs: DataFrame, details: DataFrame) -> DataFrame:
-    """Details of a url reach each job with it: a job's own function stays, the detail's city comes first, text is appended."""
+    """Details of a url reach each job with it: a job's own function stays, the detail's city comes first, text is appended.
+
+    Of several details of a url the one with the least `ord` counts, which has to tell any two of them apart.
+    """
     d = details.groupBy("url").agg(F.min_by(F.struct("function", "city", "extra"), "ord").alias("d"))
     x = jobs.join(d, "url", "left")
     cities = F.array_distinct(F.concat(F.array_compact(F.array("d.city")), F.coalesce("cities", F.array().cast("array<string>"))))

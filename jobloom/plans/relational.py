@@ -403,7 +403,9 @@ FROM part LEFT JOIN d ON d.url = p_partkey""",
 )
 def _(t):
     jobs = t.raw("part").select(F.col("p_partkey").alias("url"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("function"), F.array("p_type").alias("cities"), F.col("p_name").alias("description"))
-    d = t.raw("lineitem").select(F.col("l_partkey").alias("url"), F.col("l_returnflag").alias("function"), F.col("l_linestatus").alias("city"), F.col("l_linenumber").cast("string").alias("extra"), F.struct("l_orderkey", "l_linenumber").alias("ord"))
+    # null keys come last; of lines that are equal in both keys the first of the table counts
+    first = F.struct(F.isnull("l_orderkey"), "l_orderkey", F.isnull("l_linenumber"), "l_linenumber", "_metadata.file_path", "_metadata.row_index")
+    d = t.raw("lineitem").select(F.col("l_partkey").alias("url"), F.col("l_returnflag").alias("function"), F.col("l_linestatus").alias("city"), F.col("l_linenumber").cast("string").alias("extra"), first.alias("ord"))
     return shape.enrich(jobs, d).withColumn("cities", F.array_join("cities", "|"))
 
 
