@@ -702,6 +702,46 @@ def test_lines_by_common_runs_alone(spark):
     assert all(comps.get(named[x], 0) == comps.get(named[y], 1) for x, y in planted)
 
 
+def test_lines_meet_their_texts_in_rounds(spark, monkeypatch):
+    """Lines of the same words in another order: nearly all are candidate pairs, none is linked but planted ones. All are compared, some at a time."""
+    from jobloom.llm import lines
+    from jobloom.llm.common import Scratch
+
+    room = 4_000
+    monkeypatch.setattr(lines, "ROOM_LINES", 4 * room, raising=False)
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(14)]
+    texts = [" ".join(rnd.sample(words, len(words))) for _ in range(250)]
+    texts += [t[:40] + "0" + t[41:] for t in texts[:5]]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    save, scratch = Scratch.save, Scratch(spark, "test")
+
+    def described(self, df, name):
+        spark.sparkContext.setJobDescription(f"rounds {name}")
+        try:
+            return save(self, df, name)
+        finally:
+            spark.sparkContext.setJobDescription(None)
+
+    monkeypatch.setattr(Scratch, "save", described)
+    occ = scratch.save(lines.occurrences(d), "occurrences")
+    named = {r.id: r.line for r in occ.select("id", "line").collect()}
+    table = occ.select("line", "len", "bag", F.struct("id", "pos").alias("first"))
+    small = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(small)
+    spark.conf.set(small, "-1")  # as with larger tables
+    try:
+        comps = {r.node: r.component for r in lines.groups(occ.select("line", "id", "keys"), table, d, scratch).collect()}
+    finally:
+        spark.conf.set(small, before)
+    assert len(comps) == 10 and all(comps[named[i]] == comps[named[250 + i]] for i in range(5))
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    stages = [stages.apply(i) for i in range(stages.size())]
+    moved = [s.shuffleWriteRecords() for s in stages if s.description().isDefined() and s.description().get() == "rounds links"]
+    assert sum(moved) > 28_000 and max(moved) < 1.5 * room, (sum(moved), max(moved))
+
+
 # -- mixing -----------------------------------------------------------------------------------------------------------------------
 
 
