@@ -708,7 +708,7 @@ def test_lines_meet_their_texts_in_rounds(spark, monkeypatch):
     from jobloom.llm.common import Scratch
 
     room = 4_000
-    monkeypatch.setattr(lines, "ROOM_LINES", 4 * room, raising=False)
+    monkeypatch.setattr(lines, "ROOM_LINES", 2 * room, raising=False)
     rnd = random.Random(5)
     words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(14)]
     texts = [" ".join(rnd.sample(words, len(words))) for _ in range(250)]
